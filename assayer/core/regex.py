@@ -6,6 +6,8 @@ syntax the two share: no look-around, no ``\\b``, code points as ``\\x{..}``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,15 @@ def find_all(column: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(column, F.lit(pattern), F.lit(group))
 
 
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn`` under a name.
+
+    A step that mentions its input several times would otherwise copy the whole
+    expression below it at every mention.
+    """
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def positions(column: Column, pattern: str) -> Column:
     """Array of (pos, hit): zero-based offset and text of every match.
 

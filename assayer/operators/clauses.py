@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.core.dims import sql_literal
-from assayer.core.regex import has_sql
+from assayer.core.regex import bind, has_sql
 from assayer.functions.text import detection_text
 from assayer.packs.rules import ATOMS, CONTINUATIONS, NEIGHBOUR_LIMIT
 
@@ -207,14 +207,19 @@ def quote_masked(text: Column) -> Column:
     The text is cut into the quotes and the plain text around them. A quote is judged by
     the sentence before it and the sentence right after it, nothing further away.
     """
-    plain, quotes = F.split(text, QUOTE, -1), F.regexp_extract_all(text, F.lit(QUOTE), F.lit(0))
-
-    def quiet(quote: Column, i: Column) -> Column:
+    def quiet(plain: Column, quote: Column, i: Column) -> Column:
         intro = F.regexp_extract(F.get(plain, i), r"([^.!?।;\n]*)$", 1)
         follow = F.regexp_extract(F.get(plain, i + 1), r"^[\s.!?।;]*([^.!?।\n]*)", 1)
         framed = intro.rlike(FRAME) | follow.rlike(FRAME)
         rejected = intro.rlike(TURNED_DOWN) | follow.rlike(TURNED_DOWN)
         return F.when(framed & rejected, F.repeat(F.lit(" "), F.length(quote))).otherwise(quote)
 
-    woven = F.zip_with(plain, F.transform(quotes, quiet), lambda p, q: F.concat(p, F.coalesce(q, F.lit(""))))
-    return F.when(F.size(quotes) > 0, F.array_join(woven, "")).otherwise(text)
+    def weave(plain: Column) -> Column:
+        quotes = F.transform(
+            F.regexp_extract_all(text, F.lit(QUOTE), F.lit(0)), lambda quote, i: quiet(plain, quote, i)
+        )
+        return F.array_join(
+            F.zip_with(plain, quotes, lambda p, quote: F.concat(p, F.coalesce(quote, F.lit("")))), ""
+        )
+
+    return F.when(text.rlike(QUOTE), bind(F.split(text, QUOTE, -1), weave)).otherwise(text)
