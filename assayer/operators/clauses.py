@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.core.dims import sql_literal
-from assayer.core.regex import bind, has_sql
+from assayer.core.regex import bind, folded, has_sql
 from assayer.functions.text import detection_text
 from assayer.packs.rules import ATOMS, CONTINUATIONS, NEIGHBOUR_LIMIT
 
@@ -130,7 +130,7 @@ WINDOW w AS (PARTITION BY msg_id ORDER BY clause_no)"""
 def _all(column: Column, atoms: tuple[str, ...]) -> Column:
     test = F.lit(True)
     for atom in atoms:
-        test = test & column.rlike(ATOMS[atom])
+        test = test & column.rlike(folded(ATOMS[atom]))
     return test
 
 
@@ -141,27 +141,43 @@ def _all_sql(column: str, atoms: tuple[str, ...]) -> str:
 def joined_clauses(clauses: DataFrame, rejected) -> DataFrame:
     """Widen a clause to its neighbour when one depends on the other.
 
-    ``rejected`` maps a text column to a boolean: a clause that is already a
-    caution never pulls its neighbour in.
+    ``rejected`` maps a lower-case text column to a boolean: a clause that is
+    already a caution never pulls its neighbour in.
     """
-    det, nxt, prv = F.col("det"), F.coalesce("next_det", F.lit("")), F.coalesce("prev_det", F.lit(""))
-    live = (F.length(det) <= NEIGHBOUR_LIMIT) & ~rejected(det)
+    det = F.col("det")
+    nxt, prv = (F.coalesce(name, F.lit("")) for name in ("next_det", "prev_det"))
+    lows = clauses.select(
+        "*", F.lower("det").alias("_low"), F.lower(nxt).alias("_low_next"), F.lower(prv).alias("_low_prev")
+    )
+    low, low_next, low_prev = F.col("_low"), F.col("_low_next"), F.col("_low_prev")
     forward, back = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, first, then, looks_back in reversed(CONTINUATIONS):
-        forward = F.when(_all(det, first) & _all(nxt, then), name).otherwise(forward)
+        forward = F.when(_all(low, first) & _all(low_next, then), name).otherwise(forward)
         if looks_back:
-            back = F.when(_all(prv, first) & _all(det, then), name).otherwise(back)
-    forward = F.when(live & (nxt != "") & (F.length(nxt) <= NEIGHBOUR_LIMIT) & ~rejected(nxt), forward)
-    back = F.when(live & (prv != "") & (F.length(prv) <= NEIGHBOUR_LIMIT) & ~rejected(prv), back)
+            back = F.when(_all(low_prev, first) & _all(low, then), name).otherwise(back)
+    # The dependency is rarely present, so it is tested before the cautions.
+    linked = lows.select("*", forward.alias("_may_forward"), back.alias("_may_back"))
+    short = F.length("det") <= NEIGHBOUR_LIMIT
+
+    def allowed(candidate: str, near: Column, low_near: Column) -> Column:
+        fits = short & (near != "") & (F.length(near) <= NEIGHBOUR_LIMIT)
+        return F.when(
+            F.col(candidate).isNotNull() & fits & ~rejected(low) & ~rejected(low_near), F.col(candidate)
+        )
+
     return (
-        clauses.withColumn("_back", back).withColumn("_forward", forward)
-        .withColumn("joined_by", F.coalesce("_back", "_forward"))
-        .withColumn("w_start", F.when(F.col("_back").isNotNull(), F.col("prev_start")).otherwise(F.col("start")))
-        .withColumn("w_end", F.when(F.col("_back").isNull() & F.col("_forward").isNotNull(), F.col("next_end"))
-                    .otherwise(F.col("end")))
-        .withColumn("w_det", F.when(F.col("_back").isNotNull(), F.concat_ws(" ", prv, det))
-                    .when(F.col("_forward").isNotNull(), F.concat_ws(" ", det, nxt)).otherwise(det))
-        .drop("_back", "_forward")
+        linked.withColumns({
+            "_back": allowed("_may_back", prv, low_prev), "_forward": allowed("_may_forward", nxt, low_next),
+        })
+        .withColumns({
+            "joined_by": F.coalesce("_back", "_forward"),
+            "w_start": F.when(F.col("_back").isNotNull(), F.col("prev_start")).otherwise(F.col("start")),
+            "w_end": F.when(F.col("_back").isNull() & F.col("_forward").isNotNull(), F.col("next_end"))
+            .otherwise(F.col("end")),
+            "w_det": F.when(F.col("_back").isNotNull(), F.concat_ws(" ", prv, det))
+            .when(F.col("_forward").isNotNull(), F.concat_ws(" ", det, nxt)).otherwise(det),
+        })
+        .drop("_back", "_forward", "_may_back", "_may_forward", "_low", "_low_next", "_low_prev")
     )
 
 

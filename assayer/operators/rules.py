@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.core.dims import dim, dim_sql, sql_literal
-from assayer.core.regex import has_sql
+from assayer.core.regex import folded, has_sql
 from assayer.functions.numbers import numeric_claim
 from assayer.functions.text import masked
 from assayer.operators.clauses import joined_clauses, split_clauses
@@ -25,10 +25,18 @@ def cautions_for(rule_id: str) -> list[tuple]:
 
 
 def cautioned(column: Column, rule_id: str = "*") -> Column:
-    """A caution wording is present and no switch back to an offer follows it."""
+    """A caution wording is present in lower-case text and no switch back to an offer follows it."""
     test = F.lit(False)
     for _, _, _, pattern, unless in cautions_for(rule_id):
-        test = test | (column.rlike(pattern) & ~column.rlike(unless))
+        test = test | (column.rlike(folded(pattern)) & ~column.rlike(folded(unless)))
+    return test
+
+
+def _cautioned(rule_id: str) -> Column:
+    """The same from the caution columns of ``atom_columns``."""
+    test = F.lit(False)
+    for caution in cautions_for(rule_id):
+        test = test | F.col(f"c_{caution[1]}")
     return test
 
 
@@ -69,7 +77,13 @@ def ordinary_deadline_sql(det: str, prev: str, nxt: str) -> str:
 
 
 def atom_columns(clauses: DataFrame, text: str = "w_det") -> DataFrame:
-    return clauses.select("*", *[F.col(text).rlike(p).alias(f"a_{n}") for n, p in pack.ATOMS.items()])
+    """Every wording test once per clause: atoms a_*, cautions c_*."""
+    low = F.col("low")
+    return clauses.select("*", F.lower(text).alias("low")).select(
+        "*",
+        *[low.rlike(folded(p)).alias(f"a_{n}") for n, p in pack.ATOMS.items()],
+        *[(low.rlike(folded(p)) & ~low.rlike(folded(u))).alias(f"c_{no}") for _, no, _, p, u in pack.CAUTIONS],
+    )
 
 
 def _cue(rule: pack.Rule) -> Column:
@@ -93,7 +107,7 @@ def _ask(rule: pack.Rule) -> Column:
 def screened_clauses(messages: DataFrame) -> DataFrame:
     """Clauses with joined neighbours, wording tests and numeric claims."""
     joined = joined_clauses(split_clauses(messages, mask_quotes=True), cautioned)
-    return atom_columns(joined).withColumn("claim", numeric_claim(F.col("w_det")))
+    return atom_columns(joined).withColumn("claim", numeric_claim(F.col("low")))
 
 
 def rule_hits(clauses: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -103,7 +117,7 @@ def rule_hits(clauses: DataFrame, keep: list[str] | None = None) -> DataFrame:
     hits = []
     for order, rule in enumerate(pack.RULES):
         gate = pack.CONTEXT_GATES.get(rule.rule_id)
-        live = _ask(rule) & ~cautioned(det, rule.rule_id)
+        live = _ask(rule) & ~_cautioned(rule.rule_id)
         hits.append(
             F.when(
                 _cue(rule),
@@ -111,7 +125,7 @@ def rule_hits(clauses: DataFrame, keep: list[str] | None = None) -> DataFrame:
                     F.lit(order).alias("rule_no"),
                     F.lit(rule.rule_id).alias("rule_id"),
                     (F.lit(True) if gate is None else text.rlike(gate)).alias("in_context"),
-                    cautioned(det, rule.rule_id).alias("cautioned"),
+                    _cautioned(rule.rule_id).alias("cautioned"),
                     live.alias("soliciting"),
                 ),
             )

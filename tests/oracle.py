@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import time
 
 import duckdb
 
@@ -11,6 +12,8 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+TIMES: dict[str, float] = {}
+
 
 def connect(folder: str):
     con = duckdb.connect()
@@ -36,11 +39,13 @@ def _sorted(columns, rows):
 
 def compare(spark, con, folder: str, name: str, fn, sql: str) -> tuple[str, int]:
     """('' or a description of the difference, number of rows)."""
+    began = time.time()
     got = fn(spark, folder)
+    rows = got.collect()
+    TIMES[name] = time.time() - began
     cursor = con.execute(sql)
     want_columns = [d[0] for d in cursor.description]
     want = cursor.fetchall()
-    rows = got.collect()
     if sorted(got.columns) != sorted(want_columns):
         return f"columns {sorted(got.columns)} != {sorted(want_columns)}", len(rows)
     left, right = _sorted(got.columns, rows), _sorted(want_columns, want)

@@ -8,7 +8,7 @@ import traceback
 
 sys.path[:0] = ["/root/repo", "/root/repo/tests"]
 
-from oracle import compare, connect  # noqa: E402
+from oracle import TIMES, compare, connect  # noqa: E402
 
 from assayer.core.session import local_session  # noqa: E402
 from assayer.plans.catalog import oracle_sql, queries  # noqa: E402
@@ -36,5 +36,5 @@ for name, fn in queries().items():
             traceback.print_exc()
     kind = "oracle" if name in oracles else "rows"
     bad += bool(problem)
-    print(f"{'FAIL' if problem else 'ok  '} {name:45s} {kind:6s} rows={rows:7d} {time.time() - start:6.1f}s {problem[:1500]}", flush=True)
+    print(f"{'FAIL' if problem else 'ok  '} {name:45s} {kind:6s} rows={rows:7d} {time.time() - start:6.1f}s spark={TIMES.get(name, 0):5.1f} {problem[:1500]}", flush=True)
 print("failures:", bad)
