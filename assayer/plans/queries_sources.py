@@ -57,7 +57,7 @@ def assemble_conversation(spark, folder):
     return messages.conversations(spark, folder)
 
 
-@query("src4_stream_intake")
+@query("src4_stream_intake", "SELECT doc_id AS msg_id, lang, length(text) AS n_chars FROM documents")
 def stream_intake(spark, folder):
     from assayer.streaming.jobs import intake
 

@@ -31,7 +31,7 @@ for name, fn in queries().items():
         else:
             problem, rows = "", len(fn(spark, folder).collect())
     except Exception as error:  # noqa: BLE001
-        problem, rows = f"ERROR {type(error).__name__}: {str(error)[:900]}", -1
+        problem, rows = f"ERROR {type(error).__name__}: {str(error)[:400]}", -1
         if "-v" in parts:
             traceback.print_exc()
     kind = "oracle" if name in oracles else "rows"
