@@ -14,6 +14,7 @@ from assayer.core.regex import has_sql
 from assayer.core.session import read_table, settle
 from assayer.functions import hashing
 from assayer.functions import text as t
+from assayer.functions.hashing import BUCKETS, MASK, OFFSET, PRIME, place_features
 from assayer.operators import clauses as c
 from assayer.operators import model, rules
 from assayer.packs import rules as pack
@@ -187,6 +188,9 @@ def model_findings(spark, folder):
     )
 
 
+_BIAS = model.FROZEN_BIAS
+
+
 @F.arrow_udf(T.DoubleType())
 def _score_alone(text: pa.Array) -> pa.Array:
     """An independent scorer: one message at a time, from the definition."""
@@ -198,15 +202,15 @@ def _score_alone(text: pa.Array) -> pa.Array:
         counts: dict[int, int] = {}
         for at, token in enumerate(tokens):
             following = tokens[at + 1] if at + 1 < len(tokens) else None
-            for feature in hashing.place_features(token, "", following, None, _KINDS.split()):
-                code = hashing.OFFSET
+            for feature in place_features(token, "", following, None, _KINDS.split()):
+                code = OFFSET
                 for byte in feature.encode():
-                    code = ((code ^ byte) * hashing.PRIME) & hashing.MASK
-                counts[code % hashing.BUCKETS] = counts.get(code % hashing.BUCKETS, 0) + 1
+                    code = ((code ^ byte) * PRIME) & MASK
+                counts[code % BUCKETS] = counts.get(code % BUCKETS, 0) + 1
         values = {i: 1 + math.log(n) for i, n in counts.items()}
         norm = math.sqrt(sum(v * v for v in values.values())) or 1.0
         total = sum((i * 7919 % 2001 - 1000) / 500 * v / norm for i, v in values.items())
-        out.append(1 / (1 + math.exp(-(model.FROZEN_BIAS + total))))
+        out.append(1 / (1 + math.exp(-(_BIAS + total))))
     return pa.array(out, pa.float64())
 
 
