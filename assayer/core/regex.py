@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,27 @@ from assayer.core.dims import sql_literal
 EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
 
 
+_BUILT: dict = {}
+
+
+def once(build: Callable) -> Callable:
+    """Keep a built column for the life of the JVM connection.
+
+    Building a large expression takes thousands of small calls to the JVM, and a
+    column over named inputs is the same for every query.
+    """
+
+    @wraps(build)
+    def get(*args):
+        gateway = SparkContext._gateway
+        known = _BUILT.setdefault((build.__module__, build.__qualname__, args), (gateway, None))
+        if known[0] is not gateway or known[1] is None:
+            known = _BUILT[(build.__module__, build.__qualname__, args)] = (gateway, build(*args))
+        return known[1]
+
+    return get
+
+
 def words(*alternatives: str) -> str:
     """Whole Latin words, case-insensitively, without look-around."""
     return r"(?i)(?:^|[^a-z])(?:" + "|".join(alternatives) + r")(?:$|[^a-z])"

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.core.dims import sql_literal
-from assayer.core.regex import bind, folded, has_sql
+from assayer.core.regex import bind, folded, has_sql, once
 from assayer.functions.text import detection_text
 from assayer.packs.rules import ATOMS, CONTINUATIONS, NEIGHBOUR_LIMIT
 
@@ -71,33 +71,41 @@ def clause_array(text: Column, conjunctions: bool = True) -> Column:
     return F.filter(walked, lambda c: c["clause"] != "")
 
 
-def split_clauses(messages: DataFrame, conjunctions: bool = True, mask_quotes: bool = False) -> DataFrame:
-    """One row per clause: offsets, text, matching copy and both neighbours' copies."""
-    detected = "quiet" if mask_quotes else "text"
-    base = messages.withColumn("_cl", clause_array(F.col("text"), conjunctions))
-    if mask_quotes:
-        base = base.withColumn("quiet", quote_masked(F.col("text")))
-    base = base.withColumn(
-        "_cl",
-        F.transform(
-            "_cl",
-            lambda c: F.struct(
-                c["start"].alias("start"), c["end"].alias("end"), c["clause"].alias("clause"),
-                detection_text(
-                    F.substring(F.col(detected), c["start"] + 1, c["end"] - c["start"])
-                    if mask_quotes
-                    else c["clause"]
-                ).alias("det"),
-            ),
-        ),
-    )
-    near = F.transform(
+@once
+def _quiet_text() -> Column:
+    return quote_masked(F.col("text"))
+
+
+@once
+def _detected(conjunctions: bool, mask_quotes: bool) -> Column:
+    def detect(c: Column) -> Column:
+        shown = F.substring(F.col("quiet"), c["start"] + 1, c["end"] - c["start"]) if mask_quotes else c["clause"]
+        return F.struct(
+            c["start"].alias("start"), c["end"].alias("end"), c["clause"].alias("clause"),
+            detection_text(shown).alias("det"),
+        )
+
+    return F.transform(clause_array(F.col("text"), conjunctions), detect)
+
+
+@once
+def _with_neighbours() -> Column:
+    return F.transform(
         "_cl",
         lambda c, i: F.struct(
             c["start"].alias("start"), c["end"].alias("end"), c["clause"].alias("clause"), c["det"].alias("det"),
             F.get("_cl", i - 1).alias("prev"), F.get("_cl", i + 1).alias("next"),
         ),
     )
+
+
+def split_clauses(messages: DataFrame, conjunctions: bool = True, mask_quotes: bool = False) -> DataFrame:
+    """One row per clause: offsets, text, matching copy and both neighbours' copies."""
+    base = messages
+    if mask_quotes:
+        base = base.withColumn("quiet", _quiet_text())
+    base = base.withColumn("_cl", _detected(conjunctions, mask_quotes))
+    near = _with_neighbours()
     kept = [c for c in messages.columns if c != "quiet"]
     return base.select(*kept, F.posexplode(near).alias("clause_no", "_c")).select(
         *kept, "clause_no", "_c.start", "_c.end", "_c.clause", "_c.det",

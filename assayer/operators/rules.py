@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.core.dims import dim, dim_sql, sql_literal
-from assayer.core.regex import folded, has_sql
-from assayer.functions.numbers import numeric_claim
+from assayer.core.regex import folded, has_sql, once
+from assayer.functions.numbers import numeric_claim_of
 from assayer.functions.text import masked
 from assayer.operators.clauses import joined_clauses, split_clauses
 from assayer.packs import rules as pack
@@ -107,12 +107,11 @@ def _ask(rule: pack.Rule) -> Column:
 def screened_clauses(messages: DataFrame) -> DataFrame:
     """Clauses with joined neighbours, wording tests and numeric claims."""
     joined = joined_clauses(split_clauses(messages, mask_quotes=True), cautioned)
-    return atom_columns(joined).withColumn("claim", numeric_claim(F.col("low")))
+    return atom_columns(joined).withColumn("claim", numeric_claim_of("low"))
 
 
-def rule_hits(clauses: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Theta join of clauses and rules: one row per clause and rule whose cue matches."""
-    det = F.col("w_det")
+@once
+def _hit_structs() -> Column:
     text = F.col("text")
     hits = []
     for order, rule in enumerate(pack.RULES):
@@ -130,14 +129,20 @@ def rule_hits(clauses: DataFrame, keep: list[str] | None = None) -> DataFrame:
                 ),
             )
         )
+    return F.array_compact(F.array(*hits))
+
+
+@once
+def _ordinary() -> Column:
+    near = [F.coalesce(name, F.lit("")) for name in ("prev_det", "next_det")]
+    return F.when(F.col("a_deadline"), ordinary_deadline(F.col("w_det"), *near)).otherwise(False)
+
+
+def rule_hits(clauses: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Theta join of clauses and rules: one row per clause and rule whose cue matches."""
     kept = ["msg_id", "clause_no", *(keep or [])]
     return (
-        clauses.withColumn(
-            "ordinary",
-            F.when(F.col("a_deadline"), ordinary_deadline(
-                det, F.coalesce("prev_det", F.lit("")), F.coalesce("next_det", F.lit("")))).otherwise(False),
-        )
-        .withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
+        clauses.withColumn("ordinary", _ordinary()).withColumn("_hit", F.explode(_hit_structs()))
         .select(*kept, "w_start", "w_end", "ordinary", "_hit.*",
                 F.substring("text", F.col("w_start") + 1, F.col("w_end") - F.col("w_start")).alias("original"))
     )

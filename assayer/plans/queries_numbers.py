@@ -68,7 +68,9 @@ def annualise(spark, folder):
     f"WITH {_SRC} SELECT msg_id, kind, round(percent0, 4) AS percent FROM nc_claim",
 )
 def numeric_claims(spark, folder):
-    claims = low_text(spark, folder).select("msg_id", n.numeric_claim(F.col("low")).alias("c")).where("c.kind IS NOT NULL")
+    # Exploding evaluates the claim once; a filter on it would be pushed down and repeat it.
+    claim = n.numeric_claim(F.col("low"))
+    claims = low_text(spark, folder).select("msg_id", F.explode(F.array(claim)).alias("c")).where("c.kind IS NOT NULL")
     return claims.select("msg_id", "c.kind", F.round(F.coalesce("c.percent", F.lit(-1.0)), 4).alias("percent"))
 
 
