@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from assayer.core.dims import dim, dim_sql, sql_literal
 from assayer.core.regex import folded, has_sql, once
 from assayer.functions.numbers import numeric_claim_of
-from assayer.functions.text import masked
+from assayer.functions.text import detection_text, masked
 from assayer.operators.clauses import joined_clauses, split_clauses
 from assayer.packs import rules as pack
 
@@ -123,7 +123,7 @@ def _hit_structs() -> Column:
                 F.struct(
                     F.lit(order).alias("rule_no"),
                     F.lit(rule.rule_id).alias("rule_id"),
-                    (F.lit(True) if gate is None else text.rlike(gate)).alias("in_context"),
+                    (F.lit(True) if gate is None else F.lower(detection_text(text)).rlike(folded(gate))).alias("in_context"),
                     _cautioned(rule.rule_id).alias("cautioned"),
                     live.alias("soliciting"),
                 ),

@@ -19,7 +19,8 @@ def _tiers(spark, folder):
     return rules.with_tier(m, rules.risk(rules.findings(m.select("msg_id", "text"), with_mask=False)))
 
 
-_FLAG = F.size(F.coalesce("reason_ids", F.array().cast("array<string>"))) > 0
+def _flagged():
+    return F.coalesce(F.size("reason_ids") > 0, F.lit(False))
 
 
 @query(
@@ -34,7 +35,7 @@ _FLAG = F.size(F.coalesce("reason_ids", F.array().cast("array<string>"))) > 0
 )
 def confusion(spark, folder):
     risky, harmless = F.col("expected"), ~F.col("expected")
-    tally = _tiers(spark, folder).withColumn("flagged", _FLAG).rollup("lang").agg(
+    tally = _tiers(spark, folder).withColumn("flagged", _flagged()).rollup("lang").agg(
         F.count("*").alias("total"),
         F.count_if(risky).alias("risky"),
         F.count_if(risky & F.col("flagged")).alias("risky_flagged"),
@@ -92,7 +93,7 @@ def _counts(df):
     + " UNION ALL ".join(_quality_sql(m, f"({n})", f"({d})") for m, n, d in _METRICS),
 )
 def quality_with_intervals(spark, folder):
-    return quality(_counts(_tiers(spark, folder).select(F.col("expected").alias("y"), _FLAG.alias("p"))))
+    return quality(_counts(_tiers(spark, folder).select(F.col("expected").alias("y"), _flagged().alias("p"))))
 
 
 @query(

@@ -117,7 +117,7 @@ def json_messages(spark: SparkSession, path: str) -> DataFrame:
         "expectAttention BOOLEAN, expectedAttention BOOLEAN, scored BOOLEAN, riskIntent STRING, "
         "expected STRUCT<minAttention: INT, maxFindings: INT>, annotation STRUCT<`group`: STRING>"
     )
-    schema = T.StructType(item.fields).add("items", T.ArrayType(item)).add("cases", T.ArrayType(item))
+    schema = T.StructType(list(item.fields)).add("items", T.ArrayType(item)).add("cases", T.ArrayType(item))
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
     fields = [c for c in raw.columns if c not in ("items", "cases")]
     alone = F.struct(*[F.col(f"`{c}`") for c in fields])
