@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.llm import quality_rules, slots, spaced_seeds, url_trie
+from assayer.llm import language_id, packing, quality_rules, simhash, slots, spaced_seeds, url_trie
 from assayer.llm.common import documents, read_table
 
 URL_RULES = [
@@ -12,6 +12,14 @@ URL_RULES = [
     ("allow", "com", "/fr/"), ("block", "com", "/de/"),
 ]
 SHARDS = 24
+#: A file of the tokenizers library; any path the executors can read.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
 
 
 def op1_quality_rules(spark, folder):
@@ -27,6 +35,14 @@ def op2_url_filters(spark, folder):
     return url_trie.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_simhash(spark, folder):
+    return simhash.near_duplicates(documents(spark, folder), shingle=3, radius=3)
+
+
+def op6_packing(spark, folder):
+    return packing.packed(packing.pieces(documents(spark, folder), tokenizer_path()))
+
+
 def op8_sharding(spark, folder):
     placed = slots.shard(documents(spark, folder), SHARDS)
     return placed.select(
@@ -35,13 +51,30 @@ def op8_sharding(spark, folder):
     )
 
 
+def held_out(doc_id):
+    """A fifth of the ids, chosen by a checksum; an unknown id is not held out."""
+    return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
+
+
+def language_model(docs):
+    return language_id.learn(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+
+
+def op9_language_id(spark, folder):
+    docs = documents(spark, folder)
+    judged = language_id.predict(docs.select("doc_id", "text"), language_model(docs))
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_decontamination(spark, folder):
     return spaced_seeds.contaminated(documents(spark, folder), read_table(spark, folder, "benchmark"))
 
 
 QUERIES = {
     fn.__name__: fn
-    for fn in (op1_quality_rules, op2_url_filters, op8_sharding, op10_decontamination)
+    for fn in (
+        op1_quality_rules, op2_url_filters, op3_simhash, op6_packing, op8_sharding, op9_language_id, op10_decontamination,
+    )
 }
 
 _FITS = " UNION ALL ".join(
