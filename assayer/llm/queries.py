@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.llm import language_id, packing, quality_rules, simhash, slots, spaced_seeds, url_trie
+from assayer.llm import (
+    language_id,
+    mincut_html,
+    packing,
+    quality_rules,
+    simhash,
+    slots,
+    spaced_seeds,
+    suffix_array,
+    superkmer,
+    url_trie,
+)
 from assayer.llm.common import documents, read_table
 
 URL_RULES = [
@@ -39,10 +50,24 @@ def op3_simhash(spark, folder):
     return simhash.near_duplicates(documents(spark, folder), shingle=3, radius=3)
 
 
+def op4_substring_dedup(spark, folder):
+    cut = superkmer.without_repeats(documents(spark, folder).select("doc_id", "text"), window=20)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_suffix_array_dedup(spark, folder):
+    cut = suffix_array.without_repeats(documents(spark, folder).select("doc_id", "text"), window=200)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_packing(spark, folder):
     return packing.packed(packing.pieces(documents(spark, folder), tokenizer_path()))
 
 
+def op7_html_extraction(spark, folder):
+    return mincut_html.extract(read_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_sharding(spark, folder):
     placed = slots.shard(documents(spark, folder), SHARDS)
     return placed.select(
@@ -73,7 +98,8 @@ def op10_decontamination(spark, folder):
 QUERIES = {
     fn.__name__: fn
     for fn in (
-        op1_quality_rules, op2_url_filters, op3_simhash, op6_packing, op8_sharding, op9_language_id, op10_decontamination,
+        op1_quality_rules, op2_url_filters, op3_simhash, op4_substring_dedup, op5_suffix_array_dedup, op6_packing,
+        op7_html_extraction, op8_sharding, op9_language_id, op10_decontamination,
     )
 }
 
