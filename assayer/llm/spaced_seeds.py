@@ -73,7 +73,7 @@ def _hits(texts: DataFrame, items: DataFrame) -> DataFrame:
     marks = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"h{m}").alias("h")) for m in range(len(MASKS))]))
     known = seeds(items, "item_tokens").select("item_id", "item_key", F.col("place").alias("item_place"), marks.alias("s"))
     known = known.select("item_id", "item_key", "item_place", "s.m", "s.h")
-    asked = seeds(texts, "doc_tokens").select("doc_id", "doc_key", "place", marks.alias("s"))
+    asked = seeds(texts.withColumn("doc_tokens", tokens(F.col("text"))).drop("text"), "doc_tokens").select("doc_id", "doc_key", "place", marks.alias("s"))
     met = asked.select("doc_id", "doc_key", "place", "s.m", "s.h").join(F.broadcast(known), ["m", "h"])
     return met.select(
         "doc_id", "doc_key", "item_id", "item_key", (F.col("place") - F.col("item_place")).alias("shift")
@@ -84,7 +84,7 @@ def _overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
     """Best verified overlap of every (document, item) of one benchmark block."""
     hits = _hits(texts, items).withColumnsRenamed({"doc_id": "hit_doc", "doc_key": "hit_key"})
     same = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("doc_key") == F.col("hit_key"))
-    laid = texts.join(hits, same).join(F.broadcast(items.select("item_key", "item_tokens")), "item_key")
+    laid = texts.join(hits, same).withColumn("doc_tokens", tokens(F.col("text"))).join(F.broadcast(items.select("item_key", "item_tokens")), "item_key")
     doc_start, item_start = F.greatest("shift", F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
     left = F.least(F.size("doc_tokens") - doc_start, F.size("item_tokens") - item_start)
     checked = laid.select(
@@ -113,7 +113,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_seeds: int = BLOCK
     )
     wanted = items.agg(F.sum(F.size("item_tokens").cast("long"))).first()[0] or 0
     blocks = max(1, -(-wanted * len(MASKS) // block_seeds))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), tokens(F.col("text")).alias("doc_tokens"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), "text")
     parts = [
         _overlaps(texts, items.where(F.pmod("item_key", F.lit(blocks)) == block)) for block in range(blocks)
     ]
