@@ -16,7 +16,8 @@ Defined cases: a text that is null or has no letter gets ``und`` and score 0; a
 text whose n-grams no language knows gets the language with most learned
 documents and score 0; without learnable rows everything is ``und``; equal
 counts go to the alphabetically first language; a null ``doc_id`` is not learned
-from but is predicted; repeated rows stay rows; further columns are ignored.
+from but is predicted; repeated rows stay rows; further columns are kept, but for those named like a
+result and names that begin with an underscore.
 """
 
 from __future__ import annotations
@@ -166,6 +167,7 @@ def characteristic(counts: dict[str, dict[int, int]], ratio: float = RATIO) -> d
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """Add lang_pred and score to rows with a ``text``."""
+    docs = docs.drop("lang_pred", "score")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     parts = (model.languages, model.fallback, model.bits, model.cells, model.chance)

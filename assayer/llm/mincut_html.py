@@ -11,7 +11,8 @@ Each page is one task-local problem: pages are never shuffled.
 
 Defined cases: a null or empty page, and one without content, has an empty text;
 broken or cut-off markup is read as far as it goes; repeated rows are judged
-each; an empty table gives an empty result; further columns are kept.
+each; an empty table gives an empty result; further columns are kept, but for
+those named like a result.
 """
 
 from __future__ import annotations

@@ -33,7 +33,7 @@ GROUP = 50_000
 #: Different words a worker remembers; older ones are forgotten and encoded again.
 REMEMBERED = 300_000
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
+_PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long, nth long"
 
 
 class WordIds:
@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, closing_id
         known, nth = WordIds(tokenizer), 0
         for batch in batches:
             texts, rows = batch["text"].tolist(), []
-            doc_ids = batch["doc_id"].astype("Int64").tolist()
+            doc_ids = batch["doc_id"].tolist()
             for low, high in _steps(texts):
                 split = [(text or b"").split() for text in texts[low:high]]
                 known.learn(set().union(*split))
@@ -100,10 +100,11 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, closing_id
                         part = ids[at : at + 4 * sequence]
                         rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), nth))
                         nth += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
 
-    return docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInPandas(cut, _PIECES)
+    # As a string: pandas has no whole numbers beside nulls.
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
+    return texts.mapInPandas(cut, _PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
@@ -154,17 +155,17 @@ def packed(rows: DataFrame, sequence: int = SEQUENCE, group: int = GROUP) -> Dat
     """Add sequence_id and offset to pieces."""
     rows = settle(rows, "pieces")
     groups = max(1, -(-rows.count() // group))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "nth"), F.lit(groups)))
+    dealt = rows.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "nth"), F.lit(groups)))
 
     def fill(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "piece", "nth"], kind="stable")
         number, offset = pack_longest_first(part["length"].to_numpy(), sequence)
-        part["doc_id"] = part["doc_id"].astype("Int64")
         part["sequence_id"] = part["part"].to_numpy() * (1 << 32) + number
         part["offset"] = offset
         return part.drop(columns=["part", "nth"])
 
-    return dealt.groupBy("part").applyInPandas(
+    placed = dealt.groupBy("part").applyInPandas(
         fill,
-        "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
+        "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
     )
+    return placed.withColumn("doc_id", F.col("doc_id").cast("long"))

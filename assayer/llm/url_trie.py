@@ -11,7 +11,8 @@ through the trie, with the same result.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path
 and gets the default verdict; repeated rows are judged each; an empty table
-gives an empty result; further columns are kept.
+gives an empty result; further columns are kept, but for those named like a
+result and names that begin with an underscore.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ def _longest(place: dict, path: str) -> tuple[str, str] | None:
 
 def judge(urls: DataFrame, rules: list[Rule], default: str = "allow", max_trie_bytes: int = 32_000_000) -> DataFrame:
     """Add host, path, rule and verdict to rows with a ``url``."""
-    rows = urls.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    rows = urls.drop("rule", "verdict").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     if sum(len(host) + len(path) + 64 for _, host, path in rules) > max_trie_bytes:
         table = rows.sparkSession.createDataFrame(rules, "action string, rule_host string, rule_path string")
         return judge_by_join(rows, table, default)
