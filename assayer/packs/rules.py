@@ -11,6 +11,7 @@ from typing import NamedTuple
 from unicodedata import normalize
 
 from assayer.core.regex import anyof, words
+from assayer.packs import turns
 
 
 def _n(pattern: str) -> str:
@@ -111,9 +112,8 @@ CONTEXT_GATES: dict[str, str] = {
 
 # A caution cancels a cue in its own clause unless a switch back to a live offer follows.
 CAUTION_COLUMNS = "rule_id, caution_no, kind, pattern, unless_pattern"
-_SWITCH = "(?i)(?:but|however|lekin|kintu) (?:please|now|our|we|send|pay)"
 CAUTIONS = [
-    (rule, number, kind, _n(pattern), _SWITCH)
+    (rule, number, kind, _n(pattern), turns.SWITCH)
     for number, (rule, kind, pattern) in enumerate(
         [
             ("*", "negated", anyof(words("never", "cannot", "mat", "nahi"), r"(?i)do(?:es)? not (?:pay|share|send|borrow|ask|buy)",
@@ -123,6 +123,7 @@ CAUTIONS = [
             ("*", "past", "(?i)was caught|had demanded|i declined|last year i"),
             ("guarantee", "impossible", "(?i)no fund can|is not proof of|कोई भी योजना|কোনও স্কিম"),
             ("outsized", "impossible", "(?i)no fund can|is not proof of|कोई भी योजना|কোনও স্কিম"),
+            ("periodic", "impossible", "(?i)no fund can|is not proof of|कोई भी योजना|কোনও স্কিম"),
             ("tip", "not proof", "(?i)not proof of"),
             ("credentials", "warning", "(?i)^ ?(?:warning|caution|beware)"),
             ("urgency", "warning", "(?i)^ ?(?:warning|caution|beware)"),
@@ -144,12 +145,7 @@ NEIGHBOUR_LIMIT = 300
 
 # Ordinary contexts: exempt when the positive wording occurs without the override.
 EXEMPTIONS = [
-    ("retail-promotion", _n(anyof("(?i)shopping|shirts?|grocery|gadget|restaurant|shop gives", "खरीदारी|কেনাকাটা")),
-     _n(anyof("(?i)invest|profit|return|crypto|stock|otp|password|withdraw|prize|arrest", "निवेश|বিনিয়োগ"))),
-    ("bill-deadline", _n(anyof("(?i)bill|invoice|rent |instalment|tuition|loan payment|statement", "बिल|किस्त|কিস্তি")),
-     _n(anyof("(?i)invest|trad|crypto|profit|return|prize|otp|password", "निवेश|বিনিয়োগ"))),
-    ("ordinary-fee", _n(anyof("(?i)college|course|tuition|bank loan|late fee|annual fee", "स्कूल|কোর্স")),
-     _n(anyof("(?i)unlock|withdraw|prize|lottery|task", "इनाम|পুরস্কার"))),
+    (name, _n("(?i)" + turns.either(usual)), _n("(?i)" + turns.either(override))) for name, (usual, override) in turns.EVERYDAY.items()
 ]
 
 # Purpose wording and the rules that make a message promotional.
@@ -157,36 +153,15 @@ PROMOTIONAL_RULES = ("promotion", "urgency", "tip", "pay-to-earn", "social-proof
 EXPLANATORY = _n(anyof("(?i)means|refers to|understand|for example|is an example|lesson|explains", "समझें|मतलब|বুঝুন|মানে"))
 
 # Concept matchers in their fixed order; `risk` is the default.
-CONCEPTS = [
-    ("nav", r"(?i)(?:^|[^a-z0-9])nav(?:$|[^a-z0-9])|एनएवी"),
-    ("diversification", "(?i)diversif|basket|टोकरी"),
-    ("volatility", "(?i)volatil|fluctuat|crash|leverag|गिरावट|পতন"),
-    ("compounding", "(?i)compound|double|दोगुन|দ্বিগুণ"),
-    ("fees", "(?i)fee|expense|charge|शुल्क|চার্জ"),
-    ("nomination", "(?i)nomin|नामांकन|নমিনি"),
-    ("risk", "(?i)risk|guarantee|जोखिम|गारंटी|ঝুঁকি"),
-]
+CONCEPTS = list(turns.CONCEPTS.items())
 DEFAULT_CONCEPT = "risk"
 CONCEPT_LIMIT = 3
 
 # Wording that addresses a reviewer or tries to change instructions: eight kinds.
-INSTRUCTION_LIKE = [
-    "(?i)ignore (?:all|any|the|previous|above|earlier|prior|your)",
-    "(?i)(?:system|developer) ?(?:prompt|message|instruction)",
-    "(?i)(?:you are|as) (?:an? |the )?(?:ai|assistant|language model|classifier|reviewer|moderator)(?:$|[^a-z])",
-    "(?i)(?:^|[^a-z])(?:ai|assistant|model|classifier|reviewer|moderator) ?[:,]",
-    r"(?i)(?:classify|label|mark|treat|rate|consider)[^a-z][^.!?\n]{0,40}(?:safe|harmless|benign|legit|genuine)",
-    r"(?i)(?:withdraw|remove|delete|drop|suppress|hide)[^a-z][^.!?\n]{0,30}(?:warning|finding|flag|alert|cue)",
-    r"(?i)(?:^|[^a-z])(?:json|schema)(?:$|[^a-z])|</? ?(?:system|assistant|user) ?>",
-    _n("सिस्टम प्रॉम्प्ट|निर्देश को अनदेखा|সিস্টেম প্রম্পট|নির্দেশ উপেক্ষা"),
-]
+INSTRUCTION_LIKE = [_n(pattern) for pattern in turns.INSTRUCTION_LIKE.values()]
 
 # Verbs that ask the reader to act.
-READER_ASK = _n(anyof(
-    words("pay", "send", "transfer", "deposit", "share", "enter", "scan", "click", "tap", "install", "download",
-          "call", "contact", "join", "invest", "register", "verify", "update", "reply", "buy",
-          "bhejo", "batao", "lagao", "pathan", "pathao"),
-    "भेजें|बताएं|जमा करें|भुगतान करें|পাঠান|জানান|জমা দিন"))
+READER_ASK = _n(anyof(words(turns.either(*turns.ASKED.values())), turns.either(turns.ASKED_OTHER)))
 
 # Scripts outside the supported set.
 OTHER_SCRIPTS = ("Tamil", "Telugu", "Kannada", "Malayalam", "Gujarati", "Gurmukhi", "Oriya")

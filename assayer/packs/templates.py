@@ -40,7 +40,7 @@ _PAIRS = [
      "Insider news: buy call on a small stock, target price {fee}, sure shot gain of {pct}% in {days} days. Keep it secret.",
      "The article explains why a target price is not proof of gain. Understand risk before you buy a stock."),
     ("borrow", "en",
-     "Take a loan and invest Rs {amt} through our Telegram app; see the screenshots of happy members.",
+     "Take a loan to invest Rs {amt} through our Telegram app; see the screenshots of happy members.",
      "Do not borrow to invest. A loan of Rs {amt} has a cost, for example interest of {pct}% yearly."),
     ("abusive-pressure", "en",
      "Pay Rs {fee} now or we will shame you and send your photos to your family.",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from assayer.core.dims import sql_literal as q
 from assayer.core.regex import has_sql
 from assayer.functions import numbers as n
+from assayer.packs import measures as w
 
 
 def matches_sql(source: str, column: str, pattern: str) -> str:
@@ -38,18 +39,18 @@ nc_money AS (
   SELECT *, value0 * CASE {scale} ELSE 1.0::DOUBLE END AS value FROM (
     SELECT msg_id, clause_no, ord, pos,
            CAST(replace(regexp_extract(hit, {q(n.NUMBER)}), ',', '') AS DOUBLE) AS value0,
-           regexp_extract(hit, {q('(?i)[0-9]' + chr(92) + 's*(' + n.UNIT + ')')}, 1) AS unit,
+           regexp_extract(hit, {q(w.UNIT_OF_AMOUNT)}, 1) AS unit,
            CASE WHEN starts_with(hit, '$') THEN 'USD'
-                WHEN {has_sql('hit', '(?i)^(?:₹|rs|inr)|rupees$|inr$|रुपये$|रुपए$')} THEN 'INR'
-                ELSE nullif(upper(regexp_extract(hit, '(?i)(usdt|btc|eth|টাকা|taka)$', 1)), '') END AS currency,
-           NOT {has_sql('substr(t, pos + length(hit) + 1, 35)', '(?i)^' + chr(92) + 's*(?:members?|users?|people|views?|orders?|units?|kg|hours?|days?)' + chr(92) + 'b')}
-           AND ({has_sql('substr(t, greatest(0, pos - 45) + 1, least(pos, 45))', '(?i)' + chr(92) + 'b(?:invest|deposit|send|transfer|receive|get|earn|pays?)' + chr(92) + 'b[^.!?;]{0,35}$')}
-             OR {has_sql('substr(t, pos + length(hit) + 1, 35)', '(?i)^' + chr(92) + 's*(?:lagao|invest|deposit|jama|joma|pays?|fix|every|per|milega|पक्का|मिले|जमा|পাবেন|নিশ্চিত)')}) AS cue
+                WHEN {has_sql('hit', w.RUPEES)} THEN 'INR'
+                ELSE nullif(upper(regexp_extract(hit, {q(w.NAMED)}, 1)), '') END AS currency,
+           NOT {has_sql('substr(t, pos + length(hit) + 1, 35)', w.OTHER_COUNT)}
+           AND ({has_sql('substr(t, greatest(0, pos - 45) + 1, least(pos, 45))', w.CUE_BEFORE)}
+             OR {has_sql('substr(t, pos + length(hit) + 1, 35)', w.CUE_AFTER)}) AS cue
     FROM nc_a) WHERE currency IS NOT NULL OR cue),
 nc_m AS ({matches_sql('nc_text', 't', n.MULTIPLIER)}),
 nc_multiple AS (
   SELECT msg_id, clause_no, ord, pos, coalesce(TRY_CAST(nullif(regexp_extract(hit, '^[0-9]+(?:\\.[0-9]+)?'), '') AS DOUBLE),
-         CASE WHEN {has_sql('hit', '(?i)triple|तिगुना|তিনগুণ')} THEN 3.0 ELSE 2.0 END) AS multiple FROM nc_m),
+         CASE WHEN {has_sql('hit', w.THREEFOLD)} THEN 3.0 ELSE 2.0 END) AS multiple FROM nc_m),
 nc_rate_near AS (
   SELECT *, row_number() OVER (PARTITION BY msg_id, clause_no, ord ORDER BY abs(tpos - pos), tord) AS rk
   FROM (SELECT r.*, t.pos AS tpos, t.ord AS tord, t.days FROM nc_rate r JOIN nc_time t USING (msg_id, clause_no))),
@@ -80,7 +81,7 @@ nc_pick3 AS (
   WHERE pct >= {n.THRESHOLD_PERCENT} GROUP BY ALL
   UNION ALL
   SELECT DISTINCT m.msg_id, m.clause_no, CAST(NULL AS DOUBLE) FROM nc_multiple m JOIN nc_text x USING (msg_id, clause_no)
-  WHERE multiple >= 2 AND ({has_sql('t', n.INVESTMENT)} OR {has_sql('t', '(?i)made|earned|बना|कमाया')})
+  WHERE multiple >= 2 AND ({has_sql('t', n.INVESTMENT)} OR {has_sql('t', w.MADE)})
     AND NOT EXISTS (SELECT 1 FROM nc_time t WHERE t.msg_id = m.msg_id AND t.clause_no = m.clause_no)),
 nc_pick4 AS (
   SELECT x.msg_id, x.clause_no FROM nc_text x JOIN nc_span s USING (msg_id, clause_no)

@@ -66,6 +66,26 @@ def test_rejected_quote_is_blanked_and_live_request_stays(spark):
     assert "release-fee" not in by[0] and "release-fee" in by[1]
 
 
+def test_live_quotes_stay(spark):
+    texts = [
+        'Hello friend "Pay the release fee today" this article is only an example but please pay us now.',
+        'In our safety class: “Pay the release fee today”. Never follow such a message.',
+        'In our safety class: “Pay the release fee today”. Never follow such a message but please send Rs 500.',
+    ]
+    rows = spark.createDataFrame([(x,) for x in texts], "text STRING").select(quote_masked(F.col("text")).alias("q"))
+    assert ["release" in r.q for r in rows.collect()] == [True, False, True]
+
+
+def test_every_theme_is_raised_and_no_caution_is_periodic(spark, folder):
+    from assayer.packs import templates
+    from assayer.sources import messages
+
+    m = messages.templated(spark, folder)
+    raised = {(r.theme, r.rule_id) for r in rules.findings(m, ["theme", "expected"]).where("expected").select("theme", "rule_id").distinct().collect()}
+    assert {t[2] for t in templates.rows()} <= {theme for theme, rule in raised if theme == rule}
+    assert rules.findings(m, ["expected"]).where("NOT expected AND rule_id = 'periodic'").count() == 0
+
+
 def test_excerpt_is_masked_and_joined(spark):
     by, _ = screen(spark, ["Your account is blocked today. Click the link or mail x@y.example.com"])
     assert by[0]["account-threat"].excerpt == "Your account is blocked today. Click the link or mail [email removed]"
