@@ -19,6 +19,7 @@ def local_session(cores: int | str = 8, app: str = "assayer", memory: str = "8g"
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
+        .config("assayer.local.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -66,10 +67,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when a table has fewer files than there are cores.
+    """Deal out a scan over ``assayer.local.partitions`` tasks, where a session sets that.
 
-    Large tables already arrive in many splits and are left alone, so the text
-    of a big corpus is never shuffled just to balance it.
+    A local session does, for tables that are one small file and would else be
+    read by one core. A cluster leaves it unset: its tables arrive in many splits
+    (``spark.sql.files.maxPartitionBytes``) and texts are not shuffled to balance
+    them.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    tasks = df.sparkSession.conf.get("assayer.local.partitions", None)
+    return df.repartition(int(tasks)) if tasks else df

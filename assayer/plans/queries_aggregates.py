@@ -204,10 +204,11 @@ BUCKETS_SQL = f"""SELECT *, CASE WHEN status IS NULL THEN 'no-response' WHEN CAS
        WHEN retry_delay_ms <= 3600000 THEN 'up-to-1h' ELSE 'over-1h' END AS retry_bucket FROM ({OUTCOMES_SQL})"""
 
 _DIMENSIONS = ("pass", "status_bucket", "quota_scope", "failure", "retry_bucket")
-COUNTER_LIMIT = 1500
+# Fixed value: the largest whole number that a double holds exactly.
+COUNTER_LIMIT = 2**53 - 1
 
 
-def counters(events, limit: int = 2**53 - 1):
+def counters(events, limit: int = COUNTER_LIMIT):
     """Saturating counters per event name, and per dimension of finished calls only.
 
     One aggregation over grouping sets; each counter is a single row.
@@ -233,7 +234,7 @@ def counters(events, limit: int = 2**53 - 1):
     ),
 )
 def outcome_counters(spark, folder):
-    return counters(read_table(spark, folder, "events"), COUNTER_LIMIT)
+    return counters(read_table(spark, folder, "events"))
 
 
 @query(

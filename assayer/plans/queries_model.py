@@ -121,37 +121,37 @@ def term_weights(spark, folder):
 _SMALL = 2**12
 
 
-def training_set(spark, folder, buckets=_SMALL):
+def training_set(spark, folder, buckets=hashing.BUCKETS, kinds=hashing.ALL_KINDS):
     labels = read_table(spark, folder, "labels").select(
         F.col("doc_id").alias("msg_id"), (F.col("quality") == 0).cast("double").alias("label")
     )
     docs = messages.documents(spark, folder).join(labels, "msg_id")
-    feats = model.features(docs.select("msg_id", t.masked(F.col("text")).alias("text")), "w b", buckets)
+    feats = model.features(docs.select("msg_id", t.masked(F.col("text")).alias("text")), kinds, buckets)
     return model.training_rows(feats, docs.select("msg_id", "source", "label"), buckets)
 
 
 @query("mdl4_train")
 def train(spark, folder):
-    """Train on all labelled documents; returns the weights before pruning, with the bias at -1."""
-    fitted = model.fit(settle(training_set(spark, folder), "training-rows"), 30)
-    weights, bias = model.pruned(spark, fitted, _SMALL)
+    """Train on all labelled documents; returns the largest weights, with the bias at -1."""
+    fitted = model.fit(settle(training_set(spark, folder), "training-rows"))
+    weights, bias = model.pruned(spark, fitted)
     return weights.unionByName(spark.range(1).select(F.lit(-1).alias("idx"), F.lit(bias).alias("w")))
 
 
 @query("mdl4_leave_one_source_out")
 def leave_one_source_out(spark, folder):
-    return summarise_held_out(model.leave_one_source_out(training_set(spark, folder), max_iter=10), model.THRESHOLD)
+    return summarise_held_out(model.leave_one_source_out(training_set(spark, folder, _SMALL, "w b"), max_iter=10), model.THRESHOLD)
 
 
 @query(
     "mdl5_prune_weights",
     f"""WITH {_FEATURES} SELECT idx, round(w * 10000) / 10000 AS w FROM (
-        SELECT idx, {model.FROZEN_WEIGHT_SQL} AS w FROM (SELECT DISTINCT idx FROM feat) ORDER BY abs(w) DESC, idx LIMIT 300)""",
+        SELECT idx, {model.FROZEN_WEIGHT_SQL} AS w FROM (SELECT DISTINCT idx FROM feat) ORDER BY abs(w) DESC, idx LIMIT {model.KEEP})""",
 )
 def prune_weights(spark, folder):
     """The largest weights among the buckets that the messages use, ties by bucket."""
     used = model.features(messages.templated(spark, folder).select("msg_id", "text"), _KINDS).select("idx").distinct()
-    return model.prune(used.join(model.frozen_weights(spark), "idx"), 300)
+    return model.prune(used.join(model.frozen_weights(spark), "idx"))
 
 
 def frozen_scores(spark, folder):
@@ -164,7 +164,7 @@ def batch_score(spark, folder):
     return frozen_scores(spark, folder).select("msg_id", F.round("score", 6).alias("score"))
 
 
-_CUT = 0.55
+_CUT = model.THRESHOLD
 
 
 @query(
@@ -227,11 +227,19 @@ def score_parity(spark, folder):
 
 @query("win6_strongest_by_model")
 def strongest_by_model(spark, folder):
-    """The sentence most like the training messages, per message asking for an act."""
+    """The sentence most like the training messages, per message asking for an act.
+
+    A message without a sentence of six characters is judged as a whole.
+    """
     m = messages.templated(spark, folder).where(F.col("text").rlike(pack.READER_ASK)).select("msg_id", "text")
-    parts = m.select("msg_id", F.posexplode(c.clause_array(F.col("text"), False)).alias("no", "c")).select(
-        F.col("msg_id").alias("owner"), "no", F.trim("c.clause").alias("text")
-    ).where(F.length("text") >= 6)
+    sentences = F.filter(
+        F.transform(c.clause_array(F.col("text"), False), lambda x, i: F.struct(i.alias("no"), F.trim(x["clause"]).alias("text"))),
+        lambda s: F.length(s["text"]) >= 6,
+    )
+    whole = F.array(F.struct(F.lit(0).alias("no"), F.trim("text").alias("text")))
+    parts = m.select(F.col("msg_id").alias("owner"), sentences.alias("s"), whole.alias("whole")).select(
+        "owner", F.inline(F.when(F.size("s") > 0, F.col("s")).otherwise(F.col("whole")))
+    )
     keyed = parts.withColumn("msg_id", F.struct("owner", "no"))
     scores = model.score(model.features(keyed.select("msg_id", "text"), _KINDS), model.frozen_weights(spark), model.FROZEN_BIAS)
     best = scores.groupBy(F.col("msg_id.owner").alias("owner")).agg(

@@ -74,21 +74,25 @@ _SCORE = "length(clause) - length(replace(replace(clause, 't', ''), 'e', ''))"
 @query(
     "win6_strongest_sentence",
     f"""SELECT msg_id, clause_no, score, substr(part, 1, 300) AS excerpt FROM (
-        SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY score DESC, clause_no) AS rk FROM (
-          SELECT msg_id, clause_no, trim(clause, ' ' || chr(10)) AS part, {_SCORE} AS score FROM ({_SENTENCES})) WHERE length(part) >= 6) WHERE rk = 1""",
+        SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY whole, score DESC, clause_no) AS rk FROM (
+          SELECT msg_id, clause_no, trim(clause, ' ' || chr(10)) AS part, {_SCORE} AS score, false AS whole FROM ({_SENTENCES})
+          WHERE length(trim(clause, ' ' || chr(10))) >= 6
+          UNION ALL SELECT msg_id, 0, trim(text, ' ' || chr(10)), {_SCORE.replace('clause', 'text')}, true FROM {_DOCS})) WHERE rk = 1""",
 )
 def strongest_sentence(spark, folder):
-    """The highest-scoring sentence of a message, first on ties; any sentence score fits in."""
-    docs = messages.documents(spark, folder).select("msg_id", c.clause_array(F.col("text"), False).alias("cl"))
+    """The highest-scoring sentence of a message, first on ties; any sentence score fits in.
 
-    def rate(x, i):
-        clause = x["clause"]
+    A message without a sentence of six characters is judged as a whole.
+    """
+    docs = messages.documents(spark, folder).select("msg_id", "text", c.clause_array(F.col("text"), False).alias("cl"))
+
+    def rate(clause, i):
         bare = F.replace(F.replace(clause, F.lit("t"), F.lit("")), F.lit("e"), F.lit(""))
         part = F.trim(clause, F.lit(" \n"))
         return F.struct((F.length(bare) - F.length(clause)).alias("minus"), i.alias("clause_no"), part.alias("part"))
 
-    rated = F.filter(F.transform("cl", rate), lambda s: F.length(s["part"]) >= 6)
-    best = docs.select("msg_id", F.array_min(rated).alias("b")).where("b IS NOT NULL")
+    rated = F.filter(F.transform("cl", lambda x, i: rate(x["clause"], i)), lambda s: F.length(s["part"]) >= 6)
+    best = docs.select("msg_id", F.coalesce(F.array_min(rated), rate(F.col("text"), F.lit(0))).alias("b"))
     return best.select("msg_id", "b.clause_no", (-F.col("b.minus")).alias("score"), F.substring("b.part", 1, 300).alias("excerpt"))
 
 

@@ -78,8 +78,9 @@ def conversations(spark: SparkSession, folder: str, limit: int = MESSAGE_LIMIT)
 
     Share intake bounds a message to ``limit`` characters and reports what was
     cut. A part takes at least one character and its separator two, so parts past
-    ``limit / 3`` can never show; ranking them away first keeps even a
-    conversation with a large share of all turns from gathering in one task.
+    ``limit / 3`` can never show, nor what lies past ``limit`` inside a part;
+    cutting both first keeps even a conversation with a large share of all turns
+    from gathering in one task.
     """
     turns = read_table(spark, folder, "conversations").select(
         "conv_id", "turn", trimmed(F.replace(F.col("text"), F.lit("\x00"), F.lit(""))).alias("part")
@@ -92,7 +93,7 @@ def conversations(spark: SparkSession, folder: str, limit: int = MESSAGE_LIMIT)
     shown = (
         parts.withColumn("_rank", rank).where(F.col("_rank") <= limit // 3 + 1)
         .groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list(F.struct("_rank", "part"))).alias("parts"))
+        .agg(F.array_sort(F.collect_list(F.struct("_rank", F.substring("part", 1, limit).alias("part")))).alias("parts"))
         .select("conv_id", F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n").alias("whole"))
     )
     return sizes.join(shown, "conv_id").select(

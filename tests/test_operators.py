@@ -124,3 +124,12 @@ def test_library_never_cuts_lineage_locally():
             if name.endswith(".py"):
                 source = open(os.path.join(where, name), encoding="utf-8").read()
                 assert "local" + "Checkpoint" not in source and "crossJoin" not in source, name
+
+
+def test_counters_saturate(spark, folder):
+    from assayer.core.session import read_table
+    from assayer.plans.queries_aggregates import COUNTER_LIMIT, counters
+
+    events = read_table(spark, folder, "events")
+    free, held = ({(r.dimension, r.bucket): r.n for r in counters(events, n).collect()} for n in (COUNTER_LIMIT, 7))
+    assert max(free.values()) > 7 and held == {k: min(n, 7) for k, n in free.items()}
