@@ -85,6 +85,41 @@ def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), fn), 0)
 
 
+#: Values that one fold adds up; a fold copies its array at every step.
+_BLOCK = 64
+
+
+def starts(lengths: Column) -> Column:
+    """Where each part begins, from the parts' lengths.
+
+    Sums run inside blocks, and over the blocks' totals, so a text with many parts
+    costs in proportion to them.
+    """
+
+    def running(values: Column) -> Column:
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(
+            values, empty,
+            lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0), lambda acc, n: acc + n)
+
+    def blocks(values: Column) -> Column:
+        count = F.floor((F.size(values) + (_BLOCK - 1)) / _BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda k: F.slice(values, (k - 1) * _BLOCK + 1, _BLOCK))
+
+    def join(parts: Column) -> Column:
+        shifted = F.zip_with(
+            F.transform(parts, running), running(F.transform(parts, total)), lambda own, shift: F.transform(own, lambda at: at + shift)
+        )
+        return F.flatten(shifted)
+
+    return bind(lengths, lambda values: F.when(F.size(values) <= _BLOCK, running(values)).otherwise(bind(blocks(values), join)))
+
+
 def positions(column: Column, pattern: str) -> Column:
     """Array of (pos, hit): zero-based offset and text of every match.
 
@@ -93,25 +128,13 @@ def positions(column: Column, pattern: str) -> Column:
     """
     hits = find_all(column, pattern)
     gaps = F.split(column, pattern, -1)
-    walk = F.aggregate(
-        F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap")),
-        F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<pos:int,hit:string>>").alias("out"),
-        ),
-        lambda acc, part: F.struct(
-            (acc["at"] + F.length(part["gap"]) + F.length(part["hit"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(part["gap"])).alias("pos"), part["hit"].alias("hit")
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(hits) > 0, walk).otherwise(
+    gaps = F.slice(gaps, 1, F.size(hits))
+    parts = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+
+    def placed(cut: Column) -> Column:
+        begins = starts(F.transform(cut, lambda p: p["gap"] + F.length(p["hit"])))
+        return F.zip_with(cut, begins, lambda p, at: F.struct((at + p["gap"]).alias("pos"), p["hit"].alias("hit")))
+
+    return F.when(F.size(hits) > 0, bind(parts, placed)).otherwise(
         F.array().cast("array<struct<pos:int,hit:string>>")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.core.dims import sql_literal
-from assayer.core.regex import bind, folded, has_sql, once
+from assayer.core.regex import bind, folded, has_sql, once, starts
 from assayer.functions.text import detection_text
 from assayer.packs.rules import ATOMS, CONTINUATIONS, NEIGHBOUR_LIMIT
 from assayer.packs.turns import ABOUT_QUOTE, CONJUNCTION, LESSON, NEW_REQUEST, QUOTE, SWITCH, TURNED_DOWN
@@ -41,26 +41,17 @@ def marked_sql(column: str, conjunctions: bool = True) -> str:
 def clause_array(text: Column, conjunctions: bool = True) -> Column:
     """Array of (start, end, clause) with zero-based code-point offsets into ``text``."""
     pieces = F.split(marked(text, conjunctions), NEXT, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,clause:string>>")
-    walked = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p) - F.when(p.contains(STOP), 1).otherwise(0)).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        acc["at"].alias("start"),
-                        (acc["at"] + F.length(F.split_part(p, F.lit(STOP), F.lit(1)))).alias("end"),
-                        F.split_part(p, F.lit(STOP), F.lit(1)).alias("clause"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.filter(walked, lambda c: c["clause"] != "")
+
+    def walked(parts: Column) -> Column:
+        begins = starts(F.transform(parts, lambda p: F.length(p) - F.when(p.contains(STOP), 1).otherwise(0)))
+
+        def one(part: Column, at: Column) -> Column:
+            clause = F.split_part(part, F.lit(STOP), F.lit(1))
+            return F.struct(at.alias("start"), (at + F.length(clause)).alias("end"), clause.alias("clause"))
+
+        return F.zip_with(parts, begins, one)
+
+    return F.filter(bind(pieces, walked), lambda c: c["clause"] != "")
 
 
 @once

@@ -26,7 +26,7 @@ def corpus(spark, folder):
 
 def asked(spark, folder):
     items = read_table(spark, folder, "benchmark").select(F.col("item_id").alias("q_id"), "text")
-    return r.tokens(items, "q_id").select("q_id", "token")
+    return r.asked_tokens(items, "q_id")
 
 
 def scores(spark, folder):
@@ -156,7 +156,7 @@ def compatible_pairs(spark, folder):
     pairs = dim(spark, library.PAIR_COLUMNS, library.CONTRAST_PAIRS)
     wanted = pairs.select("pair_id", "source_ids", F.size("category_ids").alias("n"), F.explode("category_ids").alias("category"))
     terms = r.tokens(pairs.select("pair_id", F.array_join("terms", " ").alias("text")), "pair_id").select("pair_id", "token")
-    said = r.tokens(m.select("msg_id", "text"), "msg_id").select("msg_id", "token")
+    said = r.asked_tokens(m, "msg_id")
     shared = said.join(terms, "token").select("msg_id", "pair_id").distinct()
     offered = shown.select("msg_id", "source_id", F.explode("category_ids").alias("category"))
     met = wanted.join(offered, "category").where(F.array_contains("source_ids", F.col("source_id")))

@@ -133,3 +133,25 @@ def test_counters_saturate(spark, folder):
     events = read_table(spark, folder, "events")
     free, held = ({(r.dimension, r.bucket): r.n for r in counters(events, n).collect()} for n in (COUNTER_LIMIT, 7))
     assert max(free.values()) > 7 and held == {k: min(n, 7) for k, n in free.items()}
+
+
+def test_text_walks_are_linear(spark):
+    import time
+
+    from assayer.core.regex import positions, starts
+    from assayer.operators.clauses import clause_array
+
+    lengths = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda k: (k % 7).cast("int")).alias("n"))
+    got = lengths.select(starts(F.col("n")).alias("s")).first().s
+    assert got == [sum(k % 7 for k in range(i)) for i in range(1000)]
+
+    def seconds(n):
+        text = spark.createDataFrame([("Word and word. " * n,)], "text string")
+        begin = time.perf_counter()
+        row = text.select(F.size(clause_array(F.col("text"))).alias("c"), F.size(positions(F.col("text"), "and")).alias("p")).first()
+        assert row.c >= n and row.p == n
+        return time.perf_counter() - begin
+
+    seconds(100)
+    short, long = seconds(10_000), seconds(40_000)
+    assert long < 8 * short + 2
