@@ -16,7 +16,8 @@ aggregate that combines in every task and a join that can split a hot key.
 ``doc_id`` is smaller than any other; rows with one ``doc_id`` and one text are the
 same document and get the same result; with one ``doc_id`` and different texts
 they are different documents, ordered by a hash of the text; null texts have no
-words; an empty table gives an empty result; further columns are ignored.
+words; an empty table gives an empty result; further columns are kept, but for those
+named like a result and names that begin with an underscore.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 WINDOW, SUB = 20, 3
 #: Text that a task packs at a time, and packed text that a bucket should get, in bytes.
-FLUSH, BUCKET = 8 << 20, 8 << 20
+FLUSH, BUCKET = 3 << 20, 6 << 20
 #: Times the wanted load from which a bucket's windows leave one by one.
 HEAVY = 4
 
@@ -258,16 +259,33 @@ def _judge(window: int):
     return judge
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc and key tell documents apart: the id, and a hash of the text."""
-    return docs.withColumns({
-        "doc": F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("long"), "key": F.xxhash64("text"),
-    })
+def document_key() -> tuple[Column, Column]:
+    """What tells documents apart: the id (null is smallest), and a hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.xxhash64("text")
+
+
+def squeezed(texts: pd.Series) -> pd.Series:
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    return texts.map(lambda text: None if text is None else squeeze(text))
+
+
+def with_spans(docs: DataFrame, stretches: DataFrame) -> DataFrame:
+    """``docs`` with their stretches as the array ``_spans`` (null without any), and for ``text`` the compressed ``_text``.
+
+    This is the one time that whole texts are shuffled.
+    """
+    doc, key = document_key()
+    small: Callable[..., Column] = F.pandas_udf(squeezed, "binary")
+    spans = stretches.groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key"))
+    spans = spans.agg(F.collect_list(F.struct("low", "high")).alias("_spans"))
+    keyed = docs.withColumns({"_doc": doc, "_key": key, "_text": small(F.encode("text", "UTF-8"))}).drop("text")
+    return keyed.join(spans, ["_doc", "_key"], "left")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, bucket: int = BUCKET) -> DataFrame:
     """(doc, key, low, high): words [low, high) that an earlier window has as well; stretches may overlap."""
-    texts = keyed(docs).select("doc", "key", F.encode("text", "UTF-8").alias("text"))
+    doc, key = document_key()
+    texts = docs.select(doc.alias("doc"), key.alias("key"), F.encode("text", "UTF-8").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     number = max(1, -(-3 * size // bucket))
     loads = texts.mapInPandas(_load(window, number), "bucket long, load long").groupBy("bucket").agg(F.sum("load").alias("load"))
@@ -283,24 +301,30 @@ def repeated(docs: DataFrame, window: int = WINDOW, bucket: int = BUCKET) -> Dat
     return found.unionByName(later.select("doc", "key", F.col("start").alias("low"), (F.col("start") + window).alias("high")))
 
 
-def _without(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text, cuts in zip(texts, spans, strict=True):
-        words = text.split() if text else []
-        kept, at = [], 0
-        for cut in sorted((c["low"], c["high"]) for c in cuts) if cuts is not None else ():
-            kept += words[at : max(at, cut[0])]
-            at = max(at, cut[1])
-        kept += words[at:]
-        rows.append((b" ".join(kept).decode("utf-8", "replace"), len(words), len(words) - len(kept)))
-    return pd.DataFrame(rows, columns=["kept", "n_words", "n_removed"])
-
-
-def without_repeats(docs: DataFrame, window: int = WINDOW, bucket: int = BUCKET) -> DataFrame:
-    """Add kept (words joined by one space), n_words and n_removed to every row of ``docs``."""
-    spans = repeated(docs, window, bucket).groupBy("doc", "key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    cut: Callable[..., Column] = F.pandas_udf(_without, "kept string, n_words long, n_removed long")
-    joined = keyed(docs).join(spans, ["doc", "key"], "left")
-    return joined.withColumn("_cut", cut(F.encode("text", "UTF-8"), "spans")).select(
-        *docs.columns, "_cut.kept", "_cut.n_words", "_cut.n_removed"
-    )
+def _without(untouched: bool):
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        expand, rows = zstandard.ZstdDecompressor().decompress, []
+        for text, cuts in zip(texts, spans, strict=True):
+            text = expand(text) if text is not None else b""
+            words, kept, at = text.split(), [], 0
+            for low, high in sorted((c["low"], c["high"]) for c in cuts) if cuts is not None else ():
+                kept += words[at : max(at, low)]
+                at = max(at, high)
+            kept += words[at:]
+            left = text if untouched and len(kept) == len(words) else b" ".join(kept)
+            rows.append((left.decode("utf-8", "replace"), len(words), len(words) - len(kept)))
+        return pd.DataFrame(rows, columns=["kept", "n_words", "n_removed"])
+
+    return cut
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, bucket: int = BUCKET, untouched: bool = False) -> DataFrame:
+    """Add kept, n_words and n_removed to every row of ``docs``, instead of its text.
+
+    ``kept`` has the words that stay joined by one space; with ``untouched``, a
+    text that keeps all its words is as it was.
+    """
+    docs = docs.drop("kept", "n_words", "n_removed")
+    cut: Callable[..., Column] = F.pandas_udf(_without(untouched), "kept string, n_words long, n_removed long")
+    joined = with_spans(docs, repeated(docs, window, bucket)).withColumn("_cut", cut("_text", "_spans"))
+    return joined.select(*[c for c in docs.columns if c != "text"], "_cut.kept", "_cut.n_words", "_cut.n_removed")
