@@ -108,7 +108,58 @@ _FITS = " UNION ALL ".join(
     f"WHERE (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
     for action, host, path in URL_RULES
 )
+
+# Windows of 20 words in order of (document, start); all but the first of each content cover their words.
+_REPEATS = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    word AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+    win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS content
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20)),
+    later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS nth FROM win) WHERE nth > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
+    kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def _tokens_sql(text: str) -> str:
+    plain = rf"regexp_replace(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')"
+    return f"list_filter(string_split({plain}, ' '), lambda t: t <> '')"
+
+
+def _seeds_sql(source: str, key: str, tokens: str) -> str:
+    """(key, tokens, place, mask, the marked tokens) of every window."""
+    span = len(spaced_seeds.MASKS[0])
+    marked = ", ".join(
+        "struct_pack(m := {}, s := {})".format(m, " || ' ' || ".join(f"{tokens}[place + {k + 1}]" for k, bit in enumerate(mask) if bit == "1"))
+        for m, mask in enumerate(spaced_seeds.MASKS)
+    )
+    return (
+        f"SELECT {key}, place, unnest([{marked}]) AS seed FROM "
+        f"(SELECT {key}, {tokens}, unnest(range(0, len({tokens}) - {span - 1})) AS place FROM {source} WHERE len({tokens}) >= {span})"
+    )
+
+
+# Items are laid over texts at every place where a seed agrees; the best sufficient overlap of a pair counts.
+_OVERLAPS = f"""
+    WITH d AS (SELECT doc_id, {_tokens_sql('text')} AS ds FROM documents),
+    b AS (SELECT DISTINCT item_id, {_tokens_sql('text')} AS bs FROM benchmark),
+    hit AS (SELECT DISTINCT x.doc_id, y.item_id, x.place - y.place AS shift
+            FROM ({_seeds_sql('d', 'doc_id', 'ds')}) x JOIN ({_seeds_sql('b', 'item_id', 'bs')}) y USING (seed)),
+    laid AS (SELECT doc_id, item_id, greatest(shift, 0) AS doc_start, greatest(-shift, 0) AS item_start, ds, bs,
+                    least(len(ds) - greatest(shift, 0), len(bs) - greatest(-shift, 0)) AS size
+             FROM hit JOIN d USING (doc_id) JOIN b USING (item_id)),
+    flagged AS (SELECT *, list_transform(range(1, size + 1), lambda k: CAST(ds[doc_start + k] = bs[item_start + k] AS INTEGER)) AS f,
+                       least(size, {spaced_seeds.STRETCH}) AS width FROM laid),
+    checked AS (SELECT *, list_sum(f) AS overall FROM flagged
+                WHERE list_max(list_transform(range(1, size - width + 2), lambda k: list_sum(f[k:k + width - 1]))) >= {spaced_seeds.AGREE} * width)
+    SELECT doc_id, item_id, CAST(overall AS BIGINT) AS agreeing_words, CAST(len(bs) AS BIGINT) AS item_words,
+           CAST(doc_start AS BIGINT) AS doc_start, CAST(item_start AS BIGINT) AS item_start
+    FROM checked QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY overall DESC, doc_start, item_start) = 1"""
+
 ORACLES = {
+    "op4_substring_dedup": _REPEATS,
+    "op10_decontamination": _OVERLAPS,
     "op2_url_filters": rf"""
         WITH cut AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') AS h,
                             coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
