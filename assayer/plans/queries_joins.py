@@ -84,15 +84,15 @@ def merged_purpose(spark, folder):
 @query(
     "jn8_apply_withdrawals",
     f"""WITH {RISK} SELECT f.msg_id, f.rule_id, CASE WHEN m.msg_id IS NOT NULL AND severity = 'attention' AND mr.level <> 'strong' THEN 'context' ELSE severity END AS severity
-        FROM f LEFT JOIN (SELECT msg_id, theme FROM m WHERE NOT expected AND msg_id % 7 <> 0
-                          UNION SELECT msg_id, theme FROM m WHERE expected AND msg_id % 7 = 1) m ON m.msg_id = f.msg_id AND m.theme = f.rule_id
+        FROM f LEFT JOIN (SELECT msg_id, theme FROM m WHERE CASE WHEN expected THEN msg_id % 7 = 1 ELSE msg_id % 7 <> 0 END
+                            AND text NOT LIKE 'Ignore all previous instructions%') m ON m.msg_id = f.msg_id AND m.theme = f.rule_id
         JOIN mr ON mr.msg_id = f.msg_id""",
 )
 def apply_withdrawals(spark, folder):
     m = _m(spark, folder)
     local = _local(m)
     completed = F.when(F.col("expected"), F.col("msg_id") % 7 == 1).otherwise(F.col("msg_id") % 7 != 0)
-    withdrawals = m.select("msg_id", F.col("theme").alias("rule_id"), completed.alias("completed"))
+    withdrawals = m.select("msg_id", F.col("theme").alias("rule_id"), "text", completed.alias("completed"))
     return review.apply_withdrawals(local, withdrawals, rules.risk(local)).select("msg_id", "rule_id", "severity")
 
 
