@@ -17,6 +17,8 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,8 +32,11 @@ from assayer.llm.common import settle
 
 SEQUENCE, CLOSING_ID = 2048, 0
 GROUP = 50_000
-#: Different words a worker remembers; older ones are forgotten and encoded again.
-REMEMBERED = 300_000
+#: Different parts of words a worker remembers; then it starts anew.
+REMEMBERED = 800_000
+
+#: Signs that begin no contraction or special token.
+_SIGNS = b".,;:!?%$&#*"
 
 _PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long, nth long"
 
@@ -40,37 +45,67 @@ class WordIds:
     """Ids of words, as little-endian bytes.
 
     White space is a hard border for the tokenizer, so a text's ids are those of
-    its words one after the other.
+    its words one after the other. A tokenizer that lowers case and parts letters
+    from signs has the ids of "Word," in those of "word" and ",".
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
+        # A task has one core; threads of its own would only cost memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
+        self.words: dict[bytes, bytes] = {}
+        rules = json.loads(self.tokenizer.to_str())
+        before = json.dumps(rules.get("pre_tokenizer"))
+        self.split = '"Lowercase"' in json.dumps(rules.get("normalizer")) and r"[^\\s\\p{L}\\p{N}]+" in before
+        # Lower-case ASCII letters are one piece already and go straight to the merges, where that gives the same.
+        self.merges = self.tokenizer.model.tokenize
+        probes = ("a", "the", "word", "zqxj", "tionheand")
+        self.direct = self.split and all(self._merged(w) == self._encoded([w])[0] for w in probes)
+
+    def _merged(self, letters: str) -> bytes:
+        return array("I", [token.id for token in self.merges(letters)]).tobytes()
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cut(self, word: bytes) -> tuple[bytes, bytes]:
+        """Letters in lower case and the signs after them, or the word as it is."""
+        stem = word.rstrip(_SIGNS) if self.split else b""
+        if stem.isalpha():  # ASCII letters only
+            return stem.lower(), word[len(stem) :]
+        if len(stem) < len(word) and stem.decode("utf-8", "replace").isalpha():
+            return stem, word[len(stem) :]
+        return word, b""
 
     def learn(self, words: set[bytes]) -> None:
-        """Make all of ``words`` known; they stay so until the next call."""
-        if len(self.new) > self.remembered:
-            self.old, self.new = self.new, {}
-        missing = []
-        for word in words.difference(self.new):
-            ids = self.old.get(word)
-            if ids is None:
-                missing.append(word)
-            else:
-                self.new[word] = ids
-        texts = [word.decode("utf-8", "replace") for word in missing]
-        for word, got in zip(missing, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.new[word] = array("I", got.ids).tobytes()
+        """Make these words known, until the next call."""
+        if len(self.parts) > self.remembered:
+            self.parts = {b"": b""}
+        parts, cut, known, later = self.parts, self._cut, {}, []
+        for word in words:
+            stem, signs = cut(word)
+            try:
+                known[word] = parts[stem] + parts[signs]
+            except KeyError:
+                later.append((word, stem, signs))
+        missing = {part for _, *both in later for part in both if part not in parts}
+        letters = {part for part in missing if part.isalpha() and part.islower()} if self.direct else set()
+        parts.update((part, self._merged(part.decode())) for part in letters)
+        others = list(missing - letters)
+        parts.update(zip(others, self._encoded([part.decode("utf-8", "replace") for part in others]), strict=True))
+        for word, stem, signs in later:
+            known[word] = parts[stem] + parts[signs]
+        self.words = known
 
     def encode(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.new.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, words))
 
 
-def _steps(texts: list[bytes | None], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _steps(texts: list[bytes | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Runs of texts of bounded size; a longer text is alone."""
     at, size = 0, 0
     for k, text in enumerate(texts):
