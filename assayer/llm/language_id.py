@@ -129,7 +129,8 @@ def learn(rows: DataFrame, sample: int = SAMPLE, gram_count: int = GRAMS) -> Mod
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     labelled = rows.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     chosen = labelled.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
-    taken = labelled.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select("lang", "text")
+    # At most ``sample`` ids of each language, and languages are limited as well.
+    taken = labelled.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
