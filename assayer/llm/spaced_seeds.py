@@ -9,8 +9,14 @@ is contaminated where a stretch agrees but for a few substitutions.
 The benchmark is taken in blocks of bounded size. A block's seeds are broadcast,
 so windows of texts are never shuffled; only hits are, and then texts to them.
 
+An overlap counts from ``LEAST`` words on, or with the whole item where that is
+shorter. ``SEEDS`` leave an agreeing seed after any two substitutions in ten
+words, ``SHORT_SEEDS`` after any one in five, so whatever the comparison accepts
+is found. Under ``LEAST_SHORT`` words no word may differ, and an item is too
+common to be looked for inside texts: it has to be the whole text.
+
 Tokens are maximal runs of letters and digits, lower-cased. Defined cases: null
-texts have no tokens; items shorter than the widest mask are not searched;
+texts have no tokens; items without tokens are not searched;
 repeated items or documents are found each under their id (rows with one id
 count as one); a null id is an id of its own; empty tables give an empty
 result; further columns are ignored.
@@ -25,8 +31,11 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import let, settle
 
-#: Fixed masks: 1 is hashed, 0 is ignored.
+#: Masks of the SQL, which finds a part of what ``SEEDS`` find: 1 is hashed, 0 is ignored.
 MASKS = ("1101100111", "1110010111")
+#: Masks of the search, for items of at least LEAST words and of LEAST_SHORT to LEAST - 1 words.
+SEEDS, SHORT_SEEDS = ("111011", "1110101", "101000111"), ("1101", "1011")
+LEAST, LEAST_SHORT = 10, 5
 #: Words of a stretch that is compared, and the share of them that must agree.
 STRETCH, AGREE = 13, 0.8
 #: Seeds of one benchmark block; a seed takes about 30 bytes in the broadcast.
@@ -38,18 +47,23 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def seeds(rows: DataFrame, token_column: str) -> DataFrame:
-    """One row per token window with the hash of every mask, columns h0, h1, ... and the window's place."""
-    span = max(map(len, MASKS))
-    used = sorted({k for mask in MASKS for k, bit in enumerate(mask) if bit == "1"})
+def seeds(rows: DataFrame, token_column: str, masks: tuple[str, ...]) -> DataFrame:
+    """(place, m, h) of every token window: the number of the mask and the hash of what it marks."""
+    used = sorted({k for mask in masks for k, bit in enumerate(mask) if bit == "1"})
     w = F.col(token_column)
-    shifted = [F.slice(w, F.lit(k + 1), F.size(w) - (span - 1)).alias(f"t{k}") for k in used]
-    windows = rows.where(F.size(w) >= span).select("*", F.posexplode(F.arrays_zip(*shifted)).alias("place", "t"))
-    hashes = {
-        f"h{m}": F.xxhash64(*[F.col(f"t.t{k}") for k, bit in enumerate(mask) if bit == "1"])
-        for m, mask in enumerate(MASKS)
-    }
-    return windows.select(*rows.columns, "place", *[h.alias(name) for name, h in hashes.items()])
+    shifted = [F.slice(w, F.lit(k + 1), F.greatest(F.size(w) - k, F.lit(0))).alias(f"t{k}") for k in used]
+    windows = rows.select("*", F.posexplode(F.arrays_zip(*shifted)).alias("place", "t")).drop(token_column)
+    # A mask that reaches past the last token has no hash.
+    hashes = [
+        F.when(
+            F.col(f"t.t{len(mask) - 1}").isNotNull(),
+            F.xxhash64(*[F.col(f"t.t{k}") for k, bit in enumerate(mask) if bit == "1"]),
+        )
+        for mask in masks
+    ]
+    marks = F.explode(F.array(*[F.struct(F.lit(mask).alias("m"), h.alias("h")) for mask, h in zip(masks, hashes, strict=True)]))
+    found = windows.withColumn("s", marks).drop("t").where("s.h IS NOT NULL")
+    return found.withColumns({"m": F.col("s.m"), "h": F.col("s.h")}).drop("s")
 
 
 def _stretch(doc: Column, item: Column) -> Column:
@@ -65,29 +79,35 @@ def _stretch(doc: Column, item: Column) -> Column:
     return let(flags, best)
 
 
-def _hits(texts: DataFrame, items: DataFrame) -> DataFrame:
+def _hits(texts: DataFrame, items: DataFrame, kinds: set[str]) -> DataFrame:
     """Where a benchmark item may lie in a text: one row for each shift between the two.
 
-    ``shift`` is the place in the text minus the place in the item.
+    ``shift`` is the place in the text minus the place in the item. ``kinds`` are
+    the kinds of items there are.
     """
-    marks = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"h{m}").alias("h")) for m in range(len(MASKS))]))
-    known = seeds(items, "item_tokens").select("item_id", "item_key", F.col("place").alias("item_place"), marks.alias("s"))
-    known = known.select("item_id", "item_key", "item_place", "s.m", "s.h")
-    asked = seeds(texts.withColumn("doc_tokens", tokens(F.col("text"))).drop("text"), "doc_tokens").select("doc_id", "doc_key", "place", marks.alias("s"))
-    met = asked.select("doc_id", "doc_key", "place", "s.m", "s.h").join(F.broadcast(known), ["m", "h"])
-    return met.select(
-        "doc_id", "doc_key", "item_id", "item_key", (F.col("place") - F.col("item_place")).alias("shift")
-    ).distinct()
-
-
-def _overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
+    cut = texts.select("doc_id", "doc_key", tokens(F.col("text")).alias("doc_tokens"))
+    found = []
+    for kind, masks in (("long", SEEDS), ("short", SHORT_SEEDS)):
+        if kind in kinds:
+            sought = items.where(F.col("kind") == kind).select("item_id", "item_key", "item_tokens")
+            known = seeds(sought, "item_tokens", masks).withColumnRenamed("place", "item_place")
+            met = seeds(cut, "doc_tokens", masks).join(F.broadcast(known), ["m", "h"])
+            found.append(met.withColumn("shift", F.col("place") - F.col("item_place")))
+    if "whole" in kinds:
+        known = items.where("kind = 'whole'").select("item_id", "item_key", F.col("item_tokens").alias("doc_tokens"))
+        found.append(cut.join(F.broadcast(known), "doc_tokens").withColumn("shift", F.lit(0)))
+    columns = ["doc_id", "doc_key", "item_id", "item_key", "shift"]
+    return reduce(DataFrame.unionByName, [part.select(*columns) for part in found]).distinct()
+
+
+def _overlaps(texts: DataFrame, items: DataFrame, kinds: set[str]) -> DataFrame:
     """Best verified overlap of every (document, item) of one benchmark block."""
-    hits = _hits(texts, items).withColumnsRenamed({"doc_id": "hit_doc", "doc_key": "hit_key"})
+    hits = _hits(texts, items, kinds).withColumnsRenamed({"doc_id": "hit_doc", "doc_key": "hit_key"})
     same = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("doc_key") == F.col("hit_key"))
     laid = texts.join(hits, same).withColumn("doc_tokens", tokens(F.col("text"))).join(F.broadcast(items.select("item_key", "item_tokens")), "item_key")
     doc_start, item_start = F.greatest("shift", F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
     left = F.least(F.size("doc_tokens") - doc_start, F.size("item_tokens") - item_start)
-    checked = laid.select(
+    checked = laid.where(left >= F.least(F.size("item_tokens"), F.lit(LEAST))).select(
         "doc_id", "item_id", doc_start.alias("doc_start"), item_start.alias("item_start"),
         F.size("item_tokens").alias("item_words"),
         _stretch(F.slice("doc_tokens", doc_start + 1, left), F.slice("item_tokens", item_start + 1, left)).alias("found"),
@@ -104,17 +124,20 @@ def _overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """(doc_id, item_id) with the place and extent of the best overlap."""
-    item_tokens = tokens(F.col("text"))
+    item_tokens, n = tokens(F.col("text")), F.size("item_tokens")
     items = settle(
         benchmark.select("item_id", item_tokens.alias("item_tokens"))
         .dropDuplicates()
+        .where(n > 0)
+        .withColumn("kind", F.when(n >= LEAST, "long").when(n >= LEAST_SHORT, "short").otherwise("whole"))
         .withColumn("item_key", F.xxhash64("item_id", "item_tokens")),
         "benchmark-tokens",
     )
-    wanted = items.agg(F.sum(F.size("item_tokens").cast("long"))).first()[0] or 0
-    blocks = max(1, -(-wanted * len(MASKS) // block_seeds))
+    wanted, kinds = items.agg(F.sum(F.size("item_tokens").cast("long")), F.collect_set("kind")).first()
+    blocks = max(1, -(-(wanted or 0) * len(SEEDS) // block_seeds))
     texts = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), "text")
     parts = [
-        _overlaps(texts, items.where(F.pmod("item_key", F.lit(blocks)) == block)) for block in range(blocks)
+        _overlaps(texts, items.where(F.pmod("item_key", F.lit(blocks)) == block), set(kinds) or {"long"})
+        for block in range(blocks)
     ]
     return reduce(DataFrame.unionByName, parts)

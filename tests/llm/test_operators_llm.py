@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -491,5 +492,53 @@ def test_spaced_seeds(spark, docs_of, block):
     assert spaced_seeds.contaminated(docs_of(rows), benchmark.limit(0)).count() == 0
 
 
+def brute_overlaps(rows, items):
+    """Every item laid over every text at every shift, without seeds."""
+    token = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = set()
+    for i, text in rows:
+        d = token(text)
+        for item, words in items:
+            b = token(words)
+            if len(b) < 5:
+                out |= {(i, item)} if b and b == d else set()
+                continue
+            for shift in range(-len(b), len(d)):
+                flags = [d[j + shift] == b[j] for j in range(len(b)) if 0 <= j + shift < len(d)]
+                width = min(13, len(flags))
+                if len(flags) >= min(10, len(b)) and any(sum(flags[j : j + width]) >= 0.8 * width for j in range(len(flags) - width + 1)):
+                    out.add((i, item))
+    return out
+
+
+@pytest.mark.parametrize("masks, width, changes", [(spaced_seeds.SEEDS, n, 2) for n in (10, 11, 12, 13)] + [(spaced_seeds.SHORT_SEEDS, n, 1) for n in (5, 6, 7, 8, 9)])
+def test_every_accepted_substitution_leaves_a_seed(masks, width, changes):
+    for changed in itertools.combinations(range(width), changes):
+        assert any(
+            all(bit == "0" or p + k not in changed for k, bit in enumerate(mask))
+            for mask in masks for p in range(width - len(mask) + 1)
+        ), changed
+
+
+def test_spaced_seeds_against_a_search_without_seeds(spark, docs_of):
+    long, short = prose(80, 300).split(), {n: prose(80 + n, n) for n in (1, 3, 4, 5, 7, 9, 10, 11, 12, 13)}
+    items = [(n, text) for n, text in short.items()] + [(300, " ".join(long))]
+    rows = []
+    for phase in range(5):
+        rows.append((phase, " ".join("OTHER" if k % 5 == phase else w for k, w in enumerate(long))))
+    for n, text in short.items():
+        words = text.split()
+        for changes in (0, 1, 2, 3):
+            for changed in itertools.combinations(range(n), changes):
+                mixed = " ".join("OTHER" if k in changed else w for k, w in enumerate(words))
+                rows.append((1000 + len(rows), f"before {mixed} after"))
+        rows += [(1000 + len(rows), text.upper() + "."), (1000 + len(rows) + 1, " ".join(words[:-1]))]
+    benchmark = spark.createDataFrame(items, "item_id int, text string")
+    got = spaced_seeds.contaminated(docs_of(rows), benchmark)
+    found = [(r.doc_id, r.item_id) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == brute_overlaps(rows, items)
+    assert {(phase, 300) for phase in range(5)} <= set(found)
+
+
 def test_tokenizer_path_is_outside_the_repository():
     assert "/root/repo" not in tokenizer_path()
