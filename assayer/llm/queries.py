@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.llm import (
+    count_transducers,
     language_id,
     mincut_html,
+    oph_fingerprints,
     packing,
     quality_rules,
     simhash,
     slots,
     spaced_seeds,
+    spectrum_whitening,
     suffix_array,
     superkmer,
     url_trie,
@@ -95,11 +98,29 @@ def op10_decontamination(spark, folder):
     return spaced_seeds.contaminated(documents(spark, folder), read_table(spark, folder, "benchmark"))
 
 
+def op11_document_fingerprints(spark, folder):
+    found = oph_fingerprints.fingerprints(documents(spark, folder))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), F.lower(F.hex("fingerprint")).alias("fingerprint"),
+        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+def op12_phrase_collocations(spark, folder):
+    return count_transducers.collocations(documents(spark, folder))
+
+
+def op13_embedding_whitening(spark, folder):
+    found = spectrum_whitening.whiten(read_table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 QUERIES = {
     fn.__name__: fn
     for fn in (
         op1_quality_rules, op2_url_filters, op3_simhash, op4_substring_dedup, op5_suffix_array_dedup, op6_packing,
-        op7_html_extraction, op8_sharding, op9_language_id, op10_decontamination,
+        op7_html_extraction, op8_sharding, op9_language_id, op10_decontamination, op11_document_fingerprints,
+        op12_phrase_collocations, op13_embedding_whitening,
     )
 }
 
@@ -157,7 +178,30 @@ _OVERLAPS = f"""
            CAST(doc_start AS BIGINT) AS doc_start, CAST(item_start AS BIGINT) AS item_start
     FROM checked QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY overall DESC, doc_start, item_start) = 1"""
 
+# All phrases of one to five words are counted; lists of words keep their places.
+_COLLOCATIONS = r"""
+    WITH piece AS (SELECT coalesce(lang, 'und') AS lang,
+                          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+                   FROM documents),
+    listed AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM piece),
+    started AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM listed),
+    gram AS (SELECT lang, unnest([ws[i:i + k] FOR k IN range(0, 5) IF i + k <= len(ws)]) AS g FROM started),
+    f AS (SELECT lang, array_to_string(g, ' ') AS phrase, any_value(g) AS g, count(*) AS a FROM gram GROUP BY lang, phrase),
+    total AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+    candidate AS (SELECT * FROM f WHERE a >= 100 AND len(g) >= 2),
+    cut AS (SELECT c.lang, c.phrase, c.a, len(c.g) AS m, k, array_to_string(c.g[1:k], ' ') AS lp, array_to_string(c.g[k + 1:], ' ') AS rp
+            FROM (SELECT *, unnest(range(1, len(g))) AS k FROM candidate) c),
+    scored AS (SELECT c.*, x.a AS l, y.a AS r, n, CAST((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+               FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = lp JOIN f y ON y.lang = c.lang AND y.phrase = rp JOIN total t ON t.lang = c.lang),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inner_phrase AS (SELECT lang, a, array_to_string(g[s:e], ' ') AS phrase
+               FROM (SELECT *, unnest(range(s + 1, len(g) + 1)) AS e FROM (SELECT *, unnest(range(1, len(g))) AS s FROM candidate)) WHERE e - s + 1 < len(g)),
+    inside AS (SELECT DISTINCT b.lang, b.phrase FROM best b JOIN inner_phrase i ON i.lang = b.lang AND i.phrase = b.phrase WHERE 100 * i.a >= 100 * b.a)
+    SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS BIGINT) AS rank, phrase, a, l, r, n, score
+    FROM best ANTI JOIN inside USING (lang, phrase) QUALIFY rank <= 2000"""
+
 ORACLES = {
+    "op12_phrase_collocations": _COLLOCATIONS,
     "op4_substring_dedup": _REPEATS,
     "op10_decontamination": _OVERLAPS,
     "op2_url_filters": rf"""
