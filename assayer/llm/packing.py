@@ -32,8 +32,8 @@ from assayer.llm.common import settle
 
 SEQUENCE, CLOSING_ID = 2048, 0
 GROUP = 50_000
-#: Different parts of words a worker remembers; then it starts anew.
-REMEMBERED = 800_000
+#: Different parts of words a worker learns before it forgets those it has not met since the last time.
+REMEMBERED = 150_000
 
 #: Signs that begin no contraction or special token.
 _SIGNS = b".,;:!?%$&#*"
@@ -57,6 +57,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
         self.parts: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
         rules = json.loads(self.tokenizer.to_str())
         before = json.dumps(rules.get("pre_tokenizer"))
@@ -84,7 +85,7 @@ class WordIds:
     def learn(self, words: set[bytes]) -> None:
         """Make these words known, until the next call."""
         if len(self.parts) > self.remembered:
-            self.parts = {b"": b""}
+            self.parts, self.older = {b"": b""}, self.parts
         parts, cut, known, later = self.parts, self._cut, {}, []
         for word in words:
             stem, signs = cut(word)
@@ -93,6 +94,9 @@ class WordIds:
             except KeyError:
                 later.append((word, stem, signs))
         missing = {part for _, *both in later for part in both if part not in parts}
+        met = missing & self.older.keys()
+        parts.update(zip(met, map(self.older.__getitem__, met), strict=True))
+        missing -= met
         letters = {part for part in missing if part.isalpha() and part.islower()} if self.direct else set()
         parts.update((part, self._merged(part.decode())) for part in letters)
         others = list(missing - letters)

@@ -131,16 +131,19 @@ _FITS = " UNION ALL ".join(
 )
 
 # Windows of 20 words in order of (document, start); all but the first of each content cover their words.
+# Repeated rows are one document: it is judged once, and every row gets its result.
 _REPEATS = r"""
-    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-    word AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
-    win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS content
-            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20)),
-    later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS nth FROM win) WHERE nth > 1),
-    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
-    kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
-    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-    FROM d LEFT JOIN kept USING (doc_id)"""
+    WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id NULLS FIRST, text NULLS FIRST) AS no,
+                      regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+               FROM (SELECT DISTINCT doc_id, text FROM documents)),
+    word AS (SELECT no, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+    win AS (SELECT no, i, array_to_string(ws[i:i + 19], ' ') AS content
+            FROM (SELECT no, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20)),
+    later AS (SELECT no, i FROM (SELECT no, i, row_number() OVER (PARTITION BY content ORDER BY no, i) AS nth FROM win) WHERE nth > 1),
+    gone AS (SELECT DISTINCT no, unnest(range(i, i + 20)) AS i FROM later),
+    kept AS (SELECT no, string_agg(w, ' ' ORDER BY i) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (no, i) GROUP BY no)
+    SELECT r.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM documents r JOIN d ON r.doc_id IS NOT DISTINCT FROM d.doc_id AND r.text IS NOT DISTINCT FROM d.text LEFT JOIN kept USING (no)"""
 
 
 def _tokens_sql(text: str) -> str:

@@ -220,7 +220,9 @@ def _judge(window: int):
             seen["packed"] = own[seen["packed"]]
             parts.append(seen)
         seen = np.concatenate(parts)
-        seen = seen[np.lexsort((seen["start"], seen["key"], seen["doc"]))]
+        seen = seen[np.lexsort((seen["packed"], seen["start"], seen["key"], seen["doc"]))]
+        # Repeated rows are one document: the same string at the same place counts once.
+        seen = seen[np.concatenate([[True], seen[1:] != seen[:-1]])]
         # Number the strings by their earliest occurrence.
         different, earliest, string = np.unique(seen["packed"], return_index=True, return_inverse=True)
         by_place = np.argsort(earliest, kind="stable")

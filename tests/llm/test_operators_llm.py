@@ -237,6 +237,8 @@ def brute_words(rows, window):
 @pytest.mark.parametrize("bucket", [8 << 20, 60])
 def test_repeated_words(docs_of, bucket):
     rows = TEXTS + [(4, OTHER), (30, "x\u00a0y " * 60), (31, prose(3, 30) + " " + prose(8, 25))]
+    alone = prose(77, 60)  # nobody else has it: the repeated rows are one document and keep it
+    rows += [(40, alone), (40, alone), (None, prose(78, 40)), (None, prose(78, 40)), (41, alone[:200] + " " + prose(79, 30))]
     got = superkmer.without_repeats(docs_of(rows, kept="clash"), 20, bucket).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == brute_words(rows, 20)
     assert superkmer.without_repeats(docs_of([])).count() == 0
