@@ -7,7 +7,7 @@ leave before the next rule starts. The finished list is one ordered Spark
 ``CASE WHEN`` expression; documents that no rule covers are good.
 
 Learning reads counts per (statistic, threshold) only: each step is one
-aggregate whose result has at most ``statistics x (bins + 1)`` rows. All
+aggregate whose result has a few hundred rows, as thresholds are quantiles. All
 labelled rows take part, whatever their number.
 
 Defined cases: a null or blank text has all statistics 0 and fails the base
@@ -171,21 +171,50 @@ def _gain(p0: int, n0: int, p1: int, n1: int) -> float:
     return p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p0 / (p0 + n0))) if p1 else 0.0
 
 
-def _counts(rows: DataFrame, bins: dict[str, int]) -> dict[tuple[str, int], tuple[int, int]]:
-    """(bad, good) per statistic and bin; one aggregate of bounded size."""
-    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"b_{f}").alias("b")) for f in bins]))
-    table = rows.select(cells.alias("cell"), "bad").groupBy("cell.f", "cell.b")
+#: (bad, good) per side, statistic and bin.
+Cells = dict[tuple[bool, str, int], tuple[int, int]]
+
+
+def _counts(rows: DataFrame, features: list[str]) -> Cells:
+    """Counts of the rows that grow rules (False) and of those that prune them (True); one aggregate of bounded size."""
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"b_{f}").alias("b")) for f in features]))
+    table = rows.select("prunes", cells.alias("cell"), "bad").groupBy("prunes", "cell.f", "cell.b")
     return {
-        (r.f, r.b): (r.p, r.n - r.p)
+        (r.prunes, r.f, r.b): (r.p, r.n - r.p)
         for r in table.agg(F.sum(F.col("bad").cast("long")).alias("p"), F.count("*").alias("n")).collect()
     }
 
 
+@dataclass(frozen=True)
+class Choice:
+    """A condition with the (bad, good) rows it covers on either side."""
+
+    condition: Condition
+    grown: tuple[int, int]
+    pruned: tuple[int, int]
+
+    @property
+    def side(self) -> tuple[str, bool]:
+        return self.condition.feature, self.condition.above
+
+
+def _choices(cells: Cells, cuts: dict[str, list[float]]) -> list[Choice]:
+    """Every threshold of every statistic, in both directions."""
+    found = []
+    for f, values in cuts.items():
+        whole = [tuple(map(sum, zip(*[n for (side, g, _), n in cells.items() if side == prunes and g == f] or [(0, 0)], strict=True))) for prunes in (False, True)]
+        low = [(0, 0), (0, 0)]
+        for b, threshold in enumerate(values):
+            low = [tuple(x + y for x, y in zip(low[k], cells.get((k == 1, f, b), (0, 0)), strict=True)) for k in (0, 1)]
+            high = [(w[0] - x[0], w[1] - x[1]) for w, x in zip(whole, low, strict=True)]
+            found += [Choice(Condition(f, True, threshold), *high), Choice(Condition(f, False, threshold), *low)]
+    return found
+
+
 def learn(
     stats: DataFrame,
     labels: DataFrame,
     bins: int = 32,
-    max_rules: int = 8,
     max_conditions: int = 4,
     min_precision: float = 0.9,
     min_support: int = 5,
@@ -194,7 +223,9 @@ def learn(
 
     Two thirds of the labelled rows grow rules and one third prunes them. A rule
     stays only if at least ``min_precision`` of what it covers is bad among
-    either, and it covers ``min_support`` bad rows it grew on.
+    either, and it covers ``min_support`` bad rows it grew on. A candidate that
+    does not is set aside with its first statistic and direction, and the next one
+    grows; rules are added until no candidate qualifies.
     """
     marked = labels.where(F.col("quality").isNotNull()).select("doc_id", (F.col("quality") == 0).alias("bad"))
     features = [feature(f).alias(f) for f in FEATURES]
@@ -207,19 +238,39 @@ def learn(
         return DecisionList()
     coded = [_bin(f, values).alias(f"b_{f}") for f, values in cuts.items()]
     rows = settle(labelled.select("prunes", "bad", *stats.columns, *coded), "labelled-bins")
-    sizes = {f: len(values) for f, values in cuts.items()}
 
-    learned = DecisionList()
-    while len(learned.rules) < max_rules:
+    learned, aside = DecisionList(), set()
+    while True:
         rest = rows.where(learned.fired().isNull())
-        rule = _grow(rest.where(~F.col("prunes")), cuts, sizes, max_conditions)
-        if rule is None:
-            break
-        rule = _prune(rest, rule, min_precision, min_support)
+        cells = _counts(rest, list(cuts))
+        first = next(iter(cuts))
+        if sum(p for (side, f, _), (p, _n) in cells.items() if f == first and not side) < min_support:
+            return learned
+        rule = None
+        while rule is None:
+            grown = _grow(rest.where(~F.col("prunes")), cells, cuts, max_conditions, aside)
+            if grown is None:
+                break
+            rule = _prune(rest, grown, min_precision, min_support)
+            if rule is None:
+                aside.add((grown.conditions[0].feature, grown.conditions[0].above))
+        # A threshold too far out to gain much may still be a sound rule by itself.
+        rule = rule or _single(cells, cuts, min_precision, min_support)
         if rule is None:
-            break
+            return learned
         learned.rules.append(rule)
-    return learned
+
+
+def _sound(counts: tuple[int, int], min_precision: float) -> bool:
+    p, n = counts
+    return p > 0 and p >= min_precision * (p + n)
+
+
+def _single(cells: Cells, cuts: dict[str, list[float]], min_precision: float, min_support: int) -> Rule | None:
+    """The condition that covers most bad rows among those that qualify alone."""
+    sound = [c for c in _choices(cells, cuts) if c.grown[0] >= min_support and _sound(c.grown, min_precision) and _sound(c.pruned, min_precision)]
+    best = max(sound, key=lambda c: (c.grown[0] - c.grown[1], str(c.condition)), default=None)
+    return Rule((best.condition,)) if best else None
 
 
 def _bin(f: str, cuts: list[float]) -> Column:
@@ -228,36 +279,40 @@ def _bin(f: str, cuts: list[float]) -> Column:
 
 
 def _thresholds(labelled: DataFrame, bins: int) -> dict[str, list[float]]:
+    """Quantiles of all growing rows, more of them in the tails, and of the bad ones alone; halfway to the next value below."""
     steps = [k / bins for k in range(1, bins)]
+    tails = [1 / (bins * 2**k) for k in range(1, 7)]
+    shares = sorted({*steps, *tails, *[1 - t for t in tails]})
     grown = labelled.where(~F.col("prunes"))
-    found = grown.agg(*[F.percentile_approx(f, steps, 10_000).alias(f) for f in FEATURES]).first()
-    cuts = {f: sorted(set(found[f] or [])) for f in FEATURES}
+    bad = {f: F.when(F.col("bad"), F.col(f)) for f in FEATURES}
+    found = grown.agg(
+        *[F.percentile_approx(f, shares, 10_000).alias(f) for f in FEATURES],
+        *[F.percentile_approx(bad[f], shares, 10_000).alias(f"bad_{f}") for f in FEATURES],
+    ).first()
+    at = {f: sorted({*(found[f] or []), *(found[f"bad_{f}"] or [])}) for f in FEATURES}
+    below = [F.max(F.when(F.col(f) < v, F.col(f))).alias(f"{f}_{k}") for f in FEATURES for k, v in enumerate(at[f])]
+    if not below:
+        return {}
+    under = grown.agg(*below).first()
+    cuts = {f: sorted({(v + under[f"{f}_{k}"]) / 2 for k, v in enumerate(at[f]) if under[f"{f}_{k}"] is not None}) for f in FEATURES}
     return {f: values for f, values in cuts.items() if values}
 
 
-def _grow(rows: DataFrame, cuts: dict[str, list[float]], sizes: dict[str, int], most: int) -> Rule | None:
+def _grow(rows: DataFrame, cells: Cells, cuts: dict[str, list[float]], most: int, aside: set[tuple[str, bool]]) -> Rule | None:
+    """Add the condition of the greatest gain while there is one; the first one is none that was set aside."""
     conditions: list[Condition] = []
     while len(conditions) < most:
-        covered = reduce(lambda df, c: df.where(c.column()), conditions, rows)
-        cells = _counts(covered, sizes)
-        first = next(iter(sizes))
-        p0 = sum(p for (f, _), (p, _n) in cells.items() if f == first)
-        n0 = sum(n for (f, _), (_p, n) in cells.items() if f == first)
+        if conditions:
+            cells = _counts(reduce(lambda df, c: df.where(c.column()), conditions, rows), list(cuts))
+        choices = _choices(cells, cuts)
+        p0, n0 = (sum(x) for x in zip(choices[0].grown, choices[1].grown, strict=True))
         if not p0 or not n0:
             break
-        best, choice = 0.0, None
-        for f, values in cuts.items():
-            p_low = n_low = 0
-            for b, threshold in enumerate(values):
-                p, n = cells.get((f, b), (0, 0))
-                p_low, n_low = p_low + p, n_low + n
-                for above, p1, n1 in ((True, p0 - p_low, n0 - n_low), (False, p_low, n_low)):
-                    gain = _gain(p0, n0, p1, n1)
-                    if gain > best + 1e-9:
-                        best, choice = gain, Condition(f, above, threshold)
-        if choice is None:
+        gains = [(_gain(p0, n0, *c.grown), -k) for k, c in enumerate(choices) if conditions or c.side not in aside]
+        gain, place = max(gains, default=(0.0, 0))
+        if gain <= 1e-9:
             break
-        conditions.append(choice)
+        conditions.append(choices[-place].condition)
     return Rule(tuple(conditions)) if conditions else None
 
 
