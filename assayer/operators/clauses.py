@@ -6,6 +6,8 @@ are exploded, so neighbours need neither a window nor a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +73,14 @@ def _detected(conjunctions: bool, mask_quotes: bool) -> Column:
     return F.transform(clause_array(F.col("text"), conjunctions), detect)
 
 
+def clause_rows(messages: DataFrame, conjunctions: bool = True, mask_quotes: bool = False) -> DataFrame:
+    """Messages with ``_cl``, the array of their clauses and matching copies."""
+    quiet = messages.withColumn("quiet", _quiet_text()) if mask_quotes else messages
+    return quiet.withColumn("_cl", _detected(conjunctions, mask_quotes)).drop("quiet")
+
+
 @once
-def _with_neighbours() -> Column:
+def with_neighbours() -> Column:
     return F.transform(
         "_cl",
         lambda c, i: F.struct(
@@ -84,11 +92,8 @@ def _with_neighbours() -> Column:
 
 def split_clauses(messages: DataFrame, conjunctions: bool = True, mask_quotes: bool = False) -> DataFrame:
     """One row per clause: offsets, text, matching copy and both neighbours' copies."""
-    base = messages
-    if mask_quotes:
-        base = base.withColumn("quiet", _quiet_text())
-    base = base.withColumn("_cl", _detected(conjunctions, mask_quotes))
-    near = _with_neighbours()
+    base = clause_rows(messages, conjunctions, mask_quotes)
+    near = with_neighbours()
     kept = [c for c in messages.columns if c != "quiet"]
     return base.select(*kept, F.posexplode(near).alias("clause_no", "_c")).select(
         *kept, "clause_no", "_c.start", "_c.end", "_c.clause", "_c.det",
@@ -172,6 +177,34 @@ def joined_clauses(clauses: DataFrame, rejected) -> DataFrame:
     )
 
 
+def widened(clause: Column, low: Callable[[Column], Column], test: Callable[[Column, tuple[str, ...]], Column], rejected) -> Column:
+    """(w_start, w_end, w_det, prev_det, next_det) of one clause struct with its neighbours: ``joined_clauses`` inside the row.
+
+    ``test`` finds atoms in lower-case text. A dependency is rarely present, so it is tested before the cautions.
+    """
+    det = clause["det"]
+    prv, nxt = (F.coalesce(clause[n]["det"], F.lit("")) for n in ("prev", "next"))
+    forward = back = F.lit(False)
+    for _, first, then, looks_back in CONTINUATIONS:
+        forward = forward | (test(low(det), first) & test(low(nxt), then))
+        if looks_back:
+            back = back | (test(low(prv), first) & test(low(det), then))
+
+    def allowed(candidate: Column, near: Column) -> Column:
+        fits = (F.length(det) <= NEIGHBOUR_LIMIT) & (near != "") & (F.length(near) <= NEIGHBOUR_LIMIT)
+        return fits & candidate & ~rejected(low(det)) & ~rejected(low(near))
+
+    def window(side: Column) -> Column:
+        return F.struct(
+            F.when(side == -1, clause["prev"]["start"]).otherwise(clause["start"]).alias("w_start"),
+            F.when(side == 1, clause["next"]["end"]).otherwise(clause["end"]).alias("w_end"),
+            F.when(side == -1, F.concat_ws(" ", prv, det)).when(side == 1, F.concat_ws(" ", det, nxt)).otherwise(det).alias("w_det"),
+            clause["prev"]["det"].alias("prev_det"), clause["next"]["det"].alias("next_det"),
+        )
+
+    return bind(F.when(allowed(back, prv), -1).when(allowed(forward, nxt), 1).otherwise(0), window)
+
+
 def joined_sql(source: str, rejected) -> str:
     det, nxt, prv = "det", "coalesce(next_det, '')", "coalesce(prev_det, '')"
     limit = NEIGHBOUR_LIMIT

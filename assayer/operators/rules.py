@@ -1,8 +1,9 @@
 """Rule matching, cautions, first-match picking and risk tiers.
 
-Rules are a small fixed pack, so each wording test is one literal pattern in one
-projection over the clauses: patterns compile once per task and no join is
-needed. Only rows that hit a rule are shuffled, keyed by message and rule.
+Rules are a small fixed pack, so each wording test is one literal pattern that
+compiles once per task, and no join is needed. A message's clauses, hits, best hits
+and tier are arrays in its own row: between the scan and the tier nothing is
+shuffled or sorted.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.core.dims import dim, dim_sql, sql_literal
-from assayer.core.regex import folded, has_sql, once
-from assayer.functions.numbers import numeric_claim_of
+from assayer.core.regex import bind, folded, has_sql, once
+from assayer.functions.literals import Guard, may
+from assayer.functions.numbers import numeric_claim
 from assayer.functions.text import detection_text, masked
-from assayer.operators.clauses import joined_clauses, split_clauses
+from assayer.operators.clauses import clause_rows, widened, with_neighbours
 from assayer.packs import rules as pack
 
 EXCERPT_LIMIT = 400
@@ -32,14 +34,6 @@ def cautioned(column: Column, rule_id: str = "*") -> Column:
     return test
 
 
-def _cautioned(rule_id: str) -> Column:
-    """The same from the caution columns of ``atom_columns``."""
-    test = F.lit(False)
-    for caution in cautions_for(rule_id):
-        test = test | F.col(f"c_{caution[1]}")
-    return test
-
-
 def cautioned_sql(column: str, rule_id: str = "*") -> str:
     return "(" + " OR ".join(
         f"({has_sql(column, pattern)} AND NOT {has_sql(column, unless)})"
@@ -76,115 +70,192 @@ def ordinary_deadline_sql(det: str, prev: str, nxt: str) -> str:
     )
 
 
-def atom_columns(clauses: DataFrame, text: str = "w_det") -> DataFrame:
-    """Every wording test once per clause: atoms a_*, cautions c_*."""
-    low = F.col("low")
-    return clauses.select("*", F.lower(text).alias("low")).select(
-        "*",
-        *[low.rlike(folded(p)).alias(f"a_{n}") for n, p in pack.ATOMS.items()],
-        *[(low.rlike(folded(p)) & ~low.rlike(folded(u))).alias(f"c_{no}") for _, no, _, p, u in pack.CAUTIONS],
-    )
+# One bit per atom and per caution: what a message may hold at all.
+_GUARD = Guard({
+    **{f"a {name}": folded(pattern) for name, pattern in pack.ATOMS.items()},
+    **{f"c {number}": folded(pattern) for _, number, _, pattern, _ in pack.CAUTIONS},
+})
+
 
+def _atoms(mask: Column, low: Column, names: tuple[str, ...]) -> Column:
+    """All of these atoms are in lower-case text; a pattern only runs where the message may hold it."""
+    if not names:
+        return F.lit(True)
+    test = may(mask, _GUARD.bits(*[f"a {n}" for n in names]))
+    for name in names:
+        test = test & low.rlike(folded(pack.ATOMS[name]))
+    return test
 
-def _cue(rule: pack.Rule) -> Column:
+
+def _guarded_caution(mask: Column, low: Column, rule_id: str = "*") -> Column:
+    """``cautioned`` behind the message's bits."""
+    test = F.lit(False)
+    for _, number, _, pattern, unless in cautions_for(rule_id):
+        test = test | (may(mask, _GUARD.bits(f"c {number}")) & low.rlike(folded(pattern)) & ~low.rlike(folded(unless)))
+    return test
+
+
+def _cue(rule: pack.Rule, mask: Column, low: Column) -> Column:
     if rule.rule_id == "outsized":
-        return F.col("claim.kind").isNotNull()
-    test = F.lit(True)
-    for atom in rule.cue:
-        test = test & F.col(f"a_{atom}")
+        return numeric_claim(low)["kind"].isNotNull()
+    test = _atoms(mask, low, rule.cue)
     for atom in rule.cue_not:
-        test = test & ~F.col(f"a_{atom}")
+        test = test & ~_atoms(mask, low, (atom,))
     return test
 
 
-def _ask(rule: pack.Rule) -> Column:
-    test = F.lit(True)
-    for atom in rule.ask:
-        test = test & F.col(f"a_{atom}")
-    return test
+@once
+def _gates() -> Column:
+    """Context gates of the whole message, each only where the cue of its rule may occur."""
+    return F.struct(*[
+        F.when(
+            may(F.col("_may"), _GUARD.bits(*[f"a {n}" for n in rule.cue])),
+            F.lower(detection_text(F.col("text"))).rlike(folded(pack.CONTEXT_GATES[rule.rule_id])),
+        ).otherwise(False).alias(rule.rule_id)
+        for rule in pack.RULES if rule.rule_id in pack.CONTEXT_GATES
+    ])
 
 
-def screened_clauses(messages: DataFrame) -> DataFrame:
-    """Clauses with joined neighbours, wording tests and numeric claims."""
-    joined = joined_clauses(split_clauses(messages, mask_quotes=True), cautioned)
-    return atom_columns(joined).withColumn("claim", numeric_claim_of("low"))
+@once
+def _windows() -> Column:
+    mask = F.col("_may")
+    return F.transform(
+        "_near", lambda c: widened(c, F.lower, lambda low, names: _atoms(mask, low, names), lambda low: _guarded_caution(mask, low))
+    )
 
 
 @once
-def _hit_structs() -> Column:
-    text = F.col("text")
-    hits = []
-    for order, rule in enumerate(pack.RULES):
-        gate = pack.CONTEXT_GATES.get(rule.rule_id)
-        live = _ask(rule) & ~_cautioned(rule.rule_id)
-        hits.append(
-            F.when(
-                _cue(rule),
-                F.struct(
-                    F.lit(order).alias("rule_no"),
-                    F.lit(rule.rule_id).alias("rule_id"),
-                    (F.lit(True) if gate is None else F.lower(detection_text(text)).rlike(folded(gate))).alias("in_context"),
-                    _cautioned(rule.rule_id).alias("cautioned"),
-                    live.alias("soliciting"),
-                ),
+def _row_hits() -> Column:
+    mask = F.col("_may")
+
+    def of_clause(gates: Column):
+        def hits(window: Column, clause_no: Column) -> Column:
+            return bind(F.lower(window["w_det"]), lambda low: F.array_compact(F.array(*[
+                F.when(_cue(rule, mask, low), hit(order, rule, window, clause_no, low)) for order, rule in enumerate(pack.RULES)
+            ])))
+
+        def hit(order: int, rule: pack.Rule, window: Column, clause_no: Column, low: Column) -> Column:
+            quiet = _guarded_caution(mask, low, rule.rule_id)
+            near = [F.coalesce(window[n], F.lit("")) for n in ("prev_det", "next_det")]
+            return F.struct(
+                F.lit(order).alias("rule_no"), F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"),
+                F.lit(rule.family).alias("family"), F.lit(rule.is_action).alias("is_action"), F.lit(rule.is_scoped).alias("is_scoped"),
+                clause_no.alias("clause_no"), window["w_start"].alias("w_start"), window["w_end"].alias("w_end"),
+                (gates[rule.rule_id] if rule.rule_id in pack.CONTEXT_GATES else F.lit(True)).alias("in_context"),
+                quiet.alias("cautioned"), (_atoms(mask, low, rule.ask) & ~quiet).alias("soliciting"),
+                (ordinary_deadline(window["w_det"], *near) if rule.rule_id == "urgency" else F.lit(False)).alias("ordinary"),
             )
-        )
-    return F.array_compact(F.array(*hits))
 
+        return hits
 
-@once
-def _ordinary() -> Column:
-    near = [F.coalesce(name, F.lit("")) for name in ("prev_det", "next_det")]
-    return F.when(F.col("a_deadline"), ordinary_deadline(F.col("w_det"), *near)).otherwise(False)
+    return bind(_gates(), lambda gates: F.flatten(F.transform("_win", of_clause(gates))))
+
+
+def screened_clauses(messages: DataFrame) -> DataFrame:
+    """Messages with ``_hits``: every rule whose cue a clause, joined with what it depends on, carries.
+
+    The whole test stays in the message's row: clauses are an array, and one pass of
+    an automaton tells which wording tests can matter.
+    """
+    rows = clause_rows(messages, mask_quotes=True)
+    said = F.lower(F.array_join(F.transform("_cl", lambda c: c["det"]), " "))
+    near = rows.withColumn("_may", _GUARD.column(F.coalesce(said, F.lit("")))).withColumn("_near", with_neighbours())
+    return near.withColumn("_win", _windows()).withColumn("_hits", _row_hits()).drop("_cl", "_near", "_win", "_may")
 
 
-def rule_hits(clauses: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def _quoted(hit: Column) -> Column:
+    return F.substring(F.col("text"), hit["w_start"] + 1, hit["w_end"] - hit["w_start"])
+
+
+def rule_hits(screened: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Theta join of clauses and rules: one row per clause and rule whose cue matches."""
-    kept = ["msg_id", "clause_no", *(keep or [])]
-    return (
-        clauses.withColumn("ordinary", _ordinary()).withColumn("_hit", F.explode(_hit_structs()))
-        .select(*kept, "w_start", "w_end", "ordinary", "_hit.*",
-                F.substring("text", F.col("w_start") + 1, F.col("w_end") - F.col("w_start")).alias("original"))
-    )
+    # An outer explode: a plain one would first filter on the hits, and so find them twice.
+    each = screened.select("msg_id", *(keep or []), "text", F.explode_outer("_hits").alias("h")).where("h IS NOT NULL")
+    return each.select("msg_id", *(keep or []), "h.*", _quoted(F.col("h")).alias("original"))
 
 
-def findings(messages: DataFrame, keep: list[str] | None = None, with_mask: bool = True) -> DataFrame:
-    """One finding per message and rule, from the best clause.
+@once
+def _picked() -> Column:
+    """The best hit of every rule, in the order of the rules.
 
     Non-ordinary deadlines come first for ``urgency`` and live requests first for
-    scoped families; then clause order. The pick is a minimum, so each task
-    combines its own hits before anything is shuffled.
+    scoped families; then clause order.
     """
-    hits = rule_hits(screened_clauses(messages), keep).where("in_context AND NOT cautioned")
-    meta = dim(messages.sparkSession, "rule_id, severity, family, is_action, is_scoped",
-               [(r.rule_id, r.severity, r.family, r.is_action, r.is_scoped) for r in pack.RULES])
-    hits = hits.join(meta, "rule_id")
-    worse = (
-        F.when(F.col("rule_id") == "urgency", F.col("ordinary").cast("int"))
-        .when(F.col("is_scoped"), (~F.col("soliciting")).cast("int")).otherwise(0)
+    def worse(h: Column) -> Column:
+        return (
+            F.when(h["rule_id"] == "urgency", h["ordinary"].cast("int"))
+            .when(h["is_scoped"], (~h["soliciting"]).cast("int")).otherwise(0)
+        )
+
+    def pick(hits: Column) -> Column:
+        ranked = F.transform(hits, lambda h: F.struct(
+            h["rule_no"], worse(h).alias("worse"), h["clause_no"], h["w_start"], h["w_end"], h["soliciting"], h["rule_id"],
+            h["severity"], h["family"], h["is_action"], h["is_scoped"],
+        ))
+        # Sorted, the best hit of a rule is the one after a hit of another rule.
+        return bind(F.array_sort(ranked), lambda all_: F.filter(all_, lambda h, i: (i == 0) | (F.get(all_, i - 1)["rule_no"] != h["rule_no"])))
+
+    def finding(h: Column) -> Column:
+        return F.struct(
+            h["rule_no"], h["rule_id"], h["family"], h["is_action"], h["is_scoped"],
+            F.when(h["worse"] == 1, "context").otherwise(h["severity"]).alias("severity"), F.lit("local").alias("origin"),
+            h["clause_no"], h["w_start"], h["w_end"], h["soliciting"], _quoted(h).alias("original"),
+        )
+
+    return F.transform(pick(F.filter("_hits", lambda h: h["in_context"] & ~h["cautioned"])), finding)
+
+
+def judged(messages: DataFrame) -> DataFrame:
+    """Messages with ``found``: one finding per rule, from its best clause. Nothing is shuffled."""
+    return screened_clauses(messages).withColumn("found", _picked()).drop("_hits")
+
+
+def findings(messages: DataFrame, keep: list[str] | None = None, with_mask: bool = True) -> DataFrame:
+    """One row per message and rule, from the best clause."""
+    fields = ["rule_no", "rule_id", "family", "is_action", "is_scoped", "severity", "origin", "clause_no", "w_start", "w_end", "soliciting"]
+    each = judged(messages).select("msg_id", *(keep or []), F.explode_outer("found").alias("f")).where("f IS NOT NULL")
+    each = each.select("msg_id", *(keep or []), "f.*")
+    excerpt = masked(F.col("original")) if with_mask else F.col("original")
+    return each.select("msg_id", *(keep or []), *fields, F.substring(excerpt, 1, EXCERPT_LIMIT).alias("excerpt"))
+
+
+def _names(items: Column, field: str) -> Column:
+    return F.array_distinct(F.transform(items, lambda f: f[field]))
+
+
+def _level(reasons: Column, families: Column, actions: Column) -> Column:
+    """Strong needs two warning families and a local action supported by another
+    family; a fee demand with a return promise alone never is."""
+    supported = F.exists(
+        actions, lambda a: F.exists(families, lambda f: (f != a) & ~((a == "fee-demand") & (f == "return-promise")))
     )
-    best = F.min(F.struct(worse.alias("worse"), "clause_no", "w_start", "w_end", "soliciting", "original"))
-    keys = ["msg_id", *(keep or []), "rule_no", "rule_id", "severity", "family", "is_action", "is_scoped"]
-    picked = hits.groupBy(*keys).agg(best.alias("b"))
-    excerpt = masked(F.col("b.original")) if with_mask else F.col("b.original")
-    return picked.select(
-        *[k for k in keys if k != "severity"],
-        F.when(F.col("b.worse") == 1, "context").otherwise(F.col("severity")).alias("severity"),
-        F.lit("local").alias("origin"), F.col("b.clause_no").alias("clause_no"),
-        F.col("b.w_start").alias("w_start"), F.col("b.w_end").alias("w_end"),
-        F.col("b.soliciting").alias("soliciting"),
-        F.substring(excerpt, 1, EXCERPT_LIMIT).alias("excerpt"),
+    return (
+        F.when((F.size(families) >= 2) & supported, "strong")
+        .when(F.size(reasons) > 0, "potential").otherwise("insufficient")
     )
 
 
+def tiers(messages: DataFrame) -> DataFrame:
+    """Every message with n_findings, reason_ids, families and level, all in its own row."""
+    rows = judged(messages)
+    attention = rows.withColumn("_warn", F.filter("found", lambda f: f["severity"] == "attention"))
+    live = F.filter("_warn", lambda f: f["soliciting"])
+    named = attention.withColumns({
+        "n_findings": F.size("found").cast("long"), "reason_ids": F.array_sort(_names(F.col("_warn"), "rule_id")),
+        "families": _names(live, "family"), "_actions": _names(F.filter(live, lambda f: f["is_action"]), "family"),
+    })
+    return named.withColumn("level", _level(F.col("reason_ids"), F.col("families"), F.col("_actions"))).drop("_warn", "_actions", "found")
+
+
 def risk(found: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Tier per message that has findings.
+    """Tier per message from findings that were merged or changed, of messages that have some.
 
-    Strong needs two warning families and a local action supported by another
-    family; a fee demand with a return promise alone never is.
+    A finding of the second opinion only supports a tier where ``cited`` is true, and
+    never is the local action.
     """
     attention = F.col("severity") == "attention"
-    counted = attention & F.col("soliciting") & (F.col("rule_id") != "pattern-match")
+    cited = F.coalesce("cited", F.lit(False)) if "cited" in found.columns else F.lit(False)
+    counted = attention & F.col("soliciting") & (F.col("rule_id") != "pattern-match") & ((F.col("origin") != "ai") | cited)
     action = counted & F.col("is_action") & (F.col("origin") != "ai")
     per = found.groupBy("msg_id", *(keep or [])).agg(
         F.count("*").alias("n_findings"),
@@ -192,17 +263,7 @@ def risk(found: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.collect_set(F.when(counted, F.col("family"))).alias("families"),
         F.collect_set(F.when(action, F.col("family"))).alias("actions"),
     )
-    supported = F.exists(
-        "actions",
-        lambda a: F.exists(
-            "families", lambda f: (f != a) & ~((a == "fee-demand") & (f == "return-promise"))
-        ),
-    )
-    level = (
-        F.when((F.size("families") >= 2) & supported, "strong")
-        .when(F.size("reason_ids") > 0, "potential").otherwise("insufficient")
-    )
-    return per.withColumn("level", level)
+    return per.withColumn("level", _level(F.col("reason_ids"), F.col("families"), F.col("actions")))
 
 
 def with_tier(messages: DataFrame, tiers: DataFrame) -> DataFrame:

@@ -16,11 +16,11 @@ from assayer.sources import messages
 
 def _tiers(spark, folder):
     m = messages.templated(spark, folder).select("msg_id", "text", "lang", "expected", "theme")
-    return rules.with_tier(m, rules.risk(rules.findings(m.select("msg_id", "text"), with_mask=False)))
+    return rules.tiers(m)
 
 
 def _flagged():
-    return F.coalesce(F.size("reason_ids") > 0, F.lit(False))
+    return F.size("reason_ids") > 0
 
 
 @query(

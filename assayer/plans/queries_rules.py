@@ -116,8 +116,7 @@ def enriched(spark, folder):
 )
 def risk_tiers(spark, folder):
     m = messages.templated(spark, folder).select("msg_id", "text")
-    tiers = rules.with_tier(m, rules.risk(rules.findings(m, with_mask=False)))
-    return tiers.select("msg_id", "level", F.coalesce(F.array_join("reason_ids", ","), F.lit("")).alias("reasons"), "n_findings")
+    return rules.tiers(m).select("msg_id", "level", F.array_join("reason_ids", ",").alias("reasons"), "n_findings")
 
 
 @query(
@@ -129,14 +128,10 @@ def risk_tiers(spark, folder):
 )
 def status_and_summary(spark, folder):
     m = messages.templated(spark, folder).select("msg_id", "text")
-    per = rules.findings(m, with_mask=False).groupBy("msg_id").agg(
-        F.bool_or(F.col("severity") == "attention").alias("attention")
-    )
-    known = m.select("msg_id").join(per, "msg_id", "left")
-    return known.groupBy(
-        F.when(F.col("attention"), "attention").otherwise("context").alias("status"),
-        F.when(F.col("attention"), "pause").when(F.col("attention").isNotNull(), "more context")
-        .otherwise("not enough evidence").alias("summary"),
+    warned = F.size("reason_ids") > 0
+    return rules.tiers(m).groupBy(
+        F.when(warned, "attention").otherwise("context").alias("status"),
+        F.when(warned, "pause").when(F.col("n_findings") > 0, "more context").otherwise("not enough evidence").alias("summary"),
     ).agg(F.count("*").alias("n"))
 
 
