@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from unicodedata import normalize
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayer.core.dims import dim_sql
 from assayer.core.dims import sql_literal as q
 from assayer.core.regex import has_sql
 from assayer.core.session import read_table, settle
@@ -18,7 +21,7 @@ from assayer.functions.hashing import BUCKETS, MASK, OFFSET, PRIME, place_featur
 from assayer.operators import clauses as c
 from assayer.operators import model, rules
 from assayer.packs import rules as pack
-from assayer.packs import wording
+from assayer.packs import templates, wording
 from assayer.plans.catalog import query
 from assayer.plans.oracle_parts import FINDINGS, M
 from assayer.plans.queries_aggregates import summarise_held_out
@@ -66,18 +69,34 @@ def sound_keys_templated(spark, folder):
     return vocabulary.select("lang", "token", t.sound_key(F.col("token")).alias("key"))
 
 
-# The oracle hashes the features of distinct tokens and token pairs once.
-_KINDS = "w b c"
+# The oracle hashes the features of distinct tokens and token pairs once. Sound keys of Latin tokens come from SQL, those
+# of the other scripts' words, which only the message forms have, from the spelling rules.
+_SPELLED = sorted({
+    (token, hashing.sound(token))
+    for row in templates.rows() for token in regex.findall(r"[\p{L}\p{M}\p{N}]+", normalize("NFC", row[-1]).lower()) if not token.isascii()
+})
+_KEYS = f"""sk AS MATERIALIZED (SELECT token, coalesce(spelled.key, {_sound_sql('token')}) AS key
+        FROM (SELECT DISTINCT token FROM tk) LEFT JOIN ({dim_sql('token, key', _SPELLED)}) spelled USING (token))"""
+
+
+def _grams_sql(kind: str, word: str, low: int, high: int, source: str) -> str:
+    return (
+        f"SELECT token, '{kind}|' || substr(' ' || {word} || ' ', s, n) AS feature FROM (SELECT token, {word}, n, unnest(range(1, length({word}) + 4 - n)) AS s "
+        f"FROM (SELECT token, {word}, unnest(range({low}, least({high}, length({word}) + 2) + 1)) AS n FROM {source}))"
+    )
+
+
 _FEATURES = f"""{M},
 tk AS (SELECT msg_id, token, place, lead(token) OVER (PARTITION BY msg_id ORDER BY place) AS after
        FROM (SELECT msg_id, unnest(ts) AS token, generate_subscripts(ts, 1) AS place FROM (SELECT msg_id, {_TOKENS} AS ts FROM m))),
-one AS (SELECT token, 'w|' || token AS feature FROM (SELECT DISTINCT token FROM tk)
-        UNION ALL SELECT token, 'c|' || substr(' ' || token || ' ', s, n) FROM (
-          SELECT token, n, unnest(range(1, length(token) + 4 - n)) AS s FROM (
-            SELECT token, unnest(range(2, least(5, length(token) + 2) + 1)) AS n FROM (SELECT DISTINCT token FROM tk)))),
+{_KEYS},
+one AS (SELECT token, 'w|' || token AS feature FROM sk UNION ALL SELECT token, 'k|' || key FROM sk
+        UNION ALL {_grams_sql('c', 'token', 2, 5, '(SELECT DISTINCT token FROM sk)')} UNION ALL {_grams_sql('s', 'key', 3, 4, 'sk')}),
 onehash AS MATERIALIZED (SELECT token, CAST({hashing.fnv1a_sql('feature')} % {hashing.BUCKETS} AS INTEGER) AS idx FROM one),
 two AS (SELECT DISTINCT token, after FROM tk WHERE after IS NOT NULL),
-twohash AS MATERIALIZED (SELECT token, after, CAST({hashing.fnv1a_sql("('b|' || token || '|' || after)")} % {hashing.BUCKETS} AS INTEGER) AS idx FROM two),
+pair AS (SELECT token, after, 'b|' || token || '|' || after AS feature FROM two
+         UNION ALL SELECT t.token, t.after, 'kb|' || a.key || '|' || b.key FROM two t JOIN sk a ON a.token = t.token JOIN sk b ON b.token = t.after),
+twohash AS MATERIALIZED (SELECT token, after, CAST({hashing.fnv1a_sql('feature')} % {hashing.BUCKETS} AS INTEGER) AS idx FROM pair),
 cnt AS (SELECT msg_id, idx, count(*) AS n FROM (
           SELECT msg_id, idx FROM tk JOIN onehash USING (token)
           UNION ALL SELECT msg_id, idx FROM tk JOIN twohash USING (token, after)) GROUP BY ALL),
@@ -92,18 +111,18 @@ def _summary(feats):
     )
 
 
-@query(
-    "mdl3_features",
-    f"""WITH {_FEATURES} SELECT msg_id, count(*) AS n_buckets, CAST(sum(idx) AS BIGINT) AS idx_sum, round(max(value), 6) AS top_value,
-        round(sum(value * value), 6) AS squares FROM feat GROUP BY msg_id""",
-)
+_FEATURE_SUMMARY = f"""WITH {_FEATURES} SELECT msg_id, count(*) AS n_buckets, CAST(sum(idx) AS BIGINT) AS idx_sum, round(max(value), 6) AS top_value,
+        round(sum(value * value), 6) AS squares FROM feat GROUP BY msg_id"""
+
+
+@query("mdl3_features", _FEATURE_SUMMARY)
 def features(spark, folder):
-    return _summary(model.features(messages.templated(spark, folder).select("msg_id", "text"), _KINDS))
+    return _summary(model.features(messages.templated(spark, folder).select("msg_id", "text")))
 
 
-@query("mdl3_features_all_kinds")
+@query("mdl3_features_all_kinds", _FEATURE_SUMMARY)
 def features_all_kinds(spark, folder):
-    return _summary(model.features(messages.templated(spark, folder).select("msg_id", "text")))
+    return _summary(model.features(messages.templated(spark, folder).select("msg_id", "text"), hashing.ALL_KINDS))
 
 
 @query(
@@ -118,29 +137,26 @@ def term_weights(spark, folder):
     return counts.select("msg_id", "token", F.round(F.col("raw") / norm, 6).alias("value"))
 
 
-_SMALL = 2**12
-
-
-def training_set(spark, folder, buckets=hashing.BUCKETS, kinds=hashing.ALL_KINDS):
+def training_set(spark, folder):
+    """(features, labels) of all labelled documents."""
     labels = read_table(spark, folder, "labels").select(
         F.col("doc_id").alias("msg_id"), (F.col("quality") == 0).cast("double").alias("label")
     )
     docs = messages.documents(spark, folder).join(labels, "msg_id")
-    feats = model.features(docs.select("msg_id", t.masked(F.col("text")).alias("text")), kinds, buckets)
-    return model.training_rows(feats, docs.select("msg_id", "source", "label"), buckets)
+    return model.features(docs.select("msg_id", t.masked(F.col("text")).alias("text"))), docs.select("msg_id", "source", "label")
 
 
 @query("mdl4_train")
 def train(spark, folder):
     """Train on all labelled documents; returns the largest weights, with the bias at -1."""
-    fitted = model.fit(settle(training_set(spark, folder), "training-rows"))
+    fitted = model.fit(settle(model.training_rows(*training_set(spark, folder), BUCKETS), "training-rows"))
     weights, bias = model.pruned(spark, fitted)
     return weights.unionByName(spark.range(1).select(F.lit(-1).alias("idx"), F.lit(bias).alias("w")))
 
 
 @query("mdl4_leave_one_source_out")
 def leave_one_source_out(spark, folder):
-    return summarise_held_out(model.leave_one_source_out(training_set(spark, folder, _SMALL, "w b"), max_iter=10), model.THRESHOLD)
+    return summarise_held_out(model.leave_one_source_out(*training_set(spark, folder)), model.THRESHOLD)
 
 
 @query(
@@ -150,13 +166,13 @@ def leave_one_source_out(spark, folder):
 )
 def prune_weights(spark, folder):
     """The largest weights among the buckets that the messages use, ties by bucket."""
-    used = model.features(messages.templated(spark, folder).select("msg_id", "text"), _KINDS).select("idx").distinct()
+    used = model.features(messages.templated(spark, folder).select("msg_id", "text")).select("idx").distinct()
     return model.prune(used.join(model.frozen_weights(spark), "idx"))
 
 
 def frozen_scores(spark, folder):
     m = messages.templated(spark, folder).select("msg_id", "text")
-    return model.score(model.features(m, _KINDS), model.frozen_weights(spark), model.FROZEN_BIAS)
+    return model.score(model.features(m), model.frozen_weights(spark), model.FROZEN_BIAS)
 
 
 @query("mdl7_batch_score", f"WITH {_FEATURES} SELECT msg_id, round(score, 6) AS score FROM sc")
@@ -182,7 +198,7 @@ def model_findings(spark, folder):
     m = messages.templated(spark, folder).select("msg_id", "text")
     warned = rules.findings(m, with_mask=False).where("severity = 'attention'").select("msg_id").distinct()
     left = m.where(F.col("text").rlike(pack.READER_ASK)).join(warned, "msg_id", "left_anti")
-    scores = model.score(model.features(left, _KINDS), model.frozen_weights(spark), model.FROZEN_BIAS)
+    scores = model.score(model.features(left), model.frozen_weights(spark), model.FROZEN_BIAS)
     return scores.where(F.col("score") >= _CUT).select(
         "msg_id", F.lit("pattern-match").alias("rule_id"), F.lit("attention").alias("severity")
     )
@@ -194,15 +210,14 @@ _BIAS = model.FROZEN_BIAS
 @F.arrow_udf(T.DoubleType())
 def _score_alone(text: pa.Array) -> pa.Array:
     """An independent scorer: one message at a time, from the definition."""
-    import regex
-
     out = []
     for message in text.to_pylist():
         tokens = regex.findall(r"[\p{L}\p{M}\p{N}]+|[₹%$@]", regex.sub(r"\p{Nd}", "0", message.lower()))
         counts: dict[int, int] = {}
         for at, token in enumerate(tokens):
             following = tokens[at + 1] if at + 1 < len(tokens) else None
-            for feature in place_features(token, "", following, None, _KINDS.split()):
+            key_after = None if following is None else hashing.sound(following)
+            for feature in place_features(token, hashing.sound(token), following, key_after, hashing.ALL_KINDS.split()):
                 code = OFFSET
                 for byte in feature.encode():
                     code = ((code ^ byte) * PRIME) & MASK
@@ -241,7 +256,7 @@ def strongest_by_model(spark, folder):
         "owner", F.inline(F.when(F.size("s") > 0, F.col("s")).otherwise(F.col("whole")))
     )
     keyed = parts.withColumn("msg_id", F.struct("owner", "no"))
-    scores = model.score(model.features(keyed.select("msg_id", "text"), _KINDS), model.frozen_weights(spark), model.FROZEN_BIAS)
+    scores = model.score(model.features(keyed.select("msg_id", "text")), model.frozen_weights(spark), model.FROZEN_BIAS)
     best = scores.groupBy(F.col("msg_id.owner").alias("owner")).agg(
         F.min(F.struct((-F.col("score")).alias("minus"), F.col("msg_id.no").alias("no"))).alias("b")
     ).select("owner", "b.no", (-F.col("b.minus")).alias("score"))

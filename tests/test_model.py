@@ -25,3 +25,29 @@ def test_perturbed_messages_keep_their_findings(spark, folder):
 def test_scores_agree(spark, folder):
     row = queries()["mdl9_score_parity"](spark, folder).first()
     assert row.n_checked == 1500 and row.n_apart == 0
+
+
+def test_models_of_all_held_out_sources_at_once(spark):
+    import numpy as np
+
+    from assayer.operators import model
+
+    rng = np.random.default_rng(4)
+    texts, labels = [], []
+    for k in range(90):
+        bad = k % 3 == 0
+        words = [f"w{rng.integers(0, 40)}" for _ in range(12)] + ["lottery"] * int(bad and k % 4 > 0) + ["tea"] * int(not bad and k % 5 > 0)
+        texts.append((k, " ".join(words)))
+        labels.append((k, f"s{k % 4}", float(bad)))
+    feats = model.features(spark.createDataFrame(texts, "msg_id long, text string"), "w b", 512)
+    marked = spark.createDataFrame(labels, "msg_id long, source string, label double")
+    together = sorted((r.source, r.risky, r.score) for r in model.leave_one_source_out(feats, marked, 512).collect())
+    rows = model.training_rows(feats, marked, 512).cache()
+    alone = []
+    for source in ("s0", "s1", "s2", "s3"):
+        fitted = model.fit(rows.where(f"source <> '{source}'"), 300)
+        scored = fitted.transform(rows.where(f"source = '{source}'"))
+        alone += [(r.source, r.label == 1, float(r.probability[1])) for r in scored.collect()]
+    alone.sort()
+    assert [x[:2] for x in together] == [x[:2] for x in alone]
+    assert max(abs(a[2] - b[2]) for a, b in zip(together, alone)) < 1e-3
