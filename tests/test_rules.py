@@ -106,3 +106,41 @@ def test_numeric_claims(spark):
         "The loan interest is 40% yearly.",
     ])
     assert [("outsized" in by[i]) for i in range(7)] == [True, False, False, True, True, False, False]
+
+
+def test_guard_never_hides_a_pattern():
+    import re
+
+    from assayer.core.regex import folded
+    from assayer.functions.literals import Guard, required
+    from assayer.packs import rules as pack
+    from assayer.packs import templates
+
+    assert required("(?:^|[^a-z])(?:pay|send)(?:$|[^a-z])") == {"pay", "send"}
+    assert required("ab?c+") == {"a"} or required("ab?c+") == {"c"}
+    assert required("[ab]|cd") is None and required("(?:x)?(?:yes|no)") == {"yes", "no"}
+    patterns = {n: folded(p) for n, p in pack.ATOMS.items()}
+    guard = Guard(patterns)
+    for row in templates.rows():
+        low = row[-1].lower()
+        held = {n for n, p in patterns.items() if re.search(p, low)}
+        for name in held:
+            assert any(lit in low and mask & guard.bit[name] for lit, mask in guard.masks.items()) or guard.always & guard.bit[name]
+
+
+def test_nothing_is_shuffled_between_scan_and_tier(spark):
+    m = spark.createDataFrame([(1, "Share the OTP now")], "msg_id BIGINT, text STRING")
+    for frame in (rules.tiers(m), rules.findings(m)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert not any(step in plan for step in ("Exchange", "Sort", "Aggregate"))
+
+
+def test_tier_of_merged_findings_needs_a_citation(spark):
+    columns = "msg_id BIGINT, rule_id STRING, severity STRING, origin STRING, family STRING, is_action BOOLEAN, soliciting BOOLEAN, cited BOOLEAN"
+    rows = [
+        (k, rule, "attention", origin, rule, rule == "credentials", True, cited)
+        for k, cited in ((1, True), (2, False), (3, None)) for rule, origin in (("credentials", "local"), ("secrecy", "ai"))
+    ]
+    rows += [(4, "credentials", "attention", "ai", "credentials", True, True, True), (4, "secrecy", "attention", "local", "secrecy", False, True, None)]
+    found = rules.risk(spark.createDataFrame(rows, columns))
+    assert {r.msg_id: r.level for r in found.collect()} == {1: "strong", 2: "potential", 3: "potential", 4: "potential"}
