@@ -16,7 +16,7 @@ Defined cases: a text that is null or has no letter gets ``und`` and score 0; a
 text whose n-grams no language knows gets the language with most learned
 documents and score 0; without learnable rows everything is ``und``; equal
 counts go to the alphabetically first language; a null ``doc_id`` is not learned
-from but is predicted; repeated rows stay rows; further columns are kept, but for those named like a
+from but is predicted; more than 63 learned languages are an error; repeated rows stay rows; further columns are kept, but for those named like a
 result and names that begin with an underscore.
 """
 
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,6 +42,8 @@ RATIO = 0.34
 #: Characters that are looked up at a time; a longer text is taken in several steps.
 STEP = 1 << 18
 MAX_LANGUAGES = 63
+#: Parts of a language that are ranked by themselves first.
+PARTS = 64
 
 
 def _codes(text: str) -> np.ndarray:
@@ -124,11 +126,18 @@ class Model:
         return self.languages[best], float(min(1.0, sure[best] / total))
 
 
+def _first(rows: DataFrame, key: str, order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows of each language: of its parts before, so no task ranks more than parts x ``most`` of them at last."""
+    parts = rows.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), key), F.lit(PARTS)))
+    for group in (["lang", "part"], ["lang"]):
+        parts = parts.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("nth") <= most)
+    return parts.drop("part", "nth")
+
+
 def learn(rows: DataFrame, sample: int = SAMPLE, gram_count: int = GRAMS) -> Model | None:
     """Fit on (doc_id, text, lang) rows; what reaches the driver is bounded by languages x gram_count."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     labelled = rows.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    chosen = labelled.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
+    chosen = _first(labelled.select("doc_id", "lang"), "doc_id", [F.xxhash64("doc_id"), F.col("doc_id")], sample)
     # At most ``sample`` ids of each language, and languages are limited as well.
     taken = labelled.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")
 
@@ -141,8 +150,7 @@ def learn(rows: DataFrame, sample: int = SAMPLE, gram_count: int = GRAMS) -> Mod
                 yield pd.DataFrame({"lang": lang, "gram": np.array(list(counter), np.uint64).view(np.int64), "n": list(counter.values())})
 
     totals = taken.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = totals.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= gram_count)
+    top = _first(totals, "gram", [F.desc("n"), F.col("gram")], gram_count)
     counts: dict[str, dict[int, int]] = {}
     for row in top.select("lang", "gram", "n").collect():
         counts.setdefault(row.lang, {})[row.gram] = row.n
