@@ -8,15 +8,20 @@ wherever they stand, as their endings are written on.
 from __future__ import annotations
 
 import re
+from unicodedata import normalize
 
 from assayer.core.regex import anyof
 
 Table = list[tuple[str, str, str]]
 
 
+def _longest_first(lists: tuple[str, ...]) -> list[str]:
+    return sorted({normalize("NFKC", w.strip()) for words in lists for w in words.split(",") if w.strip()}, key=lambda w: (-len(w), w))
+
+
 def alternatives(*lists: str) -> str:
     """One pattern for the words of several comma-separated lists, longest first."""
-    found = sorted({w.strip() for words in lists for w in words.split(",") if w.strip()}, key=lambda w: (-len(w), w))
+    found = _longest_first(lists)
     latin = [w for w in found if w.isascii()]
     stems = "|".join(re.escape(w[:-1]).replace("\\ ", r"\s+") for w in latin if w.endswith("*"))
     whole = "|".join(re.escape(w).replace("\\ ", r"\s+") for w in latin if not w.endswith("*"))
@@ -27,7 +32,7 @@ def alternatives(*lists: str) -> str:
 
 def attached(*lists: str, closed: bool = False) -> str:
     """The same for words that may be written on to a number, "30days"; ``closed`` words also end there."""
-    found = sorted({w.strip() for words in lists for w in words.split(",") if w.strip()}, key=lambda w: (-len(w), w))
+    found = _longest_first(lists)
     return "|".join(w.replace(" ", r"\s+") + r"\b" * (w.isascii() and (closed or len(w) == 1)) for w in found)
 
 
@@ -45,84 +50,101 @@ DAYS = {"hour": 1 / 24, "day": 1.0, "week": 7.0, "month": 365 / 12, "year": 365.
 
 # What is counted: "30 days".
 COUNTED: Table = [
-    ("hour", "en", "hour, hours"), ("hour", "hi", "घंटा, घंटे"), ("hour", "bn", "ঘণ্টা"), ("hour", "bn-Latn", "ghonta"),
-    ("day", "en", "day, days"), ("day", "hi", "दिन"), ("day", "bn", "দিন"), ("day", "hi-Latn", "din"), ("day", "bn-Latn", "dine"),
-    ("week", "en", "week, weeks"), ("week", "hi", "हफ्ता, हफ्ते, सप्ताह"), ("week", "bn", "সপ্তাহ"), ("week", "hi-Latn", "hafta, hafte"),
+    ("hour", "en", "hour, hours, hrs"), ("hour", "hi", "घंटा, घंटे, घंटों"), ("hour", "bn", "ঘণ্টা, ঘন্টা"), ("hour", "hi-Latn", "ghanta, ghante"),
+    ("hour", "bn-Latn", "ghonta"),
+    ("day", "en", "day, days"), ("day", "hi", "दिन, दिनों"), ("day", "bn", "দিন, দিনে"), ("day", "hi-Latn", "din, dino"), ("day", "bn-Latn", "dine"),
+    ("week", "en", "week, weeks, wks"), ("week", "hi", "सप्ताह, हफ्ते, हफ्तों"), ("week", "bn", "সপ্তাহ"), ("week", "hi-Latn", "hafte, saptah"),
     ("week", "bn-Latn", "soptaho"),
-    ("month", "en", "month, months"), ("month", "hi", "महीना, महीने, माह"), ("month", "bn", "মাস"), ("month", "hi-Latn", "mahina, mahine"),
-    ("month", "bn-Latn", "mash, mashe"),
-    ("year", "en", "year, years"), ("year", "hi", "साल, वर्ष"), ("year", "bn", "বছর"), ("year", "hi-Latn", "saal"), ("year", "bn-Latn", "bochor"),
+    ("month", "en", "month, months"), ("month", "hi", "माह, महीने, महीनों"), ("month", "bn", "মাস, মাসে"), ("month", "hi-Latn", "mahine, mahino"),
+    ("month", "bn-Latn", "mase, mash"),
+    ("year", "en", "year, years, yrs"), ("year", "hi", "साल, सालों, वर्ष"), ("year", "bn", "বছর, বছরে"), ("year", "hi-Latn", "saal"),
+    ("year", "bn-Latn", "bochor, bochore"),
 ]
-# What comes back by itself: "weekly".
+# What comes back by itself, or comes soon: "weekly", "overnight".
 REPEATED: Table = [
-    ("day", "en", "daily, tomorrow"), ("day", "hi", "प्रतिदिन, रोज़ाना"), ("day", "bn", "প্রতিদিন, দৈনিক"), ("day", "hi-Latn", "roz, rozana, kal"),
-    ("day", "bn-Latn", "protidin"),
+    ("day", "en", "daily, overnight, tomorrow"), ("day", "hi", "रोज, रोज़, दैनिक, प्रतिदिन"), ("day", "bn", "রোজ, দৈনিক, প্রতিদিন"),
+    ("day", "hi-Latn", "roz, rozana, pratidin"), ("day", "bn-Latn", "roj, protidin"),
     ("week", "en", "weekly"), ("week", "hi", "साप्ताहिक"), ("week", "bn", "সাপ্তাহিক"),
-    ("month", "en", "monthly"), ("month", "hi", "मासिक"), ("month", "bn", "মাসিক"), ("month", "bn-Latn", "protimashe, masik"),
-    ("year", "en", "yearly, annual, annually"), ("year", "hi", "सालाना, वार्षिक"), ("year", "bn", "বার্ষিক"),
+    ("month", "en", "monthly"), ("month", "hi", "मासिक"), ("month", "bn", "মাসিক"), ("month", "bn-Latn", "masik"),
+    ("year", "en", "annual, annually, yearly, per annum"), ("year", "hi", "वार्षिक, सालाना"), ("year", "bn", "বার্ষিক"),
 ]
 # What makes a counted unit come back: "per week".
-EACH: Table = [("each", "en", "a, each, every, per"), ("each", "hi", "हर"), ("each", "bn", "প্রতি"), ("each", "hi-Latn", "har, agle")]
+EACH: Table = [("each", "en", "per, each, every, a"), ("each", "hi", "हर, प्रति"), ("each", "bn", "প্রতি"), ("each", "hi-Latn", "har, prati")]
 
 # Factors of number words.
 FACTORS = {"hundred": 1e2, "thousand": 1e3, "lakh": 1e5, "million": 1e6, "crore": 1e7}
 SCALE: Table = [
-    ("hundred", "en", "hundred"), ("hundred", "hi", "सौ"), ("hundred", "hi-Latn", "sau"),
-    ("thousand", "en", "thousand, k"), ("thousand", "hi", "हजार"), ("thousand", "bn", "হাজার"), ("thousand", "hi-Latn", "hazar, hazaar"),
+    ("hundred", "en", "hundred"), ("hundred", "hi", "सौ"), ("hundred", "bn", "শত"),
+    ("thousand", "en", "k, thousand"), ("thousand", "hi", "हजार, हज़ार"), ("thousand", "bn", "হাজার"), ("thousand", "hi-Latn", "hazaar, hazar"),
     ("thousand", "bn-Latn", "hajar"),
-    ("lakh", "en", "lakh, lac"), ("lakh", "hi", "लाख"), ("lakh", "bn", "লাখ, লক্ষ"),
+    ("lakh", "en", "lac, lakh"), ("lakh", "hi", "लाख"), ("lakh", "bn", "লক্ষ, লাখ"),
     ("million", "en", "million"),
-    ("crore", "en", "crore"), ("crore", "hi", "करोड़"), ("crore", "bn", "কোটি"),
+    ("crore", "en", "crore"), ("crore", "hi", "करोड़"), ("crore", "bn", "কোটি"), ("crore", "bn-Latn", "koti"),
 ]
 # How an amount of money is marked, before or after the number.
-RUPEE_BEFORE, DOLLAR_BEFORE = "rs, inr", r"\$"
-RUPEE_AFTER: Table = [("INR", "en", "rupees, inr"), ("INR", "hi", "रुपये, रुपए")]
-NAMED_AFTER: Table = [("named", "en", "usdt, btc, eth"), ("named", "bn", "টাকা"), ("named", "bn-Latn", "taka")]
+DOLLAR_BEFORE = r"\$"
+RUPEE_AFTER: Table = [("INR", "en", "inr, rupee, rupees"), ("INR", "hi", "रुपए, रुपया, रुपये"), ("INR", "hi-Latn", "rupaye")]
+NAMED_AFTER: Table = [("named", "en", "btc, eth, usdc, usdt"), ("named", "bn", "টাকা"), ("named", "bn-Latn", "taka")]
 
 # How much a growth word multiplies by; "5x" says it itself.
 GROWTH: Table = [
-    ("2", "en", "double*, doubling"), ("2", "hi", "दोगुना, दुगुना"), ("2", "bn", "দ্বিগুণ"),
-    ("3", "en", "triple*"), ("3", "hi", "तिगुना"), ("3", "bn", "তিনগুণ"),
+    ("2", "en", "doubl*, twofold"), ("2", "hi", "दुगना, दुगुना, दोगुना"), ("2", "bn", "দ্বিগুণ, দুইগুণ"),
+    ("3", "en", "threefold, trebl*, tripl*"), ("3", "hi", "तिगुना"), ("3", "bn", "তিনগুণ"),
 ]
-TIMES: Table = [("times", "hi", "गुना, गुनी"), ("times", "bn", "গুণ"), ("times", "hi-Latn", "guna")]
+TIMES: Table = [("times", "hi", "गुना, गुने"), ("times", "bn", "গুণ"), ("times", "hi-Latn", "guna, gune")]
 
 # What a sentence speaks about.
 TOPIC: Table = [
-    ("invest", "en", "invest*, trad*, deposit*, scheme*, platform*, fund*, stock*, crypto*, money"),
-    ("invest", "hi", "निवेश, पैसा, पैसे"), ("invest", "bn", "বিনিয়োগ, টাকা"), ("invest", "hi-Latn", "paisa, paise, lagao"), ("invest", "bn-Latn", "taka"),
-    ("gain", "en", "return*, profit*, earn*, gain*, income*, reward*, grew, growth, pay, pays"),
-    ("gain", "hi", "रिटर्न, मुनाफ, लाभ, कमाई, ब्याज"), ("gain", "bn", "রিটার্ন, লাভ, সুদ"), ("gain", "hi-Latn", "munafa"), ("gain", "bn-Latn", "labh"),
-    ("promised", "en", "fix, fixed, assured, guarantee*, pay, pays, earn*"), ("promised", "hi", "पक्का, तय, निश्चित, कमाई"),
-    ("promised", "bn", "নিশ্চিত, পাবেন"), ("promised", "hi-Latn", "pakka, kamao, milega"), ("promised", "bn-Latn", "nischit, paben"),
-    ("wage", "en", "salary, salaries, wage*, freelanc*, pension*, rent"), ("wage", "hi", "वेतन, किराया"), ("wage", "bn", "বেতন, ভাড়া"),
-    ("spending", "en", "cost*, expense*, fee, fees, budget*, withdraw*, tax*"), ("spending", "hi", "फीस"), ("spending", "bn", "খরচ"),
-    ("made", "en", "made, earned"), ("made", "hi", "बना, कमाया"),
+    ("invest", "en", "money, capital, savings, portfolio*, plan, plans, scheme*, deposit*, invest*, stock*, trading, trader*, coin*, crypto*, token*"),
+    ("invest", "hi", "पैसा, पैसे, पूंजी, योजना, निवेश"), ("invest", "bn", "টাকা, পুঁজি, স্কিম, বিনিয়োগ"),
+    ("invest", "hi-Latn", "paisa, paise, nivesh"), ("invest", "bn-Latn", "taka, biniyog"),
+    ("gain", "en", "profit*, income*, earn*, yield*, dividend*, payout*, return*, gain*, grow, grows, grew, interest"),
+    ("gain", "hi", "मुनाफ, कमाई, आमदनी, रिटर्न, लाभ"), ("gain", "bn", "মুনাফা, লাভ, রিটার্ন"),
+    ("gain", "hi-Latn", "munafa, fayda, kamai"), ("gain", "bn-Latn", "munafa, labh"),
+    ("promised", "en", "certain, sure, assured, fixed, promise*, guarantee*, pays, we pay, will pay, earn*, receive*"),
+    ("promised", "hi", "गारंटी, पक्का, निश्चित, मिलेगा, मिलेंगे"), ("promised", "bn", "গ্যারান্টি, নিশ্চিত, পাবেন"),
+    ("promised", "hi-Latn", "guarantee, pakka, kamao, milega"), ("promised", "bn-Latn", "nischit, paben"),
+    ("wage", "en", "salary, salaries, wage, wages, stipend*, payroll, pension*, rent"), ("wage", "hi", "तनख्वाह, वेतन, पेंशन, किराया"),
+    ("wage", "bn", "বেতন, পেনশন, ভাড়া"),
+    ("spending", "en", "spend*, expense*, cost*, budget*, bill, bills, fee, fees, premium*, tax*"), ("spending", "hi", "खर्च, फीस, बिल"),
+    ("spending", "bn", "খরচ, বিল"),
+    ("made", "en", "made, earned, grown, turned into"), ("made", "hi", "कमाया, कमाए, बना"),
 ]
 # Percentages that are no return.
 OTHER_SHARE: Table = [
-    ("price", "en", "discount*"), ("price", "hi", "छूट"), ("price", "bn", "ছাড়"),
-    ("levy", "en", "tax*, gst, exit load"), ("levy", "hi", "शुल्क, टैक्स"), ("levy", "bn", "চার্জ, ট্যাক্স"),
-    ("spending", "en", "expense*"), ("spending", "bn", "খরচ"),
-    ("precision", "en", "accura*"),
+    ("price", "en", "discount*, off, cashback, rebate*"), ("price", "hi", "छूट, रियायत"), ("price", "bn", "ছাড়"),
+    ("levy", "en", "tax*, vat, gst, cess, duty, exit load"), ("levy", "hi", "टैक्स, शुल्क"), ("levy", "bn", "ট্যাক্স, শুল্ক, চার্জ"),
+    ("spending", "en", "expense*, brokerage, fee, fees"), ("spending", "hi", "खर्च"), ("spending", "bn", "খরচ"),
+    ("measure", "en", "accura*, attendance, battery, capacity, humidity, marks, score*, turnout, vote*"),
 ]
 # What a bare number word may count instead of money, and what says that it is money.
-COUNT_OF = "member*, user*, people, view*, order*, unit, units, kg, hour, hours, day, days"
-GIVES_BEFORE = "invest, deposit, send, transfer, receive, get, earn, pay, pays"
-GIVES_AFTER = "invest*, deposit*, pay, pays, fix*, every, per, lagao, jama, joma, milega, पक्का, मिले, जमा, পাবেন, নিশ্চিত"
+COUNT_OF = (
+    "people, person*, member*, customer*, follower*, student*, item*, piece*, order*, seat*, vote*, view*, "
+    "kg, km, litre*, hour*, day*, week*, month*, year*"
+)
+GIVES_BEFORE = "put in, invest, deposit, transfer, send, pay, pays, collect, receive, get, win, earn, withdraw"
+GIVES_AFTER = (
+    "per, each, every, profit*, return*, assured, guarantee*, invest*, deposit*, bhejo, jama, lagao, milega, paben, "
+    "जमा, भेजें, मिले, लगाओ, জমা, পাঠান, পাবেন, নিশ্চিত"
+)
 # Debts and their price; a firm and its figures.
-DEBT = "credit card*, loan*, borrow*, debt*, कर्ज, लोन, ঋণ"
-PRICE_OF_DEBT = "interest, apr, cost*, rate*, charg*, ब्याज, সুদ"
-FIRM, FIRM_FIGURE, FIRM_MOVE = "company, business, firm", "revenue*, sales, profit*, turnover", "grew, rose, increase*"
-RETURN_OWN = "return, returns, yield*, roi, रिटर्न, রিটার্ন"
-PUTS_IN, GETS_OUT = "invest*, deposit*", "earn*, get, gets, receive*, profit*"
-MONTHLY, PAYS_IN = "monthly, har mahine, हर महीने, প্রতি মাসে", "contribut*, pay, pays, jama, जमा, জমা"
-TURN = "and, but, however, yet, while, lekin, magar, लेकिन, मगर, और, কিন্তু, তবে, আর"
-EXPLAINS = "which is, which means, that is, that means, equivalent to, यानी, অর্থাৎ"
+DEBT = "loan*, borrow*, mortgage*, overdraft*, credit card*, debt*, उधार, कर्ज, लोन, ঋণ"
+PRICE_OF_DEBT = "rate*, interest, charg*, penalt*, cost*, ब्याज, सूद, সুদ"
+FIRM = "company, companies, corporation, startup, factory, business"
+FIRM_FIGURE, FIRM_MOVE = "sales, revenue*, turnover, net profit, quarterly profit, exports", "climbed, fell, grew, rose, dropped, increase*"
+RETURN_OWN = "payout*, return, returns, yield*, roi, मुनाफ, रिटर्न, মুনাফা, রিটার্ন"
+PUTS_IN, GETS_OUT = "put in, invest*, deposit*", "withdraw*, receive*, get, gets, earn*, profit*"
+MONTHLY = "every month, each month, per month, monthly, har mahine, प्रति माह, हर महीने, প্রতি মাসে"
+PAYS_IN = "save, saves, deposit*, pay, pays, contribut*, jama, जमा, জমা"
+TURN = "and, but, then, while, whereas, although, lekin, jabki, kintu, और, लेकिन, जबकि, আর, কিন্তু, যদিও"
+EXPLAINS = "meaning, which means, in other words, the same as, equal to, matlab, यानी, मतलब, অর্থাৎ, মানে"
+# Characters over which two words still belong together.
+REACH = 40
 
 
-def near(first: str, second: str, gap: int) -> str:
-    """A word of the first list and one of the second, at most ``gap`` characters later."""
-    return rf"(?:{alternatives(first)}).{{0,{gap}}}(?:{alternatives(second)})"
+def near(first: str, second: str) -> str:
+    """A word of the first list and one of the second, at most ``REACH`` characters later."""
+    return rf"(?:{alternatives(first)}).{{0,{REACH}}}(?:{alternatives(second)})"
 
 
 NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
@@ -147,7 +169,7 @@ SCALES = [("(?i)" + attached(*rows(SCALE, name)), factor) for name, factor in FA
 RUPEES = rf"(?i)^(?:₹|rs|inr)|(?:{attached(*rows(RUPEE_AFTER))})$"
 NAMED = rf"(?i)({attached(*rows(NAMED_AFTER))})$"
 OTHER_COUNT = rf"(?i)^\s*(?:{alternatives(COUNT_OF)})"
-CUE_BEFORE = rf"(?i)(?:{alternatives(GIVES_BEFORE)})[^.!?;]{{0,35}}$"
+CUE_BEFORE = rf"(?i)(?:{alternatives(GIVES_BEFORE)})[^.!?;]{{0,{REACH}}}$"
 CUE_AFTER = rf"(?i)^\s*(?:{alternatives(GIVES_AFTER)})"
 MULTIPLIER = rf"(?i)\b{DECIMAL}\s*[x×]\b|\b{DECIMAL}\s*(?:{attached(*rows(TIMES))})|{of(GROWTH)}"
 THREEFOLD = "(?i)" + of(GROWTH, "3")
@@ -155,11 +177,11 @@ INVESTMENT = "(?i)" + of(TOPIC, "invest", "gain")
 PAYOUT = "(?i)" + of(TOPIC, "promised")
 WAGES = "(?i)" + of(TOPIC, "wage", "spending")
 MADE = "(?i)" + of(TOPIC, "made")
-CONTRIBUTION = "(?i)" + near(MONTHLY, PAYS_IN, 35)
+CONTRIBUTION = "(?i)" + near(MONTHLY, PAYS_IN)
 PART = rf"(?i)([;—]|,\s+|{alternatives(TURN)})"
-OWN_RETURN = "(?i)" + anyof(alternatives(RETURN_OWN), near(PUTS_IN, GETS_OUT, 45))
-COST = "(?i)" + anyof(near(DEBT, PRICE_OF_DEBT, 50), near(PRICE_OF_DEBT, DEBT, 45))
-BUSINESS = "(?i)" + anyof(near(FIRM, FIRM_FIGURE, 35), near(FIRM_FIGURE, FIRM_MOVE, 35))
+OWN_RETURN = "(?i)" + anyof(alternatives(RETURN_OWN), near(PUTS_IN, GETS_OUT))
+COST = "(?i)" + anyof(near(DEBT, PRICE_OF_DEBT), near(PRICE_OF_DEBT, DEBT))
+BUSINESS = "(?i)" + anyof(near(FIRM, FIRM_FIGURE), near(FIRM_FIGURE, FIRM_MOVE))
 CARRIES_ON = rf"(?i)^\s*(?:{alternatives(EXPLAINS)})"
 # A unit is read from the most telling word; a day where no other unit is named.
 UNIT_DAYS = [(unit_pattern(unit), DAYS[unit]) for unit in ("hour", "year", "month", "week")]
