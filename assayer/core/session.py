@@ -40,12 +40,21 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     cluster a missing setting is an error, because a machine-local path would
     not survive the loss of that machine.
     """
+    return f"{_shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def named_dir(spark: SparkSession, name: str) -> str:
+    """A folder below the same root that keeps its name, for work that is resumed."""
+    return f"{_shared_root(spark)}/named/{name}"
+
+
+def _shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         root = _local_root()
-    return f"{root.rstrip('/')}/assayer/{purpose}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/assayer"
 
 
 def settle(df: DataFrame, purpose: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.core.session import read_table, spread
+from assayer.core.session import read_table, shared_dir, spread
+from assayer.functions import text as t
 from assayer.plans.catalog import query
 from assayer.sources import messages, saved
+from assayer.streaming import jobs
 
 _TRIM = "regexp_replace({}, '^[\\s\\x{{A0}}\\x{{FEFF}}\\p{{Zs}}]+|[\\s\\x{{A0}}\\x{{FEFF}}\\p{{Zs}}]+$', '', 'g')"
 
@@ -22,6 +24,26 @@ def load_labelled(spark, folder):
     )
 
 
+@query(
+    "src1_json_message_sets",
+    """SELECT CAST(doc_id AS VARCHAR) AS id, lang AS language, text, quality = 0 AS label FROM documents JOIN labels USING (doc_id)""",
+)
+def json_message_sets(spark, folder):
+    """Labelled documents written as JSON sets of all four root shapes, their label in three ways, and read back."""
+    labels = read_table(spark, folder, "labels").select("doc_id", (F.col("quality") == 0).alias("bad"))
+    rows = read_table(spark, folder, "documents").join(labels, "doc_id")
+    way = F.pmod(F.col("doc_id"), F.lit(3))
+    items = rows.select(
+        F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("language"), "text",
+        F.when(way == 0, F.col("bad")).alias("expectAttention"), F.when(way == 1, F.col("bad")).alias("expectedAttention"),
+        F.when(way == 2, F.when(F.col("bad"), "strong-scam-signals").otherwise("no-signals")).alias("riskIntent"),
+    )
+    path = shared_dir(spark, "json-sets")
+    messages.write_json_sets(items, path)
+    read = messages.json_messages(spark, path, whole_files=False)
+    return read.select("id", "language", "text", messages.harmonised_label(read).alias("label"))
+
+
 @query(
     "src2_harmonise_labels",
     """SELECT 'contrast' AS origin, doc_id, quality = 0 AS label FROM labels
@@ -57,11 +79,14 @@ def assemble_conversation(spark, folder):
     return messages.conversations(spark, folder)
 
 
-@query("src4_stream_intake", "SELECT doc_id AS msg_id, lang, length(text) AS n_chars FROM documents")
+@query(
+    "src4_stream_intake",
+    f"""SELECT msg_id, lang, substr({t.masked_sql('whole')}, 1, 6000) AS text, length(whole) AS n_chars,
+               CASE WHEN length(whole) < 12 THEN 'too short' WHEN length(whole) > 6000 THEN 'too long' ELSE 'kept' END AS status
+        FROM (SELECT doc_id AS msg_id, lang, {_TRIM.format('nfc_normalize(text)')} AS whole FROM documents)""",
+)
 def stream_intake(spark, folder):
-    from assayer.streaming.jobs import intake
-
-    return intake(spark, folder)
+    return jobs.intake(spark, folder)
 
 
 _CANON = "to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text})"

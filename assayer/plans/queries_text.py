@@ -34,7 +34,7 @@ def bound_and_trim(spark, folder):
         "msg_id",
         F.substring("whole", 1, t.MESSAGE_LIMIT).alias("text"),
         size.alias("n_chars"),
-        F.when(size < t.MESSAGE_MINIMUM, "too short").when(size > t.MESSAGE_LIMIT, "too long").otherwise("kept").alias("status"),
+        messages.intake_status(size).alias("status"),
     )
 
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from assayer.core.dims import dim, dim_sql
 from assayer.core.session import read_table, spread
-from assayer.functions.text import MESSAGE_LIMIT, trimmed
+from assayer.functions.text import MESSAGE_LIMIT, MESSAGE_MINIMUM, masked, nfkc, trimmed
 from assayer.packs import templates
 
 
@@ -107,23 +106,90 @@ def row_digests(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("digest"))
 
 
-def json_messages(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled messages from JSON files rooted at a list, ``items`` or ``cases``.
+def prepared(rows: DataFrame) -> DataFrame:
+    """Intake of messages (msg_id, lang, text), for batches and streams alike.
 
-    A list root becomes one row per element; an object root is exploded. Label
-    fields of every known shape are declared, so that files may differ.
+    Text is normalised, trimmed and masked before it is bounded, so that the bound
+    never leaves half of a secret; size and status speak of the trimmed text.
     """
-    item = T.StructType.fromDDL(
-        "id STRING, pairId STRING, language STRING, `group` STRING, text STRING, "
-        "expectAttention BOOLEAN, expectedAttention BOOLEAN, scored BOOLEAN, riskIntent STRING, "
-        "expected STRUCT<minAttention: INT, maxFindings: INT>, annotation STRUCT<`group`: STRING>"
+    whole = rows.select("msg_id", "lang", trimmed(nfkc(F.col("text"))).alias("whole"))
+    size = F.length("whole")
+    return whole.select(
+        "msg_id", "lang", F.substring(masked(F.col("whole")), 1, MESSAGE_LIMIT).alias("text"), size.alias("n_chars"),
+        intake_status(size).alias("status"),
     )
-    schema = T.StructType(list(item.fields)).add("items", T.ArrayType(item)).add("cases", T.ArrayType(item))
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    fields = [c for c in raw.columns if c not in ("items", "cases")]
-    alone = F.struct(*[F.col(f"`{c}`") for c in fields])
-    rows = F.coalesce("items", "cases", F.array(alone))
-    return raw.select(F.input_file_name().alias("file"), F.explode(rows).alias("row")).select("file", "row.*")
+
+
+def intake_status(size: Column) -> Column:
+    return F.when(size < MESSAGE_MINIMUM, "too short").when(size > MESSAGE_LIMIT, "too long").otherwise("kept")
+
+
+# Label fields of every known shape; a path leads to the field inside an item.
+_ITEM_FIELDS = [
+    ("id", "string"), ("pairId", "string"), ("language", "string"), ("group", "string"), ("text", "string"),
+    ("expectAttention", "boolean"), ("expectedAttention", "boolean"), ("scored", "boolean"), ("riskIntent", "string"),
+]
+_NESTED_FIELDS = {"expected": [("minAttention", "int"), ("maxFindings", "int")], "annotation": [("group", "string")]}
+
+
+def json_messages(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Labelled messages from JSON documents, one per file or (``whole_files`` off) one per line.
+
+    The root is a list, or an object whose list is ``items``, else ``cases``, else its
+    first list in the order of the document; empty lists are passed over. Documents
+    are read as ``VARIANT``, so fields may come and go and change their type: one
+    that does not fit its column is null. A document that is not JSON, or holds no
+    list, is an error, as its messages would else be lost unseen.
+    """
+    raw = spark.read.text(path, wholetext=whole_files)
+    if not whole_files:
+        raw = raw.where(F.trim("value") != "")
+    documents = raw.select(
+        F.input_file_name().alias("file"), F.parse_json("value").alias("doc"), F.json_object_keys("value").alias("names")
+    )
+    fields = F.col("doc").try_cast("map<string,variant>")
+
+    def filled(value: Column) -> Column:
+        rows = value.try_cast("array<variant>")
+        return F.when(F.size(rows) > 0, rows)
+
+    lists = F.filter(F.transform("names", lambda name: filled(F.element_at(fields, name))), lambda rows: rows.isNotNull())
+    some = F.coalesce(
+        F.col("doc").try_cast("array<variant>"), filled(F.try_element_at(fields, F.lit("items"))),
+        filled(F.try_element_at(fields, F.lit("cases"))), F.get(lists, 0),
+    )
+    has_list = F.exists("names", lambda name: F.element_at(fields, name).try_cast("array<variant>").isNotNull())
+    none = F.when(has_list, F.array().cast("array<variant>")).otherwise(
+        F.raise_error(F.concat(F.lit("no list of messages in "), F.col("file"))).cast("array<variant>")
+    )
+    rows = documents.select("file", F.explode(F.coalesce(some, none)).alias("row"))
+
+    def read(field: str, kind: str, below: str = "") -> Column:
+        return F.try_variant_get("row", f"${below}.{field}", kind).alias(field)
+
+    return rows.select(
+        "file", *[read(*field) for field in _ITEM_FIELDS],
+        *[F.struct(*[read(*field, f".{name}") for field in inner]).alias(name) for name, inner in _NESTED_FIELDS.items()],
+    )
+
+
+def write_json_sets(items: DataFrame, path: str, per_set: int = 200) -> None:
+    """Write items as JSON message sets, one per line, their roots in all four shapes in turn.
+
+    A set takes ``per_set`` neighbouring rows of one task, so no key gathers more.
+    """
+    number = F.monotonically_increasing_id()
+    sets = items.select(F.floor(number / per_set).alias("set"), F.struct(*items.columns).alias("item"))
+    listed = sets.groupBy("set").agg(F.collect_list("item").alias("items"))
+    rows, nothing = F.col("items"), F.array().cast("array<string>")
+    shapes = [
+        F.to_json(rows),
+        F.to_json(F.struct(F.lit(1).alias("version"), rows.alias("items"))),
+        F.to_json(F.struct(nothing.alias("items"), rows.alias("cases"))),
+        F.to_json(F.struct(F.lit("set").alias("title"), rows.alias("messages"), F.array(F.lit("x")).alias("appendix"))),
+    ]
+    text = F.get(F.array(*shapes), F.pmod(F.col("set"), F.lit(len(shapes))).cast("int"))
+    listed.select(text.alias("value")).write.mode("overwrite").text(path)
 
 
 def harmonised_label(df: DataFrame) -> Column:

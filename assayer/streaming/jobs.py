@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from assayer.core.session import shared_dir, table_path
+from assayer.core.session import named_dir, shared_dir, table_path
 from assayer.operators.streaks import penalty
 from assayer.plans.screening import lexicon_findings
+from assayer.sources import messages
 
 HOLD_MINUTES = 15
 DUPLICATE_SECONDS = 6 * 3600
@@ -37,24 +38,32 @@ def read_stream(spark: SparkSession, folder: str, table: str, files_per_trigger:
     return stream
 
 
-def run(stream: DataFrame, mode: str, purpose: str, transform=None) -> DataFrame:
-    """Run a stream over all available input; returns its output with a ``batch`` column."""
+def run(stream: DataFrame, mode: str, purpose: str, transform=None, name: str | None = None, watch=None) -> DataFrame:
+    """Run a stream over all available input; returns its output with a ``batch`` column.
+
+    A job with a ``name`` keeps its checkpoint and output under it: started again,
+    after a failure or when input has come, it goes on where it stopped and returns
+    the whole output. Without a name every run starts anew. ``watch`` is handed the
+    progress of every batch.
+    """
     spark = stream.sparkSession
-    out, checkpoint = shared_dir(spark, purpose), shared_dir(spark, purpose + "-checkpoint")
+    out = named_dir(spark, f"{purpose}/{name}") if name else shared_dir(spark, purpose)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = transform(batch) if transform else batch
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
 
     shape = transform(stream.sparkSession.createDataFrame([], stream.schema)) if transform else stream
     # An empty first part gives the output its schema even if no batch has rows.
-    spark.createDataFrame([], shape.schema).write.parquet(f"{out}/batch=-1")
+    spark.createDataFrame([], shape.schema).write.mode("overwrite").parquet(f"{out}/rows/batch=-1")
     running = (
         stream.writeStream.outputMode(mode).foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     )
     running.awaitTermination()
-    return spark.read.parquet(out)
+    if watch:
+        watch(running.recentProgress)
+    return spark.read.parquet(f"{out}/rows")
 
 
 def latest(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -62,11 +71,10 @@ def latest(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
 
 
-def intake(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """Message intake: the same projection as in batch, row by row."""
-    stream = read_stream(spark, folder, "documents", **options)
-    bounded = stream.select(F.col("doc_id").alias("msg_id"), "lang", F.length("text").alias("n_chars"))
-    return run(bounded, "append", "intake").drop("batch")
+def intake(spark: SparkSession, folder: str, name: str | None = None, **options) -> DataFrame:
+    """Message intake: trimmed, masked and bounded text with its status, by the batch's own function."""
+    stream = read_stream(spark, folder, "documents", **options).select(F.col("doc_id").alias("msg_id"), "lang", "text")
+    return run(stream, "append", "intake", messages.prepared, name).drop("batch")
 
 
 def client_rate(events: DataFrame, width: str) -> DataFrame:
@@ -124,6 +132,9 @@ def _first_per_second(batches):
 
 
 def _first_sight(key, chunks, state: GroupState):
+    if state.hasTimedOut:
+        state.remove()
+        return
     last = state.get[0] if state.exists else None
     rows = pd.concat(
         [c.sort_values(["at", "event_id"]).drop_duplicates(["second"]) for c in chunks], ignore_index=True
@@ -135,24 +146,31 @@ def _first_sight(key, chunks, state: GroupState):
             last = second
     if last is not None:
         state.update((int(last),))
+        # On time rows are not older than the watermark, so the end of the horizon lies ahead of it.
+        state.setTimeoutTimestamp((int(last) + DUPLICATE_SECONDS) * 1000)
     yield pd.DataFrame(kept, columns=["content", "event_id", "second"])
 
 
-def first_sight(spark: SparkSession, folder: str, **options) -> DataFrame:
+def first_sight(
+    spark: SparkSession, folder: str, version: str = "1", name: str | None = None, watch=None, **options
+) -> DataFrame:
     """Suppress identical content for six hours from the row last let through.
 
-    Expiry is compared on whole seconds. State is one number per content key.
+    Expiry is compared on whole seconds. State is one number per content and
+    ``version`` (of the rules that would answer it: another version sees content
+    anew); an event-time timer removes it when its six hours are over. Rows may be
+    six hours late; later ones are dropped.
     """
     keyed = read_stream(spark, folder, "events", **options).select(
-        F.concat_ws(":", "user_id", "event_type").alias("content"), F.unix_micros("ts").alias("at"),
-        F.unix_seconds("ts").alias("second"), "event_id",
+        F.concat_ws(":", "user_id", "event_type").alias("content"), F.lit(version).alias("version"),
+        F.unix_micros("ts").alias("at"), F.unix_seconds("ts").alias("second"), "event_id", "ts",
     )
-    thinned = keyed.mapInPandas(_first_per_second, keyed.schema)
-    kept = thinned.groupBy("content").applyInPandasWithState(
+    thinned = keyed.mapInPandas(_first_per_second, keyed.schema).withWatermark("ts", f"{DUPLICATE_SECONDS} seconds")
+    kept = thinned.groupBy("content", "version").applyInPandasWithState(
         _first_sight, "content STRING, event_id BIGINT, second BIGINT", "last BIGINT", "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
-    return run(kept, "append", "first-sight").select("content", "event_id")
+    return run(kept, "append", "first-sight", name=name, watch=watch).select("content", "event_id")
 
 
 def _streak(key, chunks, state: GroupState):

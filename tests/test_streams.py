@@ -1,5 +1,8 @@
 """Streams over many small files give the batch answer."""
 
+import uuid
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +10,7 @@ from assayer.core.session import read_table, shared_dir
 from assayer.operators import streaks
 from assayer.plans.queries_aggregates import outcome_events
 from assayer.plans.screening import lexicon_findings
+from assayer.sources import messages
 from assayer.streaming import jobs
 
 
@@ -85,4 +89,62 @@ def test_hold_and_screening(spark, folder, split):
     got = jobs.continuous_screening(spark, split, files_per_trigger=1)
     docs = read_table(spark, folder, "documents").select(F.col("doc_id").alias("msg_id"), "text")
     assert rows(got, "msg_id", "rule_id", "clause_no", "excerpt") == rows(lexicon_findings(docs), "msg_id", "rule_id", "clause_no", "excerpt")
-    assert jobs.intake(spark, split, files_per_trigger=1).count() == docs.count()
+
+
+def _documents(spark, folder):
+    return read_table(spark, folder, "documents").select(F.col("doc_id").alias("msg_id"), "lang", "text")
+
+
+def test_intake_goes_on_where_it_stopped(spark, folder, split, monkeypatch):
+    columns = ("msg_id", "lang", "text", "n_chars", "status")
+    want = rows(messages.prepared(_documents(spark, folder)), *columns)
+    assert rows(jobs.intake(spark, split, files_per_trigger=1), *columns) == want
+
+    calls, whole = [], messages.prepared
+
+    def failing(batch):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return whole(batch)
+
+    name = uuid.uuid4().hex
+    with monkeypatch.context() as patch:
+        patch.setattr(messages, "prepared", failing)
+        with pytest.raises(Exception, match="lost"):
+            jobs.intake(spark, split, name, files_per_trigger=1)
+    assert rows(jobs.intake(spark, split, name, files_per_trigger=1), *columns) == want
+    # Once more: nothing is read again, the whole output is there.
+    assert rows(jobs.intake(spark, split, name, files_per_trigger=1), *columns) == want
+
+
+def test_masked_before_bounded(spark):
+    row = spark.createDataFrame([(1, "en", "x " * 2995 + "call 98765 43210 now"), (2, "en", "  hi  "), (3, "en", None)], "msg_id BIGINT, lang STRING, text STRING")
+    got = {r.msg_id: r for r in messages.prepared(row).collect()}
+    assert "98765" not in got[1].text and len(got[1].text) == 6000 and got[1].status == "too long"
+    assert (got[2].text, got[2].status, got[3].text) == ("hi", "too short", None)
+
+
+def test_state_expires_and_versions_part(spark):
+    root = shared_dir(spark, "test-expiry")
+    shape = "event_id BIGINT, user_id BIGINT, event_type STRING, ts TIMESTAMP_NTZ"
+
+    def add(*events):
+        parsed = [(i, u, "view", datetime(2024, 1, 1) + timedelta(hours=h)) for i, u, h in events]
+        spark.createDataFrame(parsed, shape).coalesce(1).write.mode("append").parquet(f"{root}/events.parquet")
+
+    name, seen = uuid.uuid4().hex, []
+
+    def kept(version="1", name=name):
+        return [i for _, i in rows(jobs.first_sight(spark, root, version, name, seen.extend), "content", "event_id")]
+
+    add((1, 1, 0), (2, 1, 1), (3, 2, 2))
+    assert sorted(kept()) == [1, 3]
+    # Started again: the state still suppresses what is within six hours.
+    add((4, 1, 5), (5, 2, 9))
+    assert sorted(kept()) == [1, 3, 5]
+    # A day later only the newest key is left, whose own timer has not come.
+    add((6, 3, 40))
+    assert sorted(kept()) == [1, 3, 5, 6]
+    assert seen[-1]["stateOperators"][0]["numRowsTotal"] == 1
+    assert sorted(kept("2", uuid.uuid4().hex)) == [1, 3, 5, 6]
