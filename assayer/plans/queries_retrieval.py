@@ -73,8 +73,10 @@ def bm25(spark, folder):
         SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rk FROM bm_score) WHERE rk <= 5""",
 )
 def top_k(spark, folder):
-    order = Window.partitionBy("q_id").orderBy(F.desc("score"), "doc_id")
-    return scores(spark, folder).withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    postings = settle(r.index(corpus(spark, folder)), "postings")
+    return r.top_scores(asked(spark, folder), postings, read_table(spark, folder, "documents"), 5).select(
+        "q_id", "doc_id", "score", "rank"
+    )
 
 
 @query(
@@ -106,7 +108,15 @@ def cards_under_budget(spark, folder):
     )
 
 
-@query("ret4_prompt_context")
+_PROMPT_CARD = "{'id': card_id, 'sourceId': source_id, 'title': title, 'passage': passage, 'url': url, 'reviewedAt': reviewed_at, 'categoryIds': category_ids}"
+
+
+@query(
+    "ret4_prompt_context",
+    f"""WITH {M}, {RETRIEVED} SELECT msg_id, CAST(to_json(list({_PROMPT_CARD} ORDER BY rank)) AS VARCHAR) AS context FROM (
+          SELECT r.msg_id, r.rank, c.card_id, c.source_id, c.title, c.passage, s.url, s.reviewed_at, c.category_ids
+          FROM retrieved r JOIN cards c USING (card_id) JOIN sources s ON s.source_id = c.source_id) GROUP BY msg_id""",
+)
 def prompt_context(spark, folder):
     found = r.retrieve_cards(messages.templated(spark, folder).select("msg_id", "text"))
     cards = r.cards(spark).select("card_id", r.prompt_card().alias("card"))
@@ -164,7 +174,18 @@ def compatible_pairs(spark, folder):
     return full.join(shared, ["msg_id", "pair_id"], "left_semi").groupBy("pair_id").agg(F.count("*").alias("n_messages"))
 
 
-@query("win5_diverse_pairs")
+@query(
+    "win5_diverse_pairs",
+    f"""{_PAIRS},
+        pool AS (SELECT r.msg_id, r.pair_id, r.category_ids, length(CAST(to_json({{'pair_id': p.pair_id, 'language': p.language,
+                   'category_ids': p.category_ids, 'positive': p.positive, 'caution': p.caution}}) AS VARCHAR)) AS size,
+                   row_number() OVER (PARTITION BY r.msg_id ORDER BY r.score DESC, r.pair_id) AS rk FROM ranked r JOIN pairs p USING (pair_id)),
+        one AS (SELECT msg_id, arg_min(pair_id, rk) AS pair_id, arg_min(category_ids, rk) AS category_ids, arg_min(size, rk) AS size, min(rk) AS rk
+                FROM pool WHERE size + 2 <= {r.PAIR_BUDGET} GROUP BY msg_id),
+        two AS (SELECT p.msg_id, arg_min(p.pair_id, p.rk) AS pair_id FROM one o JOIN pool p ON p.msg_id = o.msg_id AND p.rk > o.rk
+                WHERE NOT list_has_any(o.category_ids, p.category_ids) AND o.size + 3 + p.size <= {r.PAIR_BUDGET} GROUP BY p.msg_id)
+        SELECT msg_id, 1 AS rank, pair_id FROM one UNION ALL SELECT msg_id, 2, pair_id FROM two""",
+)
 def diverse_pairs(spark, folder):
     return r.choose_pairs(_pairs(spark, folder))
 

@@ -1,6 +1,8 @@
 """Spans, budgets, merging, sources and plans on small hand-made inputs."""
 
 import json
+
+import pytest
 import os
 import random
 
@@ -83,11 +85,18 @@ def test_json_roots_and_labels(spark, tmp_path):
         "items.json": {"items": [{"id": "c", "text": "z", "riskIntent": "strong-scam-signals"}]},
         "cases.json": {"cases": [{"id": "d", "text": "w", "group": "scam", "scored": False}, {"id": "e", "text": "v", "expectedAttention": False}]},
     }
+    files["other.json"] = {"title": "set", "items": [], "messages": [{"id": "f", "text": "u", "expectAttention": "not a label"}], "more": [{"id": "g"}]}
+    files["empty.json"] = []
     for name, data in files.items():
-        (tmp_path / name).write_text(json.dumps(data))
+        (tmp_path / name).write_text(json.dumps(data, indent=2))
     rows = messages.json_messages(spark, str(tmp_path))
     labelled = rows.withColumn("label", messages.harmonised_label(rows))
-    assert {r.id: r.label for r in labelled.collect()} == {"a": True, "b": False, "c": True, "d": None, "e": False}
+    assert {r.id: r.label for r in labelled.collect()} == {
+        "a": True, "b": False, "c": True, "d": None, "e": False, "f": None,
+    }
+    (tmp_path / "none.json").write_text('{"title": "no list"}')
+    with pytest.raises(Exception, match="no list of messages"):
+        messages.json_messages(spark, str(tmp_path)).collect()
 
 
 def test_saved_checks(spark):
@@ -155,3 +164,23 @@ def test_text_walks_are_linear(spark):
     seconds(100)
     short, long = seconds(10_000), seconds(40_000)
     assert long < 8 * short + 2
+
+
+def test_top_scores_are_the_head_of_the_full_ranking(spark):
+    import random
+
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    docs = [(i, " ".join(rng.choices(words, weights, k=rng.randint(0, 30)))) for i in range(400)] + [(900, "word0"), (901, "word0"), (902, None)]
+    asks = [(q, " ".join(rng.choices(words, k=rng.randint(1, 8)))) for q in range(40)] + [(98, "word0"), (99, "unknown")]
+    corpus = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    asked = retrieval.asked_tokens(spark.createDataFrame(asks, "q_id BIGINT, text STRING"), "q_id")
+    postings = retrieval.index(corpus)
+    for k in (1, 5):
+        got = {(r.q_id, r["rank"]): (r.doc_id, r.score) for r in retrieval.top_scores(asked, postings, corpus, k).collect()}
+        full = {}
+        for r in retrieval.bm25(asked, postings, corpus).collect():
+            full.setdefault(r.q_id, []).append((-r.score, r.doc_id))
+        want = {(q, i + 1): (d, -s) for q, found in full.items() for i, (s, d) in enumerate(sorted(found)[:k])}
+        assert got == want
