@@ -35,6 +35,35 @@ def dangling(child: DataFrame, column: str, parent: DataFrame, key: str, edge: s
     )
 
 
+def match_summary(rows: DataFrame, key: str) -> DataFrame:
+    """Expected-category matches and false alarms per key, with rows outside the scoring counted apart.
+
+    ``rows`` has (assessable, expected, category, reason_ids, n_findings). Risky rows are
+    those that expect a warning; the other assessable rows are controls. Shares are
+    null where nothing can be divided.
+    """
+    scored, risky = F.col("assessable"), F.col("assessable") & F.col("expected")
+    control = scored & ~F.col("expected")
+    warned, found = F.size("reason_ids") > 0, F.col("n_findings") > 0
+    counts = rows.groupBy(key).agg(
+        F.count("*").alias("n"),
+        F.count_if(risky).alias("n_risky"), F.count_if(risky & warned).alias("risky_warned"),
+        F.count_if(risky & F.array_contains("reason_ids", F.col("category"))).alias("risky_matched"),
+        F.count_if(control).alias("n_controls"), F.count_if(control & warned).alias("controls_warned"),
+        F.count_if(control & found).alias("controls_found"),
+        F.count_if(~scored).alias("n_not_assessable"), F.count_if(~scored & found).alias("not_assessable_found"),
+    )
+
+    def share(part: str, whole: Column) -> Column:
+        return F.round(F.col(part) / F.when(whole > 0, whole), 6)
+
+    return counts.withColumns({
+        "precision": share("risky_warned", F.col("risky_warned") + F.col("controls_warned")),
+        "recall": share("risky_warned", F.col("n_risky")),
+        "false_alarms": share("controls_warned", F.col("n_controls")),
+    })
+
+
 # Formatting changes that must not change what is found: (name, column function, SQL over ``text``).
 PERTURBATIONS = [
     ("double spaces", lambda t: F.replace(t, F.lit(" "), F.lit("  ")), "replace(text, ' ', '  ')"),

@@ -103,6 +103,7 @@ RULES: list[Rule] = [
     Rule("borrow", "attention", "borrow", False, True, "volatility", ("lender-conduct",), ("debt", "invest"), (), ("invest",)),
 ]
 RULE_COLUMNS = "rule_id, severity, family, is_action, is_scoped, concept_id, source_ids"
+RULE_SOURCE_COLUMNS = "rule_id, source_ids"
 
 # Whole-message context gates; only the two unscoped families use one.
 CONTEXT_GATES: dict[str, str] = {

@@ -8,7 +8,8 @@ from assayer.core.dims import dim_sql
 from assayer.core.session import read_table
 from assayer.functions import stats
 from assayer.operators import rules
-from assayer.packs import library
+from assayer.operators.quality import match_summary as summarise
+from assayer.packs import library, templates
 from assayer.plans.catalog import query
 from assayer.plans.oracle_parts import FINDINGS, RISK
 from assayer.sources import messages
@@ -131,6 +132,29 @@ def category_matches(spark, folder):
     return expected.groupBy("theme").agg(F.count("*").alias("n_expected"), F.count_if("hit").alias("n_matched"))
 
 
+# News and service notices state what others did or what is due: no scored wording to expect.
+_UNSCORED = ", ".join(str(t) for t, purpose, _ in templates.REVIEWED_PURPOSE if purpose in ("news", "service"))
+
+
+@query(
+    "agg6_match_summary",
+    f"""WITH {RISK}, s AS (SELECT *, template_id NOT IN ({_UNSCORED}) AS scored, n_reasons > 0 AS warned,
+                                 list_contains(string_split(reasons, ','), theme) AS matched FROM mr)
+        SELECT *, round(risky_warned / nullif(risky_warned + controls_warned, 0), 6) AS precision, round(risky_warned / nullif(n_risky, 0), 6) AS recall,
+               round(controls_warned / nullif(n_controls, 0), 6) AS false_alarms FROM (
+          SELECT lang, count(*) AS n, count(*) FILTER (scored AND expected) AS n_risky, count(*) FILTER (scored AND expected AND warned) AS risky_warned,
+                 count(*) FILTER (scored AND expected AND matched) AS risky_matched, count(*) FILTER (scored AND NOT expected) AS n_controls,
+                 count(*) FILTER (scored AND NOT expected AND warned) AS controls_warned,
+                 count(*) FILTER (scored AND NOT expected AND n_findings > 0) AS controls_found,
+                 count(*) FILTER (NOT scored) AS n_not_assessable, count(*) FILTER (NOT scored AND n_findings > 0) AS not_assessable_found
+          FROM s GROUP BY lang)""",
+)
+def match_summary(spark, folder):
+    m = messages.templated(spark, folder).select("msg_id", "text", "lang", "expected", "theme", "template_id")
+    rows = rules.tiers(m).withColumn("assessable", F.expr(f"template_id NOT IN ({_UNSCORED})"))
+    return summarise(rows.withColumnRenamed("theme", "category"), "lang")
+
+
 @query(
     "agg7_held_out_summary",
     """SELECT source, count(*) AS total, count(*) FILTER (risky) AS risky, count(*) FILTER (risky AND flagged) AS risky_flagged,

@@ -62,6 +62,24 @@ def merge_finding_sets(spark, folder):
     return review.merge_findings(local, _online(m, local))
 
 
+@query(
+    "jn7_merged_status",
+    f"""WITH {FINDINGS}, {_GROUNDED}, {_ONLINE},
+        merged AS (SELECT coalesce(f.msg_id, o.msg_id) AS msg_id, coalesce(f.rule_id, o.rule_id) AS rule_id,
+                          CASE WHEN f.msg_id IS NULL THEN o.severity ELSE f.severity END AS severity
+                   FROM f FULL OUTER JOIN online o ON f.msg_id = o.msg_id AND f.rule_id = o.rule_id),
+        listed AS (SELECT msg_id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources
+                   FROM (SELECT msg_id, unnest(source_ids) AS source FROM merged JOIN ({rules.rules_dim_sql()}) USING (rule_id)) GROUP BY msg_id)
+        SELECT m.msg_id, count(x.rule_id) AS n_findings, CASE WHEN bool_or(x.severity = 'attention') THEN 'attention' ELSE 'context' END AS status,
+               coalesce(any_value(l.sources), '') AS sources
+        FROM m LEFT JOIN merged x USING (msg_id) LEFT JOIN listed l USING (msg_id) GROUP BY m.msg_id""",
+)
+def merged_status(spark, folder):
+    m = _m(spark, folder)
+    local = _local(m).withColumn("excerpt", F.lit("local"))
+    return review.merged_status(m, review.merge_findings(local, _online(m, local)))
+
+
 @query(
     "jn7_merged_purpose",
     f"""WITH {M} SELECT local_purpose, online_purpose, merged, count(*) AS n FROM (

@@ -132,8 +132,9 @@ def upsert_saved(spark, folder):
     )
     incoming = checks.where(F.col("event_type").isin("purchase", "click")).drop("event_type")
     stored = checks.where(~F.col("event_type").isin("purchase", "click")).drop("event_type")
-    merged = saved.upsert(stored, incoming)
-    return saved.write_and_reread(merged).select("user_id", "check_id", "priority", "event_id", "value")
+    path = shared_dir(spark, "saved-checks")
+    saved.create(stored, path)
+    return saved.merge(path, incoming).select("user_id", "check_id", "priority", "event_id", "value")
 
 
 @query(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.core.session import shared_dir
+from assayer.core.session import settle
 
 ROW_BYTES = 65536
 
@@ -42,10 +42,33 @@ def write_split(rows: DataFrame, required: list[str], path: str) -> None:
     judged(rows, required).write.mode("overwrite").partitionBy("accepted").parquet(path)
 
 
-def write_and_reread(merged: DataFrame) -> DataFrame:
-    """Write a merged store, partitioned by a user bucket, and read it back."""
-    path = shared_dir(merged.sparkSession, "saved-checks")
-    bucketed = merged.withColumn("bucket", F.pmod(F.hash("user_id"), F.lit(16)))
-    # A user bucket spreads over several writers, so no single task writes a hot user.
-    bucketed.write.mode("overwrite").partitionBy("bucket").parquet(path)
-    return merged.sparkSession.read.parquet(path)
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.hash("user_id"), F.lit(buckets))
+
+
+def create(checks: DataFrame, path: str, buckets: int = 16) -> None:
+    """Write a store of the best version per check, partitioned by a user bucket.
+
+    A bucket's rows come from all tasks of the reduction, so no single task writes a hot user.
+    """
+    best = upsert(checks, checks.limit(0))
+    best.withColumn("bucket", _bucket(buckets)).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def merge(path: str, incoming: DataFrame, buckets: int = 16) -> DataFrame:
+    """Merge checks into a store and return it; only buckets that receive rows are read and rewritten.
+
+    ``buckets`` is the number the store was created with. The new state is settled in
+    the shared folder before the touched partitions are replaced, so a lost executor
+    never leaves the job to reread files that are being replaced.
+    """
+    spark = incoming.sparkSession
+    fresh = settle(incoming.withColumn("bucket", _bucket(buckets)), "incoming-checks")
+    touched = [row.bucket for row in fresh.select("bucket").distinct().collect()]
+    stored = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    if stored.where(F.col("bucket") != _bucket(buckets)).limit(1).count():
+        raise ValueError(f"the store was not made with {buckets} buckets")
+    if touched:
+        merged = settle(upsert(stored.drop("priority"), fresh), "merged-checks")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return spark.read.parquet(path)

@@ -184,3 +184,44 @@ def test_top_scores_are_the_head_of_the_full_ranking(spark):
             full.setdefault(r.q_id, []).append((-r.score, r.doc_id))
         want = {(q, i + 1): (d, -s) for q, found in full.items() for i, (s, d) in enumerate(sorted(found)[:k])}
         assert got == want
+
+
+def test_merge_leaves_other_buckets_alone(spark):
+    import os
+
+    shape = "user_id BIGINT, check_id BIGINT, saved_at INT, event_id BIGINT, value DOUBLE"
+    path = shared_dir(spark, "test-store")
+    saved.create(spark.createDataFrame([(u, c, 1, 10 * u + c, 0.0) for u in range(40) for c in (1, 2)] + [(3, 1, 5, 99, 7.0)], shape), path, 8)
+
+    def files():
+        return {(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+    before = files()
+    got = {(r.user_id, r.check_id): r.value for r in saved.merge(path, spark.createDataFrame([(5, 1, 0, 1, 4.0), (5, 9, 0, 2, 6.0)], shape), 8).collect()}
+    assert got == {(u, c): 0.0 for u in range(40) for c in (1, 2)} | {(3, 1): 7.0, (5, 1): 4.0, (5, 9): 6.0}
+    changed = {d for d, _ in before ^ files()}
+    assert len(changed) == 1 and len({d for d, _ in before}) > 1
+    assert saved.merge(path, spark.createDataFrame([], shape), 8).count() == 81
+    with pytest.raises(ValueError):
+        saved.merge(path, spark.createDataFrame([(5, 1, 0, 1, 4.0)], shape), 7)
+
+
+def test_match_summary(spark):
+    from assayer.operators.quality import match_summary
+
+    rows = [
+        ("en", True, True, "a", ["a"], 1), ("en", True, True, "a", ["b"], 1), ("en", True, True, "a", [], 1),
+        ("en", True, False, "a", [], 1), ("en", True, False, "a", ["a"], 1), ("en", False, True, "a", ["a"], 2), ("hi", False, True, "a", [], 0),
+    ]
+    frame = spark.createDataFrame(rows, "lang STRING, assessable BOOLEAN, expected BOOLEAN, category STRING, reason_ids ARRAY<STRING>, n_findings INT")
+    got = {r.lang: tuple(r)[1:] for r in match_summary(frame, "lang").collect()}
+    assert got == {"en": (6, 3, 2, 1, 2, 1, 2, 1, 1, 0.666667, 0.666667, 0.5), "hi": (1, 0, 0, 0, 0, 0, 0, 1, 0, None, None, None)}
+
+
+def test_merged_status_speaks_of_both_sides(spark):
+    found = "msg_id BIGINT, rule_id STRING, severity STRING, origin STRING, excerpt STRING"
+    local = spark.createDataFrame([(1, "nav", "context", "local", "x"), (2, "credentials", "context", "local", "x")], found)
+    online = spark.createDataFrame([(1, "credentials", "attention", "ai", "y"), (2, "credentials", "attention", "ai", "y")], found)
+    m = spark.createDataFrame([(1,), (2,), (3,)], "msg_id BIGINT")
+    got = {r.msg_id: (r.n_findings, r.status, r.sources) for r in review.merged_status(m, review.merge_findings(local, online)).collect()}
+    assert got == {1: (2, "attention", "bank-safety,fund-basics"), 2: (1, "context", "bank-safety"), 3: (0, "context", "")}
