@@ -290,11 +290,20 @@ def _thresholds(labelled: DataFrame, bins: int) -> dict[str, list[float]]:
         *[F.percentile_approx(bad[f], shares, 10_000).alias(f"bad_{f}") for f in FEATURES],
     ).first()
     at = {f: sorted({*(found[f] or []), *(found[f"bad_{f}"] or [])}) for f in FEATURES}
-    below = [F.max(F.when(F.col(f) < v, F.col(f))).alias(f"{f}_{k}") for f in FEATURES for k, v in enumerate(at[f])]
-    if not below:
+    if not any(at.values()):
         return {}
-    under = grown.agg(*below).first()
-    cuts = {f: sorted({(v + under[f"{f}_{k}"]) / 2 for k, v in enumerate(at[f]) if under[f"{f}_{k}"] is not None}) for f in FEATURES}
+    # The greatest value between two neighbouring thresholds, one row each; what lies below a threshold is the greatest of all before.
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), _bin(f, at[f]).alias("b"), F.col(f).cast("double").alias("v")) for f in FEATURES if at[f]]))
+    highest = grown.select(cells.alias("cell")).groupBy("cell.f", "cell.b").agg(F.max(F.when(~F.isnan("cell.v"), F.col("cell.v"))).alias("top"))
+    top = {(r.f, r.b): r.top for r in highest.collect() if r.top is not None}
+    cuts = {}
+    for f, values in at.items():
+        under, cuts[f] = None, []
+        for k, v in enumerate(values):
+            under = max((x for x in (under, top.get((f, k))) if x is not None), default=None)
+            if under is not None:
+                cuts[f].append((v + under) / 2)
+        cuts[f] = sorted(set(cuts[f]))
     return {f: values for f, values in cuts.items() if values}
 
 
