@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from assayer.core.session import named_dir, shared_dir, table_path
-from assayer.operators.streaks import penalty
+from assayer.operators import streaks
 from assayer.plans.screening import lexicon_findings
 from assayer.sources import messages
 
 HOLD_MINUTES = 15
 DUPLICATE_SECONDS = 6 * 3600
+#: How far rows of the failure streaks may be out of order.
+LATE_SECONDS = 24 * 3600
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -173,27 +175,59 @@ def first_sight(
     return run(kept, "append", "first-sight", name=name, watch=watch).select("content", "event_id")
 
 
-def _streak(key, chunks, state: GroupState):
-    streak = state.get[0] if state.exists else 0
-    rows = pd.concat(list(chunks), ignore_index=True).sort_values(["at", "event_id"])
-    out = []
-    for event_id, failed in zip(rows["event_id"], rows["failed"]):
-        streak = streak + 1 if failed else 0
-        if failed:
-            out.append((key[0], event_id, streak))
-    state.update((int(streak),))
-    yield pd.DataFrame(out, columns=["user_id", "event_id", "streak"])
-
-
-def failure_streaks_stream(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """Consecutive failures per user with the capped doubling penalty, as a stateful stream."""
+def failure_streaks_stream(
+    spark: SparkSession, folder: str, late_seconds: int = LATE_SECONDS, name: str | None = None, **options
+) -> DataFrame:
+    """Consecutive failures per user with the capped doubling penalty, in event time.
+
+    Rows may come out of order by up to ``late_seconds``: a row waits until the
+    clock (newest time seen, less that) has passed it, so streaks are counted in the
+    order of events and not of files. Rows older than the clock are dropped. Each
+    batch is one job of the batch operator: a hot user is divided into time slices
+    and only streaks that are not over go on to the next batch. Rows that still wait
+    at the end are counted as they stand.
+    """
     events = read_stream(spark, folder, "events", **options).select(
         "user_id", "event_id", F.unix_micros("ts").alias("at"), (F.col("event_type") == "error").alias("failed")
     )
-    streaks = events.groupBy("user_id").applyInPandasWithState(
-        _streak, "user_id BIGINT, event_id BIGINT, streak BIGINT", "streak BIGINT", "append", GroupStateTimeout.NoTimeout
-    )
-    return run(streaks, "append", "streaks").select("user_id", "event_id", "streak", penalty(F.col("streak")).alias("penalty"))
+    out = named_dir(spark, f"streaks/{name}") if name else shared_dir(spark, "streaks")
+
+    def table(kind: str, batch_id: int) -> str:
+        return f"{out}/{kind}/batch={batch_id}"
+
+    def settled(rows: DataFrame, kind: str, batch_id: int) -> DataFrame:
+        rows.write.mode("overwrite").parquet(table(kind, batch_id))
+        return spark.read.schema(rows.schema).parquet(table(kind, batch_id))
+
+    def left_by(batch_id: int) -> tuple[DataFrame, DataFrame, int | None]:
+        """Rows that wait, streaks that are not over and the clock after a batch."""
+        clock = spark.read.parquet(table("clock", batch_id)).first().clock
+        seen, carried = (spark.read.parquet(table(kind, batch_id)) for kind in ("seen", "carried"))
+        return (seen if clock is None else seen.where(F.col("at") > clock)), carried, clock
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        # A replayed batch reads what its predecessor left and replaces its own tables.
+        waiting, carried, clock = left_by(batch_id - 1)
+        fresh = batch if clock is None else batch.where(F.col("at") > clock)
+        seen = settled(waiting.unionByName(fresh), "seen", batch_id)
+        newest = seen.agg(F.max("at")).first()[0]
+        if newest is not None:
+            due = newest - late_seconds * 1_000_000
+            clock = due if clock is None else max(clock, due)
+        ripe = seen.where(F.lit(False) if clock is None else F.col("at") <= clock)
+        settled(streaks.failure_streaks(ripe, carried=carried), "rows", batch_id)
+        settled(streaks.standing(ripe, carried=carried), "carried", batch_id)
+        settled(spark.createDataFrame([(clock,)], "clock BIGINT"), "clock", batch_id)
+
+    nothing = spark.createDataFrame([], events.schema)
+    settled(nothing, "seen", -1)
+    settled(streaks.standing(nothing), "carried", -1)
+    settled(streaks.failure_streaks(nothing), "rows", -1)
+    settled(spark.createDataFrame([(None,)], "clock BIGINT"), "clock", -1)
+    events.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    waiting, carried, _ = left_by(spark.read.parquet(f"{out}/clock").agg(F.max("batch")).first()[0])
+    done = spark.read.parquet(f"{out}/rows").drop("batch")
+    return done.unionByName(streaks.failure_streaks(waiting, carried=carried))
 
 
 def continuous_screening(spark: SparkSession, folder: str, **options) -> DataFrame:

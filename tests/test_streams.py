@@ -1,5 +1,6 @@
 """Streams over many small files give the batch answer."""
 
+import random
 import uuid
 from datetime import datetime, timedelta
 
@@ -76,6 +77,59 @@ def test_streaks_against_brute_force(spark, folder, split):
     # Coarse slices cut streaks at other places; the answer must not move.
     assert rows(streaks.failure_streaks(events, 86400 * 3), *columns) == sorted(want)
     assert rows(jobs.failure_streaks_stream(spark, split, files_per_trigger=1), *columns) == sorted(want)
+    # All rows wait, or none does: the same.
+    assert rows(jobs.failure_streaks_stream(spark, split, 60 * 86400, files_per_trigger=1), *columns) == sorted(want)
+    assert rows(jobs.failure_streaks_stream(spark, split, 0, files_per_trigger=1), *columns) == sorted(want)
+
+
+def _failure_folder(spark, *files):
+    root = shared_dir(spark, "test-streaks")
+    for file in files:
+        _add_failures(spark, root, file)
+    return root
+
+
+def _add_failures(spark, root, file):
+    parsed = [(i, u, "error" if failed else "view", datetime(2024, 1, 1) + timedelta(minutes=m)) for i, u, failed, m in file]
+    shape = "event_id BIGINT, user_id BIGINT, event_type STRING, ts TIMESTAMP_NTZ"
+    spark.createDataFrame(parsed, shape).coalesce(1).write.mode("append").parquet(f"{root}/events.parquet")
+
+
+def _streaks_of(*files):
+    run, want = {}, []
+    for i, u, failed, _ in sorted((e for file in files for e in file), key=lambda e: (e[3], e[0])):
+        run[u] = run.get(u, 0) + 1 if failed else 0
+        if failed:
+            want.append((u, i, run[u]))
+    return sorted(want)
+
+
+def test_streaks_out_of_order(spark):
+    # One user has nearly all rows; neighbouring rows change places across the files.
+    drawn = random.Random(5)
+    rows_ = [(i, 1 if drawn.random() < 0.9 else 2, drawn.random() < 0.8, i * 7) for i in range(400)]
+    late = sorted(rows_, key=lambda e: e[3] + drawn.randrange(0, 180))
+    files = [late[k : k + 60] for k in range(0, 400, 60)]
+    got = jobs.failure_streaks_stream(spark, _failure_folder(spark, *files), 4 * 3600, files_per_trigger=1)
+    assert rows(got, "user_id", "event_id", "streak") == _streaks_of(*files)
+
+
+def test_streaks_go_on_and_late_rows_go(spark):
+    name, columns = uuid.uuid4().hex, ("user_id", "event_id", "streak")
+    first, second = [(1, 1, True, 0), (2, 1, True, 30), (3, 2, True, 31)], [(4, 1, True, 200), (5, 2, False, 201), (6, 2, True, 202)]
+    root = _failure_folder(spark, first)
+    assert rows(jobs.failure_streaks_stream(spark, root, 600, name), *columns) == _streaks_of(first)
+    _add_failures(spark, root, second)
+    assert rows(jobs.failure_streaks_stream(spark, root, 600, name), *columns) == _streaks_of(first, second)
+    # Older than the clock of 192 minutes: it no longer counts.
+    _add_failures(spark, root, [(7, 1, False, 100), (8, 1, True, 203)])
+    assert rows(jobs.failure_streaks_stream(spark, root, 600, name), *columns) == _streaks_of(first, second, [(8, 1, True, 203)])
+    # Nothing new: the same again.
+    assert rows(jobs.failure_streaks_stream(spark, root, 600, name), *columns) == _streaks_of(first, second, [(8, 1, True, 203)])
+
+
+def test_no_streaks(spark):
+    assert jobs.failure_streaks_stream(spark, _failure_folder(spark, [])).count() == 0
 
 
 def test_hold_and_screening(spark, folder, split):
