@@ -151,30 +151,31 @@ def _tokens_sql(text: str) -> str:
     return f"list_filter(string_split({plain}, ' '), lambda t: t <> '')"
 
 
-def _seeds_sql(source: str, key: str, tokens: str) -> str:
-    """(key, tokens, place, mask, the marked tokens) of every window."""
-    span = len(spaced_seeds.MASKS[0])
-    marked = ", ".join(
-        "struct_pack(m := {}, s := {})".format(m, " || ' ' || ".join(f"{tokens}[place + {k + 1}]" for k, bit in enumerate(mask) if bit == "1"))
-        for m, mask in enumerate(spaced_seeds.MASKS)
-    )
+def _runs_sql(source: str, key: str, tokens: str, size: int, where: str = "true") -> str:
+    """(key, place, words) of every run of ``size`` neighbouring words."""
+    words = ", ".join(f"{tokens}[place + {k + 1}]" for k in range(size))
     return (
-        f"SELECT {key}, place, unnest([{marked}]) AS seed FROM "
-        f"(SELECT {key}, {tokens}, unnest(range(0, len({tokens}) - {span - 1})) AS place FROM {source} WHERE len({tokens}) >= {span})"
+        f"SELECT {key}, place, [{words}] AS run FROM (SELECT {key}, {tokens}, unnest(range(0, len({tokens}) - {size - 1})) AS place "
+        f"FROM {source} WHERE len({tokens}) >= {size} AND {where})"
     )
 
 
-# Items are laid over texts at every place where a seed agrees; the best sufficient overlap of a pair counts.
+# No seeds here: two substitutions in 10 to 13 words leave three neighbouring words alone, one in 5 to 9 leaves two.
+# Items are laid over texts wherever such words meet; the best sufficient overlap of a pair counts.
+_LONG, _SHORT = spaced_seeds.LEAST, spaced_seeds.LEAST_SHORT
 _OVERLAPS = f"""
     WITH d AS (SELECT doc_id, {_tokens_sql('text')} AS ds FROM documents),
     b AS (SELECT DISTINCT item_id, {_tokens_sql('text')} AS bs FROM benchmark),
     hit AS (SELECT DISTINCT x.doc_id, y.item_id, x.place - y.place AS shift
-            FROM ({_seeds_sql('d', 'doc_id', 'ds')}) x JOIN ({_seeds_sql('b', 'item_id', 'bs')}) y USING (seed)),
+            FROM ({_runs_sql('d', 'doc_id', 'ds', 3)}) x JOIN ({_runs_sql('b', 'item_id', 'bs', 3, f'len(bs) >= {_LONG}')}) y USING (run)
+            UNION SELECT DISTINCT x.doc_id, y.item_id, x.place - y.place AS shift
+            FROM ({_runs_sql('d', 'doc_id', 'ds', 2)}) x JOIN ({_runs_sql('b', 'item_id', 'bs', 2, f'len(bs) >= {_SHORT} AND len(bs) < {_LONG}')}) y USING (run)
+            UNION SELECT doc_id, item_id, 0 FROM d JOIN b ON ds = bs WHERE len(bs) BETWEEN 1 AND {_SHORT - 1}),
     laid AS (SELECT doc_id, item_id, greatest(shift, 0) AS doc_start, greatest(-shift, 0) AS item_start, ds, bs,
                     least(len(ds) - greatest(shift, 0), len(bs) - greatest(-shift, 0)) AS size
              FROM hit JOIN d USING (doc_id) JOIN b USING (item_id)),
     flagged AS (SELECT *, list_transform(range(1, size + 1), lambda k: CAST(ds[doc_start + k] = bs[item_start + k] AS INTEGER)) AS f,
-                       least(size, {spaced_seeds.STRETCH}) AS width FROM laid),
+                       least(size, {spaced_seeds.STRETCH}) AS width FROM laid WHERE size >= least(len(bs), {_LONG})),
     checked AS (SELECT *, list_sum(f) AS overall FROM flagged
                 WHERE list_max(list_transform(range(1, size - width + 2), lambda k: list_sum(f[k:k + width - 1]))) >= {spaced_seeds.AGREE} * width)
     SELECT doc_id, item_id, CAST(overall AS BIGINT) AS agreeing_words, CAST(len(bs) AS BIGINT) AS item_words,

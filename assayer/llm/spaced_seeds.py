@@ -7,7 +7,8 @@ whole benchmark item is laid over the text and compared token by token; a text
 is contaminated where a stretch agrees but for a few substitutions.
 
 The benchmark is taken in blocks of bounded size. A block's seeds are broadcast,
-so windows of texts are never shuffled; only hits are, and then texts to them.
+so windows of texts are never shuffled, and neither are texts: a hit takes along
+the words that lie under its item, and only those meet the item's words.
 
 An overlap counts from ``LEAST`` words on, or with the whole item where that is
 shorter. ``SEEDS`` leave an agreeing seed after any two substitutions in ten
@@ -31,9 +32,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import let, settle
 
-#: Masks of the SQL, which finds a part of what ``SEEDS`` find: 1 is hashed, 0 is ignored.
-MASKS = ("1101100111", "1110010111")
-#: Masks of the search, for items of at least LEAST words and of LEAST_SHORT to LEAST - 1 words.
+#: Masks for items of at least LEAST words and of LEAST_SHORT to LEAST - 1 words: 1 is hashed, 0 is ignored.
 SEEDS, SHORT_SEEDS = ("111011", "1110101", "101000111"), ("1101", "1011")
 LEAST, LEAST_SHORT = 10, 5
 #: Words of a stretch that is compared, and the share of them that must agree.
@@ -48,11 +47,11 @@ def tokens(text: Column) -> Column:
 
 
 def seeds(rows: DataFrame, token_column: str, masks: tuple[str, ...]) -> DataFrame:
-    """(place, m, h) of every token window: the number of the mask and the hash of what it marks."""
+    """(place, m, h) of every token window: the mask and the hash of what it marks."""
     used = sorted({k for mask in masks for k, bit in enumerate(mask) if bit == "1"})
     w = F.col(token_column)
     shifted = [F.slice(w, F.lit(k + 1), F.greatest(F.size(w) - k, F.lit(0))).alias(f"t{k}") for k in used]
-    windows = rows.select("*", F.posexplode(F.arrays_zip(*shifted)).alias("place", "t")).drop(token_column)
+    windows = rows.select("*", F.posexplode(F.arrays_zip(*shifted)).alias("place", "t"))
     # A mask that reaches past the last token has no hash.
     hashes = [
         F.when(
@@ -82,35 +81,38 @@ def _stretch(doc: Column, item: Column) -> Column:
 def _hits(texts: DataFrame, items: DataFrame, kinds: set[str]) -> DataFrame:
     """Where a benchmark item may lie in a text: one row for each shift between the two.
 
-    ``shift`` is the place in the text minus the place in the item. ``kinds`` are
-    the kinds of items there are.
+    ``shift`` is the place in the text minus the place in the item; ``under`` are the
+    text's words from there on, as many as lie under the item. ``kinds`` are the
+    kinds of items there are.
     """
     cut = texts.select("doc_id", "doc_key", tokens(F.col("text")).alias("doc_tokens"))
+    known = items.withColumn("item_words", F.size("item_tokens"))
     found = []
     for kind, masks in (("long", SEEDS), ("short", SHORT_SEEDS)):
         if kind in kinds:
-            sought = items.where(F.col("kind") == kind).select("item_id", "item_key", "item_tokens")
-            known = seeds(sought, "item_tokens", masks).withColumnRenamed("place", "item_place")
-            met = seeds(cut, "doc_tokens", masks).join(F.broadcast(known), ["m", "h"])
+            sought = seeds(known.where(F.col("kind") == kind), "item_tokens", masks)
+            sought = sought.select("item_id", "item_key", "item_words", F.col("place").alias("item_place"), "m", "h")
+            met = seeds(cut, "doc_tokens", masks).join(F.broadcast(sought), ["m", "h"])
             found.append(met.withColumn("shift", F.col("place") - F.col("item_place")))
     if "whole" in kinds:
-        known = items.where("kind = 'whole'").select("item_id", "item_key", F.col("item_tokens").alias("doc_tokens"))
-        found.append(cut.join(F.broadcast(known), "doc_tokens").withColumn("shift", F.lit(0)))
-    columns = ["doc_id", "doc_key", "item_id", "item_key", "shift"]
+        sought = known.where("kind = 'whole'").select("item_id", "item_key", "item_words", F.col("item_tokens").alias("doc_tokens"))
+        found.append(cut.join(F.broadcast(sought), "doc_tokens").withColumn("shift", F.lit(0)))
+    # An item that begins before the text lies over its first words only.
+    covered = F.slice("doc_tokens", F.greatest("shift", F.lit(0)) + 1, F.col("item_words") + F.least("shift", F.lit(0)))
+    columns = ["doc_id", "doc_key", "item_id", "item_key", "item_words", "shift", covered.alias("under")]
     return reduce(DataFrame.unionByName, [part.select(*columns) for part in found]).distinct()
 
 
 def _overlaps(texts: DataFrame, items: DataFrame, kinds: set[str]) -> DataFrame:
     """Best verified overlap of every (document, item) of one benchmark block."""
-    hits = _hits(texts, items, kinds).withColumnsRenamed({"doc_id": "hit_doc", "doc_key": "hit_key"})
-    same = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("doc_key") == F.col("hit_key"))
-    laid = texts.join(hits, same).withColumn("doc_tokens", tokens(F.col("text"))).join(F.broadcast(items.select("item_key", "item_tokens")), "item_key")
+    hits = _hits(texts, items, kinds)
+    laid = hits.where(F.size("under") >= F.least("item_words", F.lit(LEAST))).join(
+        F.broadcast(items.select("item_key", "item_tokens")), "item_key"
+    )
     doc_start, item_start = F.greatest("shift", F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
-    left = F.least(F.size("doc_tokens") - doc_start, F.size("item_tokens") - item_start)
-    checked = laid.where(left >= F.least(F.size("item_tokens"), F.lit(LEAST))).select(
-        "doc_id", "item_id", doc_start.alias("doc_start"), item_start.alias("item_start"),
-        F.size("item_tokens").alias("item_words"),
-        _stretch(F.slice("doc_tokens", doc_start + 1, left), F.slice("item_tokens", item_start + 1, left)).alias("found"),
+    checked = laid.select(
+        "doc_id", "item_id", doc_start.alias("doc_start"), item_start.alias("item_start"), "item_words",
+        _stretch(F.col("under"), F.slice("item_tokens", item_start + 1, F.size("under"))).alias("found"),
     ).where(F.col("found.agree") >= AGREE * F.col("found.width"))
     best = F.max(
         F.struct("found.overall", (-F.col("doc_start")).alias("doc"), (-F.col("item_start")).alias("item"), "item_words")

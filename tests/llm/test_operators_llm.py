@@ -456,24 +456,21 @@ def test_filter_counts_are_corrected():
 
 
 def brute_contaminated(rows, items):
+    """Every item laid over every text at every shift, without seeds."""
     token = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    span = len(spaced_seeds.MASKS[0])
-    keys = lambda w, k: {(m, tuple(x for x, bit in zip(w[k : k + span], mask, strict=True) if bit == "1")) for m, mask in enumerate(spaced_seeds.MASKS)}
     out = set()
-    for i, t in rows:
-        d = token(t)
-        seen = [keys(d, k) for k in range(len(d) - span + 1)]
-        for item, text in items:
-            b = token(text)
-            for p in range(len(b) - span + 1):
-                mine = keys(b, p)
-                for k, other in enumerate(seen):
-                    if mine & other:
-                        shift = k - p
-                        flags = [d[j + shift] == b[j] for j in range(len(b)) if 0 <= j + shift < len(d)]
-                        width = min(13, len(flags))
-                        if max(sum(flags[j : j + width]) for j in range(len(flags) - width + 1)) >= 0.8 * width:
-                            out.add((i, item))
+    for i, text in rows:
+        d = token(text)
+        for item, words in items:
+            b = token(words)
+            if len(b) < 5:
+                out |= {(i, item)} if b and b == d else set()
+                continue
+            for shift in range(-len(b), len(d)):
+                flags = [d[j + shift] == b[j] for j in range(len(b)) if 0 <= j + shift < len(d)]
+                width = min(13, len(flags))
+                if len(flags) >= min(10, len(b)) and any(sum(flags[j : j + width]) >= 0.8 * width for j in range(len(flags) - width + 1)):
+                    out.add((i, item))
     return out
 
 
@@ -494,25 +491,6 @@ def test_spaced_seeds(spark, docs_of, block):
     assert spaced_seeds.contaminated(docs_of(rows), benchmark.limit(0)).count() == 0
 
 
-def brute_overlaps(rows, items):
-    """Every item laid over every text at every shift, without seeds."""
-    token = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    out = set()
-    for i, text in rows:
-        d = token(text)
-        for item, words in items:
-            b = token(words)
-            if len(b) < 5:
-                out |= {(i, item)} if b and b == d else set()
-                continue
-            for shift in range(-len(b), len(d)):
-                flags = [d[j + shift] == b[j] for j in range(len(b)) if 0 <= j + shift < len(d)]
-                width = min(13, len(flags))
-                if len(flags) >= min(10, len(b)) and any(sum(flags[j : j + width]) >= 0.8 * width for j in range(len(flags) - width + 1)):
-                    out.add((i, item))
-    return out
-
-
 @pytest.mark.parametrize("masks, width, changes", [(spaced_seeds.SEEDS, n, 2) for n in (10, 11, 12, 13)] + [(spaced_seeds.SHORT_SEEDS, n, 1) for n in (5, 6, 7, 8, 9)])
 def test_every_accepted_substitution_leaves_a_seed(masks, width, changes):
     for changed in itertools.combinations(range(width), changes):
@@ -538,9 +516,16 @@ def test_spaced_seeds_against_a_search_without_seeds(spark, docs_of):
     benchmark = spark.createDataFrame(items, "item_id int, text string")
     got = spaced_seeds.contaminated(docs_of(rows), benchmark)
     found = [(r.doc_id, r.item_id) for r in got.collect()]
-    assert len(found) == len(set(found)) and set(found) == brute_overlaps(rows, items)
+    assert len(found) == len(set(found)) and set(found) == brute_contaminated(rows, items)
     assert {(phase, 300) for phase in range(5)} <= set(found)
 
 
+def test_texts_stay_where_they_are(spark, docs_of):
+    benchmark = spark.createDataFrame([(1, PASSAGE)], "item_id int, text string")
+    plan = spaced_seeds.contaminated(docs_of(TEXTS), benchmark)._jdf.queryExecution().optimizedPlan().toString()
+    # One scan of the documents: hits carry their words, and no join brings whole texts to them.
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
 def test_tokenizer_path_is_outside_the_repository():
     assert "/root/repo" not in tokenizer_path()
