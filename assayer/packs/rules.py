@@ -11,7 +11,7 @@ from typing import NamedTuple
 from unicodedata import normalize
 
 from assayer.core.regex import anyof, words
-from assayer.packs import turns
+from assayer.packs import scopes, turns
 
 
 def _n(pattern: str) -> str:
@@ -27,7 +27,7 @@ ATOMS: dict[str, str] = {
         "release": anyof("(?i)releas|unlock|withdraw|recover|refund|nikasi", "निकासी|छुड़ा|তুলতে|রিলিজ"),
         "earn": anyof("(?i)earn|commission|salary|paid task|kamai|rojgar", "कमाई|রোজগার"),
         "secret": anyof(words("otp", "pin", "password", "cvv", "passcode"), "ओटीपी|पासवर्ड|ওটিপি|পিন|পাসওয়ার্ড"),
-        "disclose": anyof(words("share", "send", "tell", "give", "enter", "submit", "batao", "bolun"),
+        "disclose": anyof(words("share", "send", "tell", "give", "enter", "submit", "batao", "bolun"), scopes.PASSIVE,
                           "बताएं|बताओ|भेजें|জানান|বলুন|পাঠান"),
         "remote": "(?i)anydesk|teamviewer|remote access|screen shar",
         "account": anyof(words("account", "kyc", "card"), "खाता|অ্যাকাউন্ট"),
@@ -111,20 +111,20 @@ CONTEXT_GATES: dict[str, str] = {
     "secrecy": ATOMS["gain"] + "|" + ATOMS["security"] + "|" + ATOMS["invest"],
 }
 
-# A caution cancels a cue in its own clause unless a switch back to a live offer follows.
+# A caution cancels a cue in its own clause unless a switch back to a live offer or an exception for the asker follows.
 CAUTION_COLUMNS = "rule_id, caution_no, kind, pattern, unless_pattern"
 CAUTIONS = [
-    (rule, number, kind, _n(pattern), turns.SWITCH)
+    (rule, number, kind, _n(pattern), scopes.ENDS)
     for number, (rule, kind, pattern) in enumerate(
         [
-            ("*", "negated", anyof(words("never", "cannot", "mat", "nahi"), r"(?i)do(?:es)? not (?:pay|share|send|borrow|ask|buy)",
-                                   "न बताएं|नहीं|मत भेजें|বেন না|পারে না|চায় না", "(?i)ben na")),
-            ("*", "reported", "(?i)^news:|(?:police|bank|advisers) (?:say|said|blocked)"),
-            ("*", "taught", "(?i)the lesson|safety class|article explains|for example|is an example"),
-            ("*", "past", "(?i)was caught|had demanded|i declined|last year i"),
-            ("guarantee", "impossible", "(?i)no fund can|is not proof of|कोई भी योजना|কোনও স্কিম"),
-            ("outsized", "impossible", "(?i)no fund can|is not proof of|कोई भी योजना|কোনও স্কিম"),
-            ("periodic", "impossible", "(?i)no fund can|is not proof of|कोई भी योजना|কোনও স্কিম"),
+            ("*", "negated", scopes.NEGATED),
+            ("*", "reported", scopes.REPORTED),
+            ("*", "conditional", scopes.CONDITIONAL),
+            ("*", "past", scopes.PAST),
+            ("*", "taught", scopes.TAUGHT),
+            ("guarantee", "unsure", scopes.UNSURE),
+            ("outsized", "unsure", scopes.UNSURE),
+            ("periodic", "unsure", scopes.UNSURE),
             ("tip", "not proof", "(?i)not proof of"),
             ("credentials", "warning", "(?i)^ ?(?:warning|caution|beware)"),
             ("urgency", "warning", "(?i)^ ?(?:warning|caution|beware)"),

@@ -177,3 +177,60 @@ def test_what_speaks_to_a_reviewer(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(aimed + plain)], "i INT, text STRING")
     got = [r.f for r in rows.select("i", rules.any_of(F.col("text"), pack.INSTRUCTION_LIKE).alias("f")).orderBy("i").collect()]
     assert got == [True] * len(aimed) + [False] * len(plain)
+
+
+# (text, rule, whether it is raised): own rows for what a doubt governs.
+SCOPES = [
+    ("Never share your OTP with anyone.", "credentials", False),
+    ("Our offer never fails, share your OTP to claim it.", "credentials", True),
+    ("You cannot wait any longer: share the OTP.", "credentials", True),
+    ("Do not hesitate to share the OTP with us.", "credentials", True),
+    ("Please do not ever share the OTP.", "credentials", False),
+    ("No genuine officer will ever ask you to share a PIN.", "credentials", False),
+    ("No delay, share the PIN.", "credentials", True),
+    ("Never share the OTP with anyone except our agent.", "credentials", True),
+    ("Do not share your password with anyone other than our support.", "credentials", True),
+    ("Avoid sharing your PIN, even to send money.", "credentials", False),
+    ("The OTP must be submitted today.", "credentials", True),
+    ("The OTP must not be shared.", "credentials", False),
+    ("If a caller asks for your OTP or asks you to send it, hang up.", "credentials", False),
+    ("If you share the OTP the refund comes.", "credentials", True),
+    ("The bank has warned that callers say share your OTP.", "credentials", False),
+    ("Our bank account is open, share the OTP.", "credentials", True),
+    ("Last month my uncle was told to share his OTP.", "credentials", False),
+    ("Last month we paid thousands, share your OTP today.", "credentials", True),
+    ("The gang had demanded that victims pay a fee to release parcels.", "release-fee", False),
+    ("Pay the fee to release your refund.", "release-fee", True),
+    ("Nobody can guarantee a profit.", "guarantee", False),
+    ("There is no guaranteed return in this fund.", "guarantee", False),
+    ("Guaranteed profit, no paperwork.", "guarantee", True),
+    ("No worry, guaranteed profit.", "guarantee", True),
+    ("For example a letter may say guaranteed profit.", "guarantee", False),
+    ("According to the police they promise guaranteed profit.", "guarantee", False),
+    ("Do not borrow to invest.", "borrow", False),
+    ("You need not save, borrow and invest with us.", "borrow", True),
+    ("Do not wait but please borrow and invest.", "borrow", True),
+]
+
+
+def test_doubt_governs_only_what_it_stands_with(spark):
+    by, _ = screen(spark, [text for text, _, _ in SCOPES])
+    got = [(text, rule, rule in by[i]) for i, (text, rule, _) in enumerate(SCOPES)]
+    assert got == SCOPES
+
+
+def test_scopes_read_alike_in_sql(spark):
+    import duckdb
+
+    from assayer.packs import rules as pack
+
+    texts = [text for text, _, _ in SCOPES] + ["কাউকে ওটিপি বলবেন না", "किसी को ओटीपी मत बताएं", "otp kabhi mat batao", "OTP bhejo", ""]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i INT, text STRING")
+    tests = [rules.cautioned(F.lower("text"), rule).alias(f"r{n}") for n, rule in enumerate(r.rule_id for r in pack.RULES)]
+    spark_side = [tuple(r)[1:] for r in rows.select("i", *tests).orderBy("i").collect()]
+    sql = ", ".join(rules.cautioned_sql("text", r.rule_id) for r in pack.RULES)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INT, text TEXT)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
+    assert spark_side == con.execute(f"SELECT {sql} FROM t ORDER BY i").fetchall()
+    assert [spark_side[len(SCOPES) + k][0] for k in range(5)] == [True, True, True, False, False]
