@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import defaultdict, deque
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -57,6 +57,8 @@ NOISE = re.compile(
     r"sharing|sidebars?|signup|skip|social|sponsors?|sponsored|subscribe|subscription|tags|teasers?|toolbar|widgets?)(?:$|[-_\s\d])"
 )
 SIGNAL = re.compile(r"(?:^|[-_\s])(?:article|body|content|entry|main|post|prose|story|text)(?:$|[-_\s])")
+#: Words of NOISE that also name parts of an article; inside one they count for nothing, and neither does its own header.
+INNER = re.compile(r"(?:^|[-_\s])(?:foot|header|legal|reviews?|search|tags)(?=$|[-_\s\d])")
 NOISE_WEIGHT, SIGNAL_WEIGHT, LINK_WEIGHT, RIGHTS_WEIGHT, BIAS = -8.0, 1.5, -5.0, -4.0, -0.5
 RIGHTS = re.compile(r"©|\(c\) *\d{4}|all rights reserved", re.IGNORECASE)
 #: Strength of the tie between neighbours, by the tags between them in the DOM.
@@ -70,6 +72,11 @@ class Node:
     hidden: bool
     depth: int
     parent: Node | None
+    #: Depth of the nearest element that an implied end does not leave, and whether an article is around.
+    border: int = 0
+    article: bool = False
+    #: The nearest block element, itself included.
+    home: Node | None = None
 
 
 @dataclass
@@ -83,11 +90,12 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
-def _own_weight(tag: str, attributes: dict[str, str | None]) -> float:
-    weight = TAG_WEIGHT.get(tag, 0.0) + ROLE_WEIGHT.get((attributes.get("role") or "").lower(), 0.0)
+def _own_weight(tag: str, attributes: dict[str, str | None], in_article: bool) -> float:
+    weight = 0.0 if in_article and tag in ("article", "header") else TAG_WEIGHT.get(tag, 0.0)
+    weight += ROLE_WEIGHT.get((attributes.get("role") or "").lower(), 0.0)
     names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}".lower()
     if names != " " and tag not in ("html", "body"):
-        if NOISE.search(names):
+        if NOISE.search(INNER.sub(" ", names) if in_article else names):
             weight += NOISE_WEIGHT
         elif SIGNAL.search(names):
             weight += SIGNAL_WEIGHT
@@ -100,6 +108,9 @@ class Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.node = Node("", 0.0, False, 0, None)
+        self.node.home = self.node
+        #: Depths at which an element of a name is open.
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
         self.blocks: list[Block] = []
         self.open: Block | None = None
         self.links = 0
@@ -107,18 +118,15 @@ class Blocks(HTMLParser):
     def parse_html_declaration(self, i: int) -> int:
         return super().parse_html_declaration(i) if self.rawdata[i : i + 3] != "<![" else self.parse_bogus_comment(i)
 
-    def _leave(self, tags: set[str], border: set[str]) -> None:
-        """Close the nearest open element of ``tags`` unless a ``border`` stands before it."""
-        node = self.node
-        while node.parent is not None:
-            if node.tag in tags:
-                while self.node is not node.parent:
-                    self.links -= self.node.tag == "a"
-                    self.node = self.node.parent
-                return
-            if node.tag in border:
-                return
-            node = node.parent
+    def _leave(self, tags: set[str], bordered: bool = True) -> None:
+        """Close the nearest open element of ``tags``, unless ``bordered`` and a border stands before it."""
+        depth = max((self.at[tag][-1] for tag in tags if self.at[tag]), default=0)
+        if not depth or bordered and self.node.border > depth:
+            return
+        while self.node.depth >= depth:
+            self.at[self.node.tag].pop()
+            self.links -= self.node.tag == "a"
+            self.node = self.node.parent
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -128,15 +136,21 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         if tag in CLOSES:
-            self._leave(CLOSES[tag], BORDER - CLOSES[tag])
+            self._leave(CLOSES[tag])
         elif tag in BLOCK:
-            self._leave({"p"}, BORDER)
+            self._leave({"p"})
         given = dict(attrs)
         hidden = (
             self.node.hidden or tag in SILENT or "hidden" in given or given.get("aria-hidden") == "true"
             or re.search(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", given.get("style") or "") is not None
         )
-        self.node = Node(tag, self.node.weight + _own_weight(tag, given), hidden, self.node.depth + 1, self.node)
+        above, depth = self.node, self.node.depth + 1
+        weight = above.weight + _own_weight(tag, given, above.article)
+        border = depth if tag in BORDER else above.border
+        self.node = Node(tag, weight, hidden, depth, above, border, above.article or tag == "article", above.home)
+        if tag in BLOCK:
+            self.node.home = self.node
+        self.at[tag].append(depth)
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -147,7 +161,7 @@ class Blocks(HTMLParser):
             self.open = None
         if tag == "br":
             self.handle_data(" ")
-        self._leave({tag}, set() if tag in BLOCK else BORDER)
+        self._leave({tag}, tag not in BLOCK)
 
     def handle_data(self, data: str) -> None:
         if self.node.hidden:
@@ -155,10 +169,7 @@ class Blocks(HTMLParser):
         if self.open is None:
             if not data.strip():
                 return
-            home = self.node
-            while home.parent is not None and home.tag not in BLOCK:
-                home = home.parent
-            self.open = Block(home)
+            self.open = Block(self.node.home)
             self.blocks.append(self.open)
         self.open.parts.append(data)
         if self.links:
