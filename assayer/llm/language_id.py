@@ -1,7 +1,7 @@
 """Language identification with n-gram filters that hold a language bitmask per cell.
 
 All languages share one Bloom filter that is sliced by bit: a cell is a word
-with one bit per language. The conjunction of an n-gram's cells names every
+with one bit per language, or several words where there are more than 64. The conjunction of an n-gram's cells names every
 language whose n-grams may contain it. Hits are counted per language, corrected
 for the share that the filter's fill would hit by chance, and the largest
 corrected count decides.
@@ -9,15 +9,17 @@ corrected count decides.
 The filter learns from at most ``sample`` documents per language (chosen by a
 hash of the id, used with their whole text) and keeps the ``grams`` most
 frequent n-grams of each language unless another language has them far more
-often, so the model is of fixed size. Prediction
-sees the text only.
+often. It knows the ``languages`` most frequent languages (1,000), and from 100
+languages on fewer n-grams of each (2,000,000 in all), so the model is of bounded
+size. Prediction sees the text only.
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0; a
 text whose n-grams no language knows gets the language with most learned
 documents and score 0; without learnable rows everything is ``und``; equal
 counts go to the alphabetically first language; a null ``doc_id`` is not learned
-from but is predicted; more than 63 learned languages are an error; repeated rows stay rows; further columns are kept, but for those named like a
-result and names that begin with an underscore.
+from but is predicted; languages beyond the bound are not learned; repeated rows
+stay rows; further columns are kept, but for those named like a result and names
+that begin with an underscore.
 """
 
 from __future__ import annotations
@@ -41,7 +43,10 @@ SAMPLE, GRAMS = 2000, 20_000
 RATIO = 0.34
 #: Characters that are looked up at a time; a longer text is taken in several steps.
 STEP = 1 << 18
-MAX_LANGUAGES = 63
+#: Languages that are learned, and n-grams of all of them together.
+LANGUAGES, ALL_GRAMS = 1000, 2_000_000
+#: Languages in one word of a cell.
+WORD = 64
 #: Parts of a language that are ranked by themselves first.
 PARTS = 64
 
@@ -92,15 +97,13 @@ class Model:
     @classmethod
     def build(cls, learned: dict[str, np.ndarray], fallback: str) -> Model:
         languages = sorted(learned)
-        if len(languages) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
         most = max(map(len, learned.values()))
         bits = max(10, int(16 * most).bit_length())
-        cells = np.zeros(1 << bits, np.uint64)
+        cells = np.zeros((-(-len(languages) // WORD), 1 << bits), np.uint64)
         for k, language in enumerate(languages):
             for at in _cells(learned[language], bits):
-                np.bitwise_or.at(cells, at, np.uint64(1 << k))
-        fill = np.array([(cells >> np.uint64(k) & np.uint64(1)).mean() for k in range(len(languages))])
+                np.bitwise_or.at(cells[k // WORD], at, np.uint64(1 << k % WORD))
+        fill = np.array([(cells[k // WORD] >> np.uint64(k % WORD) & np.uint64(1)).mean() for k in range(len(languages))])
         return cls(languages, fallback, bits, cells, fill**HASHES)
 
     def hits(self, text: str) -> tuple[np.ndarray, int]:
@@ -109,12 +112,13 @@ class Model:
         for at in range(0, len(text), STEP):
             values = grams(text[at : at + STEP])
             first, *rest = _cells(values, self.bits)
-            masks = self.cells[first]
-            for cells in rest:
-                masks = masks & self.cells[cells]
             total += len(values)
-            for k in range(len(self.languages)):
-                counts[k] += np.count_nonzero(masks & np.uint64(1 << k))
+            for word, known in enumerate(self.cells):
+                masks = known[first]
+                for cells in rest:
+                    masks = masks & known[cells]
+                for k in range(word * WORD, min(len(self.languages), (word + 1) * WORD)):
+                    counts[k] += np.count_nonzero(masks & np.uint64(1 << k % WORD))
         return counts, total
 
     def predict(self, text: str) -> tuple[str, float]:
@@ -134,9 +138,13 @@ def _first(rows: DataFrame, key: str, order: list[Column], most: int) -> DataFra
     return parts.drop("part", "nth")
 
 
-def learn(rows: DataFrame, sample: int = SAMPLE, gram_count: int = GRAMS) -> Model | None:
-    """Fit on (doc_id, text, lang) rows; what reaches the driver is bounded by languages x gram_count."""
+def learn(rows: DataFrame, sample: int = SAMPLE, gram_count: int = GRAMS, languages: int = LANGUAGES) -> Model | None:
+    """Fit on (doc_id, text, lang) rows; at most ALL_GRAMS n-grams, and 200 a language, reach the driver."""
     labelled = rows.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages + 1).collect()
+    if len(sizes) > languages:
+        labelled = labelled.where(F.col("lang").isin([r.lang for r in sizes[:languages]]))
+    gram_count = min(gram_count, max(200, ALL_GRAMS // max(1, len(sizes))))
     chosen = _first(labelled.select("doc_id", "lang"), "doc_id", [F.xxhash64("doc_id"), F.col("doc_id")], sample)
     # At most ``sample`` ids of each language, and languages are limited as well.
     taken = labelled.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")
@@ -157,8 +165,7 @@ def learn(rows: DataFrame, sample: int = SAMPLE, gram_count: int = GRAMS) -> Mod
     if not counts:
         return None
     learned = characteristic(counts)
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").first()
-    fallback = sizes.lang if sizes.lang in learned else min(learned)
+    fallback = sizes[0].lang if sizes[0].lang in learned else min(learned)
     return Model.build({lang: np.array(g, np.int64).view(np.uint64) for lang, g in learned.items()}, fallback)
 
 

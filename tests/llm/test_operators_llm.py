@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -374,6 +375,36 @@ def test_page_text(spark):
     assert mincut_html.main_text("<p>" * 3000 + "word " * 100).startswith("word")
 
 
+def test_parts_of_an_article_stay():
+    lines = [f"Sentence number {k} of a paragraph that has quite a few words in it, as articles do." for k in range(5)]
+    page = (
+        f'<div class="legal"><p>{lines[0]}</p></div><article><header class="post-header"><h1>A headline</h1></header><p>{lines[1]}</p>'
+        f'<div class="legal"><p>{lines[2]}</p></div><section class="reviews"><p>{lines[3]}</p></section>'
+        f'<div class="ads"><p>{lines[4]}</p></div><section id="comments"><p>{lines[4]}</p></section></article>'
+    )
+    assert mincut_html.main_text(page) == "\n".join(["A headline", *lines[1:4]])
+
+
+@pytest.mark.parametrize("opened", ["<span>", "<p><table><blockquote>", "<li><b>", "<a>"])
+def test_deep_pages_cost_in_proportion(opened):
+    def steps(n):
+        seen = 0
+
+        def count(frame, event, _):
+            nonlocal seen
+            seen += event == "line"
+            return count
+
+        sys.settrace(count)
+        try:
+            mincut_html.Blocks().feed(opened * n + "<p>Some words</p></i>" * n)
+        finally:
+            sys.settrace(None)
+        return seen
+
+    assert steps(800) < 2.5 * steps(400)
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(2)
     for _ in range(60):
@@ -446,6 +477,16 @@ def test_language_filters(spark, docs_of):
     assert language_id.predict(odd, None).where("lang_pred = 'und'").count() == 4
 
 
+def test_many_languages(spark, docs_of):
+    letters = [chr(0x4E00 + k) for k in range(300)]
+    rows = [(k, " ".join(letters[k % 150] * 3 + letters[150 + k % 150] for _ in range(5)), f"l{k % 150:03}") for k in range(300)]
+    model = language_id.learn(docs_of(rows))
+    assert model.cells.shape[0] == 3
+    assert [language_id.judged(model, [t])[0][0] for _, t, _ in rows] == [lang for _, _, lang in rows]
+    few = language_id.learn(docs_of(rows + [(900, rows[0][1], "l000")]), languages=1)
+    assert few.languages == ["l000"]
+
+
 def test_filter_counts_are_corrected():
     learned = {"x": np.arange(1, 3000, dtype=np.uint64), "y": np.arange(9001, 9100, dtype=np.uint64)}
     model = language_id.Model.build(learned, "x")
