@@ -1,6 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles.
+"""Near copies by SimHash, and by the Jaccard similarity of word shingles.
 
-Candidates come from MinHash bands: a pair at the bound shares none of the 20
+Candidates come from two searches. SimHash with covering masks is certain to find
+all texts whose fingerprints differ in at most ``RADIUS`` bits. Texts at the bound
+differ in more, so MinHash bands add those: such a pair shares none of the 20
 bands of four hashes with a chance of 0.00003, a closer pair with less. Every
 candidate whose sketches agree is then compared exactly, on its whole set of shingles.
 
@@ -29,10 +31,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm import simhash
 from assayer.llm.common import bitmap, in_bitmap, scratch, settle
 from assayer.llm.graphs import components
 
 SHINGLE, SIMILAR = 5, 0.8
+#: Bits in which SimHash fingerprints of near copies may differ.
+RADIUS = 3
 BANDS, ROWS = 20, 4
 #: Nodes of one bucket of which all pairs are compared at once.
 BUCKET = 64
@@ -125,6 +130,22 @@ def _pairs(left: DataFrame, right: DataFrame, where: str) -> DataFrame:
     return met.select(F.greatest("a.node", "b.node").alias("node"), F.least("a.node", "b.node").alias("to"))
 
 
+def _by_fingerprint(nodes: DataFrame, rows: DataFrame, keep) -> DataFrame:
+    """(node, to) of nodes that SimHash links, to < node, whose sizes allow the similarity: a line to the smallest node of
+    every fingerprint, and between the smallest nodes of linked fingerprints."""
+    codes = simhash.fingerprints(rows.select(F.col("row_id").alias("doc_id"), "text"), SHINGLE).dropDuplicates(["doc_id"])
+    coded = nodes.where("size > 0").select("row_id", "node", "size").join(codes.withColumnRenamed("doc_id", "row_id"), "row_id")
+    coded = keep(coded.select("code", "node", "size"), "codes")
+    firsts = keep(coded.groupBy("code").agg(F.min(F.struct("node", "size")).alias("first")), "code-firsts")
+    same = coded.join(firsts, "code").select("node", "size", "first")
+    near = simhash.links(firsts.select("code"), RADIUS)
+    ends = near.join(firsts.select(F.col("code").alias("node"), F.col("first").alias("one")), "node")
+    near = ends.join(firsts.select(F.col("code").alias("to"), "first"), "to").select("one.node", "one.size", "first")
+    fits = f"node <> first.node AND least(size, first.size) >= {SIMILAR} * greatest(size, first.size)"
+    found = same.unionByName(near).where(fits)
+    return found.select(F.greatest("node", "first.node").alias("node"), F.least("node", "first.node").alias("to"))
+
+
 def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, keep, name: str) -> DataFrame:
     """The pairs at or above the similarity: by their sketches first, then on their whole sets."""
     prints = nodes.select("node", "low")
@@ -157,6 +178,7 @@ def _near_copies(rows: DataFrame, bucket: int, keep) -> DataFrame:
     fits = large.join(large.where("node = pivot").select("key", F.col("size").alias("pivot_size")), "key")
     stars = fits.where(f"node <> pivot AND least(size, pivot_size) >= {SIMILAR} * greatest(size, pivot_size)")
     pairs = _pairs(small, small, "a.node > b.node").unionByName(stars.select("node", F.col("pivot").alias("to")))
+    pairs = pairs.unionByName(_by_fingerprint(nodes, rows, keep))
     links = _alike(pairs, nodes, rows, keep, "first")
     roots = components(links, "near-copy-roots")
     if not large.isEmpty():

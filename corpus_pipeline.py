@@ -47,6 +47,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies (five-word shingles, similarity 0.8 or more) one row stays.
 
+    SimHash finds them, and MinHash bands those whose fingerprints lie further apart.
     It is the one with the smallest id, and of those the smallest text hash; rows
     without ids come last. Different texts under one id are different documents.
     """

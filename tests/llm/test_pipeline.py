@@ -108,3 +108,19 @@ def test_rows_are_told_apart_by_id_and_text(spark, folder_of):
     assert kept == Counter(set(rows) - {rows[4]})
     clean = corpus_pipeline.drop_contaminated(spark, firsts, folder)
     assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(x for x in kept if ITEM not in x[1])
+
+
+def test_near_copies_are_searched_by_fingerprints(spark, monkeypatch):
+    """SimHash finds the close pairs on its own: no band brings them together here."""
+    from assayer.llm import near_copies
+
+    sketch = near_copies._sketch
+    monkeypatch.setattr(near_copies, "_sketch", lambda text: (*sketch(text)[:3], []))
+    base = prose(600, 400)
+    code = lambda text: near_copies.simhash.fingerprint(text.encode(), near_copies.SHINGLE)
+    near = next(t for t in (_changed(base, {k}) for k in range(400)) if 0 < (code(base) ^ code(t)).bit_count() <= 3)
+    rows = [base, near, prose(601, 400), base.replace(" ", "  "), "", None, "one two"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "row_id long, text string").selectExpr("row_id", "row_id AS doc_id", "text")
+    group = {r.row_id: r.component for r in near_copies.near_copies(docs).collect()}
+    assert group[0] == group[1] == group[3] and group[4] == group[5]
+    assert len(set(group.values())) == 4
