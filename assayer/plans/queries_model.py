@@ -209,19 +209,36 @@ _BIAS = model.FROZEN_BIAS
 
 @F.arrow_udf(T.DoubleType())
 def _score_alone(text: pa.Array) -> pa.Array:
-    """An independent scorer: one message at a time, from the definition."""
+    """An independent scorer: one message at a time, from the definition. A batch hashes a feature once."""
+    known: dict[str, int] = {}
+
+    def bucket(feature: str) -> int:
+        if feature not in known:
+            code = OFFSET
+            for byte in feature.encode():
+                code = ((code ^ byte) * PRIME) & MASK
+            known[feature] = code % BUCKETS
+        return known[feature]
+
+    places: dict[tuple[str, str | None], list[int]] = {}
+
+    def place(token: str, following: str | None) -> list[int]:
+        if (token, following) not in places:
+            key_after = None if following is None else hashing.sound(following)
+            found = place_features(token, hashing.sound(token), following, key_after, hashing.ALL_KINDS.split())
+            places[token, following] = [bucket(feature) for feature in found]
+        return places[token, following]
+
     out = []
     for message in text.to_pylist():
+        if len(known) > 500_000:  # what is remembered stays bounded
+            known.clear()
+            places.clear()
         tokens = regex.findall(r"[\p{L}\p{M}\p{N}]+|[₹%$@]", regex.sub(r"\p{Nd}", "0", message.lower()))
         counts: dict[int, int] = {}
         for at, token in enumerate(tokens):
-            following = tokens[at + 1] if at + 1 < len(tokens) else None
-            key_after = None if following is None else hashing.sound(following)
-            for feature in place_features(token, hashing.sound(token), following, key_after, hashing.ALL_KINDS.split()):
-                code = OFFSET
-                for byte in feature.encode():
-                    code = ((code ^ byte) * PRIME) & MASK
-                counts[code % BUCKETS] = counts.get(code % BUCKETS, 0) + 1
+            for index in place(token, tokens[at + 1] if at + 1 < len(tokens) else None):
+                counts[index] = counts.get(index, 0) + 1
         values = {i: 1 + math.log(n) for i, n in counts.items()}
         norm = math.sqrt(sum(v * v for v in values.values())) or 1.0
         total = sum((i * 7919 % 2001 - 1000) / 500 * v / norm for i, v in values.items())

@@ -51,3 +51,14 @@ def test_models_of_all_held_out_sources_at_once(spark):
     alone.sort()
     assert [x[:2] for x in together] == [x[:2] for x in alone]
     assert max(abs(a[2] - b[2]) for a, b in zip(together, alone)) < 1e-3
+
+
+def test_the_independent_scorer_hashes_a_place_once(monkeypatch):
+    import pyarrow as pa
+
+    from assayer.plans import queries_model
+
+    seen, place_features = [], queries_model.place_features
+    monkeypatch.setattr(queries_model, "place_features", lambda *place: seen.append(place[:1]) or place_features(*place))
+    scores = queries_model._score_alone.func(pa.array(["pay now pay now", "pay now"])).to_pylist()
+    assert len(scores) == 2 and len(seen) == 3
