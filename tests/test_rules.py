@@ -128,6 +128,36 @@ def test_guard_never_hides_a_pattern():
             assert any(lit in low and mask & guard.bit[name] for lit, mask in guard.masks.items()) or guard.always & guard.bit[name]
 
 
+def test_bits_of_a_text_agree_with_the_patterns_of_the_jvm(spark):
+    from pyspark.sql import functions as F
+
+    from assayer.core.regex import folded
+    from assayer.functions.literals import SETTLED, UNKNOWN, Guard, holds
+    from assayer.packs import rules as pack
+    from assayer.packs import templates
+
+    patterns = {n: folded(p) for n, p in pack.ATOMS.items()} | {"start": "^ ?warning", "end": "pay.now$"}
+    guard = Guard(patterns)
+    texts = [row[-1].lower() for row in templates.rows()] + ["", "warning: x", "pay\u2028now", "pay now\u2028", "pay now", "pаy now", "𝟏 pay now"]
+    rows = spark.createDataFrame([(texts[:3],), ([],), (None,), (texts[3:],)], "texts array<string>")
+    bits = rows.select("texts", guard.exact(F.col("texts")).alias("bits"))
+    assert bits.where("texts IS NULL AND bits IS NOT NULL OR size(texts) <> size(bits)").isEmpty()
+    each = bits.select(F.explode(F.arrays_zip("texts", "bits")).alias("z")).select("z.texts", "z.bits")
+    for mask in (F.col("bits"), F.lit(UNKNOWN)):
+        got = each.select("texts", *[holds(mask, guard.bits(n), F.col("texts").rlike(p)).alias(n) for n, p in patterns.items()])
+        want = each.select("texts", *[F.col("texts").rlike(p).alias(n) for n, p in patterns.items()])
+        assert got.count() == len(texts) and sorted(got.collect()) == sorted(want.collect())
+    assert {r.texts for r in each.where(F.col("bits") < SETTLED).collect()} == {"pay\u2028now", "pay now\u2028", "pаy now", "𝟏 pay now"}
+
+
+def test_findings_are_made_once_for_a_merge(spark, folder):
+    from assayer.plans.catalog import queries
+
+    for name in ("jn7_merged_status", "jn7_merge_finding_sets", "jn8_apply_withdrawals"):
+        plan = queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan  # the screening run has been written before
+
+
 def test_nothing_is_shuffled_between_scan_and_tier(spark):
     m = spark.createDataFrame([(1, "Share the OTP now")], "msg_id BIGINT, text STRING")
     for frame in (rules.tiers(m), rules.findings(m)):
