@@ -62,3 +62,25 @@ def test_the_independent_scorer_hashes_a_place_once(monkeypatch):
     monkeypatch.setattr(queries_model, "place_features", lambda *place: seen.append(place[:1]) or place_features(*place))
     scores = queries_model._score_alone.func(pa.array(["pay now pay now", "pay now"])).to_pylist()
     assert len(scores) == 2 and len(seen) == 3
+
+
+def test_features_listed_in_the_row_are_those_of_the_rows_apart(spark):
+    texts = [(1, "pay the fee now, pay now", "a", 1.0), (2, "", "a", 0.0), (3, "tea on monday", "b", 0.0)]
+    m = spark.createDataFrame(texts, "msg_id long, text string, source string, label double")
+    listed = model.listed_features(m, "w b c k kb s", 512)
+    assert listed.columns == ["msg_id", "source", "label", "idx", "value"]
+    assert "Exchange" not in listed._jdf.queryExecution().executedPlan().toString()
+    each = listed.select("msg_id", F.explode(F.arrays_zip("idx", "value")).alias("e")).select("msg_id", "e.*")
+    apart = model.features(m.select("msg_id", "text"), "w b c k kb s", 512)
+    assert sorted(each.collect()) == sorted(apart.collect()) and each.count() > 20
+    vectors = {r.msg_id: r.features for r in model.settled_vectors(listed, 512).collect()}
+    assert vectors[3].size == 512 and list(vectors[3].indices) == listed.where("msg_id = 3").first().idx
+
+
+def test_listed_features_of_repeated_ids_train_like_rows_apart(spark):
+    rows = [(k % 25, ("lottery " if k % 3 else "tea ") + f"w{k % 25 % 7} w{k % 25 % 5}", f"s{k % 25 % 2}", float(k % 25 % 3 > 0)) for k in range(30)]
+    m = spark.createDataFrame(rows, "msg_id long, text string, source string, label double")
+    marked = m.select("msg_id", "source", "label")
+    one = model.leave_one_source_out(model.features(m.select("msg_id", "text"), "w", 64), marked, 64, 5).collect()
+    two = model.leave_one_source_out(model.listed_features(m, "w", 64), marked, 64, 5).collect()
+    assert len(one) == 30 and sorted((r.source, r.risky, round(r.score, 9)) for r in one) == sorted((r.source, r.risky, round(r.score, 9)) for r in two)
