@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assayer.core.dims import sql_literal as q
 from assayer.core.regex import has_sql, positions
+from assayer.core.session import settle
 from assayer.operators import clauses as c
 from assayer.operators import rules
 from assayer.packs import rules as pack
@@ -140,9 +141,15 @@ def corroborated(spark, folder):
     the few clauses of one message.
     """
     m = messages.templated(spark, folder).select("msg_id", "text")
-    hits = rules.rule_hits(rules.screened_clauses(m))
-    live = hits.where("soliciting").select("msg_id", "rule_id", F.col("w_start").alias("s"), F.col("w_end").alias("e"))
-    found = rules.findings(m, with_mask=False).where("severity = 'attention'")
+    # Both come from one screening, written once.
+    kept = ["rule_id", "w_start", "w_end"]
+    screened = settle(rules.judged(m, hits=True).select(
+        "msg_id",
+        F.transform(F.filter("_hits", lambda h: h["soliciting"]), lambda h: F.struct(*[h[k].alias(k) for k in kept])).alias("live"),
+        F.transform(F.filter("found", lambda f: f["severity"] == "attention"), lambda f: F.struct(*[f[k].alias(k) for k in kept])).alias("found"),
+    ), "screened-spans")
+    live = screened.select("msg_id", F.inline("live")).withColumnsRenamed({"w_start": "s", "w_end": "e"})
+    found = screened.select("msg_id", F.inline("found"))
     overlap = (
         (found.msg_id == live.msg_id) & (found.rule_id == live.rule_id)
         & (live.s < found.w_end) & (live.e > found.w_start)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators import rules
 from assayer.operators.clauses import clause_array, quote_masked
+from assayer.plans.catalog import queries
 
 
 def screen(spark, texts):
@@ -264,3 +265,10 @@ def test_scopes_read_alike_in_sql(spark):
     con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
     assert spark_side == con.execute(f"SELECT {sql} FROM t ORDER BY i").fetchall()
     assert [spark_side[len(SCOPES) + k][0] for k in range(5)] == [True, True, True, False, False]
+
+
+def test_spans_and_purposes_screen_once_and_shuffle_no_text(spark, folder):
+    plan = queries()["cls8_corroborated_findings"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan  # both sides are read from one written screening
+    plan = queries()["prj11_purpose_class"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS explains#" in plan[plan.index("Join LeftOuter") :]  # the text is tested under the join
