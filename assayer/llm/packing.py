@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,15 +33,39 @@ from assayer.llm.common import settle
 
 SEQUENCE, CLOSING_ID = 2048, 0
 GROUP = 50_000
-#: Different parts of words a worker learns before it forgets those it has not met since the last time.
-REMEMBERED = 150_000
+#: Different words, and parts of words, a worker learns before it forgets those it has not met since the last time.
+REMEMBERED = 300_000
 
 #: Signs that begin no contraction or special token.
 _SIGNS = b".,;:!?%$&#*"
+#: Letters whose lower case depends on no neighbour and that combine with none.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: The characters that stand for bytes in the vocabulary, where they are not those of the same number.
+_BYTES = {byte: 256 + n for n, byte in enumerate([*range(33), *range(127, 161), 173])}
 
 _PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long, nth long"
 
 
+class _Known(dict):
+    """Ids by word: one that is not here is taken from those before the last ``forget``, or made."""
+
+    def __init__(self, make: Callable[[bytes], bytes]):
+        self.make, self.older = make, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.make(word)
+        self[word] = ids
+        return ids
+
+    def forget(self, most: int) -> None:
+        """Beyond ``most`` words, only those met again are kept."""
+        if len(self) > most:
+            self.older = dict(self)
+            self.clear()
+
+
 class WordIds:
     """Ids of words, as little-endian bytes.
 
@@ -56,22 +81,31 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
-        self.parts: dict[bytes, bytes] = {b"": b""}
-        self.older: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.words, self.parts = _Known(self._word), _Known(self._part)
         rules = json.loads(self.tokenizer.to_str())
         before = json.dumps(rules.get("pre_tokenizer"))
         self.split = '"Lowercase"' in json.dumps(rules.get("normalizer")) and r"[^\\s\\p{L}\\p{N}]+" in before
-        # Lower-case ASCII letters are one piece already and go straight to the merges, where that gives the same.
+        # Letters that are one piece already go straight to the merges, where that gives the same.
         self.merges = self.tokenizer.model.tokenize
-        probes = ("a", "the", "word", "zqxj", "tionheand")
-        self.direct = self.split and all(self._merged(w) == self._encoded([w])[0] for w in probes)
+        probes = ("a", "the", "word", "zqxj", "tionheand", "\u00e9t\u00e9", "\u00c0\u00df\u00ff", "\u00f1\u00d6qx")
+        self.direct = self.split and all(self._merged(w) == self._encoded(w) for w in probes)
 
     def _merged(self, letters: str) -> bytes:
-        return array("I", [token.id for token in self.merges(letters)]).tobytes()
+        low = letters.lower()
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(_BYTES)
+        return array("I", [token.id for token in self.merges(low)]).tobytes()
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encoded(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        stem, signs = self._cut(word)
+        return self.parts[stem] + self.parts[signs] if signs else self.parts[stem]
+
+    def _part(self, part: bytes) -> bytes:
+        text = part.decode("utf-8", "replace")
+        return self._merged(text) if self.direct and _LETTERS.fullmatch(text) else self._encoded(text)
 
     def _cut(self, word: bytes) -> tuple[bytes, bytes]:
         """Letters in lower case and the signs after them, or the word as it is."""
@@ -82,45 +116,12 @@ class WordIds:
             return stem, word[len(stem) :]
         return word, b""
 
-    def learn(self, words: set[bytes]) -> None:
-        """Make these words known, until the next call."""
-        if len(self.parts) > self.remembered:
-            self.parts, self.older = {b"": b""}, self.parts
-        parts, cut, known, later = self.parts, self._cut, {}, []
-        for word in words:
-            stem, signs = cut(word)
-            try:
-                known[word] = parts[stem] + parts[signs]
-            except KeyError:
-                later.append((word, stem, signs))
-        missing = {part for _, *both in later for part in both if part not in parts}
-        met = missing & self.older.keys()
-        parts.update(zip(met, map(self.older.__getitem__, met), strict=True))
-        missing -= met
-        letters = {part for part in missing if part.isalpha() and part.islower()} if self.direct else set()
-        parts.update((part, self._merged(part.decode())) for part in letters)
-        others = list(missing - letters)
-        parts.update(zip(others, self._encoded([part.decode("utf-8", "replace") for part in others]), strict=True))
-        for word, stem, signs in later:
-            known[word] = parts[stem] + parts[signs]
-        self.words = known
-
     def encode(self, words: list[bytes]) -> bytes:
+        self.words.forget(self.remembered)
+        self.parts.forget(self.remembered)
         return b"".join(map(self.words.__getitem__, words))
 
 
-def _steps(texts: list[bytes | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Runs of texts of bounded size; a longer text is alone."""
-    at, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text or b"")
-        if size > most:
-            yield at, k + 1
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, closing_id: int = CLOSING_ID) -> DataFrame:
     """Pieces of every document with the checksum of their ids; ``nth`` counts them within a task."""
     closing = array("I", [closing_id]).tobytes()
@@ -128,17 +129,13 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, closing_id
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, nth = WordIds(tokenizer), 0
         for batch in batches:
-            texts, rows = batch["text"].tolist(), []
-            doc_ids = batch["doc_id"].tolist()
-            for low, high in _steps(texts):
-                split = [(text or b"").split() for text in texts[low:high]]
-                known.learn(set().union(*split))
-                for doc_id, words in zip(doc_ids[low:high], split, strict=True):
-                    ids = known.encode(words) + closing
-                    for piece, at in enumerate(range(0, len(ids), 4 * sequence)):
-                        part = ids[at : at + 4 * sequence]
-                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), nth))
-                        nth += 1
+            rows = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                ids = known.encode((text or b"").split()) + closing
+                for piece, at in enumerate(range(0, len(ids), 4 * sequence)):
+                    part = ids[at : at + 4 * sequence]
+                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), nth))
+                    nth += 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
 
     # As a string: pandas has no whole numbers beside nulls.

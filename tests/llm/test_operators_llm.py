@@ -8,6 +8,7 @@ import random
 import re
 import sys
 import zlib
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -570,3 +571,24 @@ def test_texts_stay_where_they_are(spark, docs_of):
 
 def test_tokenizer_path_is_outside_the_repository():
     assert "/root/repo" not in tokenizer_path()
+
+
+def test_packing_takes_latin_letters_straight_to_the_merges():
+    """Ids are those of the tokenizer, also where words are forgotten; words of letters do without its normalizer."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    plain = Tokenizer.from_file(path)
+    texts = [
+        "Été ÉTÉ, été. ñandú Straße ÀÖØÞ ÿÿ naïve! the the The, Word",
+        "µg ªº été ΣΑΣ Ελλάς हिन्दी বাংলা 中文 don't 555-9635 a b × ÷ 가 İI <|endoftext|> Ω…",
+        "Été the zqx; zqx ñ ñ? 25a0bc �",
+    ] * 3
+    want = [plain.encode(text, add_special_tokens=False).ids for text in texts]
+    for remembered in (1, 4, 1000):
+        known = packing.WordIds(path, remembered)
+        assert [list(array("I", known.encode(text.encode().split()))) for text in texts] == want
+
+    known = packing.WordIds(path)
+    known._encoded = None
+    assert list(array("I", known.encode("Ñandú était Straße".encode().split()))) == plain.encode("Ñandú était Straße", add_special_tokens=False).ids
