@@ -184,11 +184,13 @@ def questions_to_lessons(spark, folder):
     """Lessons asked for by conversation turns and messages; unmatched questions are counted per origin."""
     turns = read_table(spark, folder, "conversations").select(F.lit("turn").alias("origin"), "text")
     asked = turns.unionByName(_m(spark, folder).select(F.lit("message").alias("origin"), "text"))
-    tags = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), c) for c, p in pack.CONCEPTS]))
+    tags = rules.all_concepts(F.col("text"))
     lessons = dim(spark, library.LESSON_COLUMNS, library.LESSONS).select("lesson_id", "title")
-    # A question without tags keeps one empty row, so both answers come from one pass.
-    counted = asked.select("origin", F.explode_outer(tags).alias("lesson_id")).groupBy("origin", "lesson_id").agg(
-        F.count("*").alias("n")
+    # A question without tags keeps one empty row, so both answers come from one pass. The counts are few; they are
+    # written, as a filter on them would else go down into the texts' step and that step be made twice.
+    counted = settle(
+        asked.select("origin", F.explode_outer(tags).alias("lesson_id")).groupBy("origin", "lesson_id").agg(F.count("*").alias("n")),
+        "concept-counts",
     )
     matched = counted.join(lessons, "lesson_id").groupBy("lesson_id", "title").agg(F.sum("n").alias("n_questions"))
     missed = counted.where("lesson_id IS NULL").select(

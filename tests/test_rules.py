@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators import rules
 from assayer.operators.clauses import clause_array, quote_masked
+from assayer.packs import rules as pack
 from assayer.plans.catalog import queries
 
 
@@ -272,3 +273,16 @@ def test_spans_and_purposes_screen_once_and_shuffle_no_text(spark, folder):
     assert "ArrowEvalPython" not in plan  # both sides are read from one written screening
     plan = queries()["prj11_purpose_class"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "AS explains#" in plan[plan.index("Join LeftOuter") :]  # the text is tested under the join
+
+
+def test_concepts_are_those_of_their_patterns(spark):
+    texts = [
+        "NAV of the fund", "nav\n", "unavailable", "basKet of funds", "rısk", "RISK and fees", "FEES", "coffee", "fee", "Fee!", "", None,
+        "जोखिम और शुल्क", "ঝুঁকি\nখরচ", "Net Asset\x85value", "ſpread your money", "Spread Your Money \U0001f600", "PRICE UP İ nominee DOUBLING",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    tests = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), c) for c, p in pack.CONCEPTS]))
+    got = rows.select(rules.all_concepts(F.col("text")).alias("got"), tests.alias("want"), rules.concepts(F.col("text")).alias("first"))
+    found = got.collect()
+    assert all(r.got == r.want for r in found) and sum(bool(r.got) for r in found) > 9
+    assert all(r.first == (r.want[: pack.CONCEPT_LIMIT] or [pack.DEFAULT_CONCEPT]) for r in found)
