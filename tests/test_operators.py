@@ -225,3 +225,39 @@ def test_merged_status_speaks_of_both_sides(spark):
     m = spark.createDataFrame([(1,), (2,), (3,)], "msg_id BIGINT")
     got = {r.msg_id: (r.n_findings, r.status, r.sources) for r in review.merged_status(m, review.merge_findings(local, online)).collect()}
     assert got == {1: (2, "attention", "bank-safety,fund-basics"), 2: (1, "context", "bank-safety"), 3: (0, "context", "")}
+
+
+def test_postings_of_wanted_tokens_give_the_same_ranking(spark):
+    texts = [(k, " ".join(f"w{(k * j) % 17}" for j in range(1, 3 + k % 9))) for k in range(60)] + [(60, ""), (61, None), (7, "w1 w1 zz")]
+    corpus = spark.createDataFrame(texts, "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "w1"), (1, "w5"), (1, "none"), (2, "zz"), (2, "w0")], "q_id int, token string")
+    whole, some = retrieval.index(corpus), retrieval.index(corpus, asked)
+    assert whole.agg(F.sum("tf")).first() == some.agg(F.sum("tf")).first()
+    kept = {tuple(r) for r in some.where("token IS NOT NULL").collect()}
+    assert kept == {tuple(r) for r in whole.where("token IN ('w1', 'w5', 'none', 'zz', 'w0')").collect()} and len(kept) < whole.count()
+    for score in (lambda p: retrieval.bm25(asked, p, corpus), lambda p: retrieval.top_scores(asked, p, corpus, 3)):
+        assert sorted(map(tuple, score(whole).collect())) == sorted(map(tuple, score(some).collect()))
+
+
+def test_decisions_are_counted_in_partitions_of_bounded_size(spark):
+    """Against the join of the two tables, with numbers that repeat, are unknown or null, and messages without a number."""
+    numbers = [None, 0, 1, 2]
+    draw = random.Random(3)
+    proposals = [(m, draw.choice(numbers)) for m in (None, *range(60)) for _ in range(draw.randint(0, 3))]
+    decisions = [(m, i, draw.choice(["confirm", "reject", None])) for m, i in proposals if draw.random() < 0.95]
+    decisions += [(m, 3, "confirm") for m in range(5)] + [(99, 0, "confirm")]
+    want = set()
+    for m in range(60):
+        asked = [i for k, i in proposals if k == m]
+        met = [(i, d, k) for key, i, d in decisions if key == m for k in [x for x in asked if x == i and i is not None] or [None]]
+        if asked and len(met) == len(asked) == len({i for i, *_ in met} - {None}) and all(k is not None for *_, k in met):
+            confirmed = sum(d == "confirm" for _, d, _ in met)
+            want.add((m, confirmed, confirmed == 0))
+    assert want
+    asked = spark.createDataFrame(proposals, "msg_id long, idx int")
+    made = spark.createDataFrame(decisions, "msg_id long, idx int, decision string")
+    for rows in (5, 1000):
+        got = review.decide(asked, made, rows)
+        assert {tuple(r) for r in got.collect()} == want
+    plan = review.decide(asked, made, 5)._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and "Join" not in plan
