@@ -8,8 +8,10 @@ candidate whose sketches agree is then compared exactly, on its whole set of shi
 
 Equal sets are one node from the start. In a band's bucket of up to ``BUCKET``
 nodes all pairs are compared. In a larger one all are compared with its smallest
-node first; whatever that does not join is compared with the whole bucket, so
-nothing is lost and one large group of close copies costs a line, not a square.
+node first; whatever that does not join meets the whole bucket, so nothing is lost
+and one large group of close copies costs a line, not a square. They meet in blocks:
+a task counts the shingles that the sets of two blocks share, and only links that
+join what is still apart leave it, so no row is made for a pair.
 
 Words stand between ASCII white space, A-Z lower-cased; fewer words than a
 shingle give one shingle of all words.
@@ -41,6 +43,8 @@ RADIUS = 3
 BANDS, ROWS = 20, 4
 #: Nodes of one bucket of which all pairs are compared at once.
 BUCKET = 64
+#: Nodes, and shingles, of a large bucket's block on average; a task holds two blocks.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 _DRAWN = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
 
@@ -146,21 +150,75 @@ def _by_fingerprint(nodes: DataFrame, rows: DataFrame, keep) -> DataFrame:
     return found.select(F.greatest("node", "first.node").alias("node"), F.least("node", "first.node").alias("to"))
 
 
+def _sets(asked: DataFrame, nodes: DataFrame, rows: DataFrame, keep, name: str) -> DataFrame:
+    """(node, found) with the whole sets of the nodes in ``asked``."""
+    chosen = keep(nodes.join(asked.distinct(), "node").select("node", "row_id"), f"{name}-chosen")
+    wanted = bitmap(chosen.select(F.col("row_id").alias("h")))
+    found = _by_text(rows.select("row_id", "text"), _set, "found array<long>", wanted).dropDuplicates(["row_id"])
+    return keep(found.join(chosen, "row_id").select("node", "found"), f"{name}-sets")
+
+
 def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, keep, name: str) -> DataFrame:
     """The pairs at or above the similarity: by their sketches first, then on their whole sets."""
     prints = nodes.select("node", "low")
     met = pairs.distinct().join(prints, "node").join(prints.select(F.col("node").alias("to"), F.col("low").alias("low_to")), "to")
     pairs = keep(met.where(_likely(F.col("low"), F.col("low_to"))).select("node", "to"), f"{name}-pairs")
-    asked = pairs.select("node").unionByName(pairs.select(F.col("to").alias("node"))).distinct()
-    chosen = keep(nodes.join(asked, "node").select("node", "row_id"), f"{name}-chosen")
-    wanted = bitmap(chosen.select(F.col("row_id").alias("h")))
-    found = _by_text(rows.select("row_id", "text"), _set, "found array<long>", wanted).dropDuplicates(["row_id"])
-    sets = keep(found.join(chosen, "row_id").select("node", "found"), f"{name}-sets")
+    sets = _sets(pairs.select("node").unionByName(pairs.select(F.col("to").alias("node"))), nodes, rows, keep, name)
     both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("to"), F.col("found").alias("other")), "to")
     shared = both.select("node", "to", F.size(F.array_intersect("found", "other")).alias("n"), (F.size("found") + F.size("other")).alias("total"))
     return keep(shared.where(F.col("n") >= SIMILAR * (F.col("total") - F.col("n"))).select("node", "to"), f"{name}-links")
 
 
+def _joining(part: np.ndarray, root: np.ndarray, found: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Places of similar sets that join everything apart that similar sets join, across two parts or inside the only one."""
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    begin = np.cumsum(sizes) - sizes
+    _, code, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    holders = np.repeat(np.arange(len(found)), sizes)[np.argsort(code, kind="stable")]
+    first = np.cumsum(times) - times
+    across = part.min() < part.max()
+    _, label = np.unique(root, return_inverse=True)
+    # Of two sets that are apart, one at least is not in the largest group.
+    for x in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+        mine = code[begin[x] : begin[x] + sizes[x]]
+        n = times[mine]
+        shared = np.bincount(holders[np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(found))
+        near = (shared >= SIMILAR * (sizes[x] + sizes - shared)) & (label != label[x])
+        for y in np.flatnonzero(near & (part != part[x]) if across else near).tolist():
+            if label[y] != label[x]:
+                yield x, y
+                label[label == label[y]] = label[x]
+
+
+def _by_blocks(large: DataFrame, roots: DataFrame, nodes: DataFrame, rows: DataFrame, keep) -> DataFrame:
+    """(node, to) links that join what is apart in large buckets: nodes that the bucket's smallest did not join meet all others.
+
+    Either side of a bucket is dealt over blocks; a pair of blocks is one task, unless both are of the smallest node's side.
+    """
+    rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pivots = rooted.where("node = pivot").select("key", F.col("root").alias("pivot_root"))
+    rooted = rooted.join(pivots, "key").select("key", "node", "size", "root", F.expr("root <> pivot_root").alias("apart"))
+    rooted = keep(rooted, "rooted")
+
+    def blocks(side: Column) -> Column:
+        weight = F.sum(F.when(side, F.col("size")).otherwise(0))
+        return F.ceil(F.greatest(F.count_if(side) / BLOCK, weight / BLOCK_SHINGLES)).cast("int")
+
+    sides = rooted.groupBy("key").agg(blocks(~F.col("apart")).alias("joined"), blocks(F.col("apart")).alias("others")).where("others > 0")
+    part = F.expr("CAST(IF(apart, joined + pmod(xxhash64(node), others), pmod(xxhash64(node), joined)) AS INT)")
+    dealt = keep(rooted.join(sides, "key").withColumn("part", part), "dealt")
+    sets = _sets(dealt.select("node"), nodes, rows, keep, "second")
+    met = dealt.withColumn("other", F.explode(F.expr("sequence(IF(apart, 0, joined), joined + others - 1)"))).join(sets, "node")
+
+    def join(meeting: pd.DataFrame) -> pd.DataFrame:
+        node = meeting["node"].to_numpy(np.int64)
+        links = [sorted((int(node[x]), int(node[y]))) for x, y in _joining(meeting["part"].to_numpy(), meeting["root"].to_numpy(), list(meeting["found"]))]
+        return pd.DataFrame({"node": [b for _, b in links], "to": [a for a, _ in links]}, dtype="int64")
+
+    met = met.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "node", "root", "part", "found")
+    return keep(met.groupBy("key", "a", "b").applyInPandas(join, "node long, to long").distinct(), "second-links")
+
+
 def near_copies(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(row_id, doc_id, component) of every row; rows with one ``row_id``, a number, have one text."""
     with scratch(rows.sparkSession, "near-copies") as keep:
@@ -182,11 +240,7 @@ def _near_copies(rows: DataFrame, bucket: int, keep) -> DataFrame:
     links = _alike(pairs, nodes, rows, keep, "first")
     roots = components(links, "near-copy-roots")
     if not large.isEmpty():
-        rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pivots = rooted.where("node = pivot").select("key", F.col("root").alias("pivot_root"))
-        rooted = keep(rooted.join(pivots, "key"), "rooted")
-        apart = _pairs(rooted.where("root <> pivot_root"), rooted, "a.root <> b.root")
-        links = links.unionByName(_alike(apart, nodes, rows, keep, "second"))
+        links = links.unionByName(_by_blocks(large, roots, nodes, rows, keep))
         roots = components(links, "near-copy-roots")
     return prints.join(roots, "node", "left").select(
         "row_id", "doc_id", F.coalesce("root", "node").alias("component")

@@ -97,6 +97,24 @@ def test_near_copies_against_all_pairs(spark, bucket):
     assert any(a < b and (bits[a] ^ bits[b]).bit_count() > 3 and _similar(a, b) for a in bits for b in bits)
 
 
+@pytest.mark.parametrize(("block", "shingles"), [(512, 1 << 20), (7, 1 << 20), (512, 900)])
+def test_near_copies_of_a_large_group_make_no_row_for_a_pair(spark, monkeypatch, block, shingles):
+    from assayer.llm import near_copies
+
+    compared, alike = [], near_copies._alike
+    monkeypatch.setattr(near_copies, "_alike", lambda pairs, *rest: compared.append(pairs.distinct().count()) or alike(pairs, *rest))
+    monkeypatch.setattr(near_copies, "BLOCK", block, raising=False)
+    monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", shingles, raising=False)
+    r, text = random.Random(12), prose(700, 150)
+    rows = [_changed(text, r.sample(range(150), r.choice((2, 3, 5)))) for _ in range(150)] + [prose(701, 150)]
+    rows += [_changed(rows[k], {r.randrange(150)}) for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "row_id long, text string").selectExpr("row_id", "row_id AS doc_id", "text")
+    got = {rows[x.row_id]: x.component for x in near_copies.near_copies(docs, 2).collect()}
+    want = brute_components(sorted(set(rows)), _similar)
+    assert len(set(want.values())) > 20 and len({(got[t], want[t]) for t in got}) == len(set(want.values())) == len(set(got.values()))
+    assert sum(compared) <= near_copies.BANDS * len(rows)
+
+
 def test_rows_are_told_apart_by_id_and_text(spark, folder_of):
     near = prose(400, 150)
     rows = [(1, prose(401, 60)), (1, prose(402, 60)), (2, near), (1, prose(401, 60)), (3, _changed(near, {9}))]
