@@ -84,3 +84,54 @@ def test_listed_features_of_repeated_ids_train_like_rows_apart(spark):
     one = model.leave_one_source_out(model.features(m.select("msg_id", "text"), "w", 64), marked, 64, 5).collect()
     two = model.leave_one_source_out(model.listed_features(m, "w", 64), marked, 64, 5).collect()
     assert len(one) == 30 and sorted((r.source, r.risky, round(r.score, 9)) for r in one) == sorted((r.source, r.risky, round(r.score, 9)) for r in two)
+
+
+def test_features_are_those_of_the_places_by_definition():
+    import numpy as np
+    import pyarrow as pa
+
+    from assayer.functions import hashing
+
+    rows = [["pay", "pay", "ﬁ", "₹", "भेजो", "chhoota", "😀x", "aa"], [], None, ["a"], ["x" * 300, "টাকা", "pay", "pay"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(rows, pa.list_(pa.string()))], names=["id", "tokens"])
+    for kinds in (hashing.ALL_KINDS, "w", "b", "s kb"):
+        found = pa.Table.from_batches(list(hashing.feature_lists(kinds, 2**18)(iter([batch])))).to_pylist()
+        told = {r["id"]: dict(zip(r["idx"], r["value"])) for r in found}
+        for at, tokens in enumerate(rows):
+            names = [
+                f for a, b in zip(tokens or [], [*(tokens or [])[1:], None])
+                for f in hashing.place_features(a, hashing.sound(a), b, None if b is None else hashing.sound(b), kinds.split())
+            ]
+            idx, n = np.unique([int(h) % 2**18 for h in hashing.fnv1a(names)], return_counts=True)
+            value = 1 + np.log(n)
+            assert told.get(at, {}) == dict(zip(idx.tolist(), (value / np.sqrt((value * value).sum())).tolist())), (kinds, at)
+
+
+def test_what_a_part_holds_is_bounded_by_its_tokens():
+    import pyarrow as pa
+
+    from assayer.functions import hashing
+
+    rows = [[f"w{k}x{i}" for i in range(400)] for k in range(300)] + [[f"y{i}" for i in range(40_000)], ["z"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows)], names=["id", "tokens"])
+    seen = []
+    for part, *_ in hashing._scaled("w b", 4096, iter([batch])):
+        sizes = [len(r) for r in part.column("tokens").to_pylist()]
+        assert sum(sizes) <= 32_768 or len(sizes) == 1
+        seen += part.column("id").to_pylist()
+    assert seen == list(range(len(rows)))
+
+
+def test_wide_rows_are_read_in_row_groups_of_bounded_size(spark):
+    import pyarrow.parquet as pq
+
+    from assayer.operators.model import listed_features, settled_vectors
+
+    m = spark.range(0, 1200, 1, 1).select(
+        F.col("id").alias("msg_id"), F.lit("s").alias("source"), F.lit(1.0).alias("label"),
+        F.array_join(F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.md5((i * 7919 + F.col("id")).cast("string"))), " ").alias("text"),
+    )
+    written = settled_vectors(listed_features(m, "w c", 2**18), 2**18)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in written.inputFiles()]
+    groups = [f.row_group(k) for f in files for k in range(f.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 1200 and max(g.num_rows for g in groups) < 600
