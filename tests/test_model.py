@@ -135,3 +135,42 @@ def test_wide_rows_are_read_in_row_groups_of_bounded_size(spark):
     files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in written.inputFiles()]
     groups = [f.row_group(k) for f in files for k in range(f.num_row_groups)]
     assert sum(g.num_rows for g in groups) == 1200 and max(g.num_rows for g in groups) < 600
+
+
+def test_scores_made_in_the_row_are_those_of_the_features_apart(spark):
+    rows = [(k % 40, f"pay fee {k} now " + "tea " * (k % 3) + "भेजो") for k in range(60)] + [(99, ""), (100, "₹ 5% @x")]
+    m = spark.createDataFrame(rows, "msg_id long, text string")
+    weights = spark.range(0, 512, 3).select(F.col("id").cast("int").alias("idx"), (F.col("id") % 7 - 3).cast("double").alias("w"))
+    apart = {r.msg_id: r.score for r in model.score(model.features(m, "w b c k kb s", 512), weights, 0.25).collect()}
+    whole = model.scored(m, weights, 0.25, "w b c k kb s", 512)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Explode" not in plan
+    found = {r.msg_id: r.score for r in whole.collect()}
+    assert found.keys() == apart.keys() and len(found) == 41 and max(abs(found[k] - apart[k]) for k in found) < 1e-12
+
+
+def test_no_feature_leaves_its_row_where_messages_are_scored(spark, folder):
+    plan = queries()["mdl7_batch_score"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "idx" not in plan
+
+
+def test_the_independent_scorer_follows_the_definition():
+    import math
+
+    import pyarrow as pa
+
+    from assayer.functions import hashing
+    from assayer.plans import queries_model
+
+    text = "pay pay pay the fee now, pay भेजो"
+    tokens = "pay pay pay the fee now pay भेजो".split()
+    names = [
+        f for a, b in zip(tokens, [*tokens[1:], None])
+        for f in hashing.place_features(a, hashing.sound(a), b, b and hashing.sound(b), hashing.ALL_KINDS.split())
+    ]
+    buckets = [int(h) % hashing.BUCKETS for h in hashing.fnv1a(names)]
+    values = {i: 1 + math.log(buckets.count(i)) for i in buckets}
+    norm = math.sqrt(sum(v * v for v in values.values()))
+    total = sum((i * 7919 % 2001 - 1000) / 500 * v / norm for i, v in values.items())
+    got = queries_model._score_alone.func(pa.array([text])).to_pylist()
+    assert abs(got[0] - 1 / (1 + math.exp(-(model.FROZEN_BIAS + total)))) < 1e-12
