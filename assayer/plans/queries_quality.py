@@ -165,22 +165,23 @@ def metamorphic_messages(spark, folder):
         "look-alike": F.translate(text, "aeo", "аео"),
         "spelled acronym": F.regexp_replace(F.regexp_replace(text, "OTP", "O T P"), "KYC", "K Y C"),
     }
-    flat = [x for name, form in forms.items() for x in (F.lit(name), form)]
-    # One run screens the messages and all their forms; a form is told apart by its id.
-    forms_of = F.map_entries(F.create_map(F.lit("as sent"), text, *flat))
-    every = m.select("msg_id", F.explode(forms_of).alias("f")).select(
-        F.struct("msg_id", F.col("f.key").alias("form")).alias("msg_id"), F.col("f.value").alias("text")
+    # A form that leaves the text as it is shares its outcome; the others are screened in rows of their own.
+    kept = F.filter(F.array(*[F.when(form == text, F.lit(name)) for name, form in forms.items()]), lambda name: name.isNotNull())
+    sent = F.struct(F.concat(F.array(F.lit("as sent")), kept).alias("forms"), text.alias("text"))
+    other = F.array(*[F.struct(F.array(F.lit(name)).alias("forms"), form.alias("text")) for name, form in forms.items()])
+    every = m.select("msg_id", F.explode(F.concat(F.array(sent), F.filter(other, lambda f: f["text"] != text))).alias("f")).select("msg_id", "f.*")
+    warned = F.coalesce(F.exists("found", lambda f: f["severity"] == "attention"), F.lit(False))
+
+    def outcome(name: str):
+        return F.bool_or(F.array_contains("forms", name) & F.col("warned"))
+
+    each = rules.judged(every).select("msg_id", "forms", warned.alias("warned")).groupBy("msg_id").agg(
+        F.count_if(F.array_contains("forms", "as sent")).alias("n"), outcome("as sent").alias("before"),
+        F.array(*[F.struct(F.lit(name).alias("perturbation"), outcome(name).alias("after")) for name in forms]).alias("forms"),
     )
-    warned = (
-        rules.findings(every, with_mask=False).groupBy("msg_id").agg(F.bool_or(F.col("severity") == "attention").alias("warned"))
-        .select("msg_id.msg_id", "msg_id.form", "warned").where("warned")
-    )
-    sent = warned.where("form = 'as sent'").select("msg_id", F.lit(True).alias("before"))
-    changed = m.select("msg_id", F.explode(F.array(*[F.lit(n) for n in forms])).alias("form")).join(
-        warned.where("form <> 'as sent'"), ["msg_id", "form"], "left"
-    ).join(sent, "msg_id", "left")
-    apart = F.coalesce("warned", F.lit(False)) != F.coalesce("before", F.lit(False))
-    return changed.groupBy(F.col("form").alias("perturbation")).agg(F.count("*").alias("n"), F.count_if(apart).alias("n_changed"))
+    one = each.select("msg_id", "n", "before", F.explode("forms").alias("f")).select("*", "f.*")
+    apart = F.col("msg_id").isNotNull() & (F.col("after") != F.col("before"))
+    return one.groupBy("perturbation").agg(F.sum("n").alias("n"), F.sum(F.when(apart, F.col("n")).otherwise(0)).alias("n_changed"))
 
 
 @query(
