@@ -286,3 +286,14 @@ def test_concepts_are_those_of_their_patterns(spark):
     found = got.collect()
     assert all(r.got == r.want for r in found) and sum(bool(r.got) for r in found) > 9
     assert all(r.first == (r.want[: pack.CONCEPT_LIMIT] or [pack.DEFAULT_CONCEPT]) for r in found)
+
+
+def test_quotes_of_a_text_are_looked_for_once_not_in_every_clause(spark):
+    from assayer.operators import clauses
+
+    m = spark.createDataFrame([(1, 'Our safety lesson: "pay the fee now" is a scam. Then he wrote. "Pay now", ok?')], "msg_id long, text string")
+    rows = clauses.clause_rows(m, mask_quotes=True)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(lambda" in plan and "substring(CASE" not in plan
+    quiet = rows.select(clauses.quote_masked(F.col("text")).alias("q")).first().q
+    assert [c.det.strip() for c in rows.first()._cl] == [" ".join(quiet[c.start:c.end].split()) for c in rows.first()._cl]
