@@ -174,3 +174,25 @@ def test_the_independent_scorer_follows_the_definition():
     total = sum((i * 7919 % 2001 - 1000) / 500 * v / norm for i, v in values.items())
     got = queries_model._score_alone.func(pa.array([text])).to_pylist()
     assert abs(got[0] - 1 / (1 + math.exp(-(model.FROZEN_BIAS + total)))) < 1e-12
+
+
+def test_models_that_do_not_fit_together_are_fitted_one_after_another(spark, monkeypatch):
+    from assayer.operators import folds
+
+    rows = [(k, ("lottery " if k % 3 else "tea ") + f"w{k % 7} w{k % 5}", f"s{k % 5}", float(k % 3 > 0)) for k in range(40)]
+    m = spark.createDataFrame(rows, "msg_id long, text string, source string, label double")
+    listed = model.listed_features(m, "w", 64)
+    seen, gradient = [], folds._gradient
+
+    def noted(shared, size):
+        seen.append(len(shared.value[0]))
+        return gradient(shared, size)
+
+    monkeypatch.setattr(folds, "_gradient", noted)
+    together = model.leave_one_source_out(listed, m, 64, 6).collect()
+    assert max(seen) == 5
+    seen.clear()
+    monkeypatch.setattr(folds, "TOGETHER", 128)
+    apart = model.leave_one_source_out(listed, m, 64, 6).collect()
+    assert max(seen) == 2 and len(apart) == 40
+    assert sorted((r.source, r.risky, round(r.score, 9)) for r in apart) == sorted((r.source, r.risky, round(r.score, 9)) for r in together)
