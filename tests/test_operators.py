@@ -261,3 +261,17 @@ def test_decisions_are_counted_in_partitions_of_bounded_size(spark):
         assert {tuple(r) for r in got.collect()} == want
     plan = review.decide(asked, made, 5)._jdf.queryExecution().toString()
     assert "REPARTITION_BY_NUM" in plan and "Join" not in plan
+
+
+def test_orders_are_dealt_over_the_cores_of_a_cluster(spark, folder):
+    from assayer.core.session import DEALT
+    from assayer.sources import messages
+
+    set_by_session = spark.conf.get("assayer.local.partitions")
+    spark.conf.unset("assayer.local.partitions")
+    try:
+        m = messages.templated(spark, folder)
+        assert m.rdd.getNumPartitions() == DEALT * spark.sparkContext.defaultParallelism
+        assert m.count() == 1500 and m.select("msg_id").distinct().count() == 1500
+    finally:
+        spark.conf.set("assayer.local.partitions", set_by_session)
